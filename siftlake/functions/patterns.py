@@ -150,7 +150,7 @@ def _translate(pattern: str) -> tuple[str, str | None, str | None]:
         if char == "(":
             flags = multiline[-1]
             if group := re.match(r"\(\?P?<(?![=!])[^>]*>", rest):
-                put("(")
+                put("(", "(?:")
                 i += len(group[0])
             elif group := re.match(r"\(\?([imsxu]*)(?:-([imsxu]+))?([:)])", rest):
                 on, off = group[1], group[2] or ""
@@ -167,7 +167,7 @@ def _translate(pattern: str) -> tuple[str, str | None, str | None]:
             elif rest.startswith("(?"):
                 raise PatternError(f"unsupported group {rest[:4]}")
             else:
-                put("(")
+                put("(", "(?:")
                 i += 1
             multiline.append(flags)
             continue

@@ -12,6 +12,7 @@ import warnings
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -71,16 +72,18 @@ def _slow_rule_lines(patterns: list[str]):
 
     @F.arrow_udf("array<bigint>")
     def lines(texts: pa.Array) -> pa.Array:
-        columns = []
-        for pattern in patterns:
-            starts = pc.find_substring_regex(texts, pattern).to_pylist()
-            columns.append(
-                [
-                    None if at is None or at < 0 else texts[row].as_buffer().to_pybytes().count(b"\n", 0, at) + 1
-                    for row, at in enumerate(starts)
-                ]
-            )
-        return pa.array([list(row) for row in zip(*columns)], pa.list_(pa.int64()))
+        found = np.zeros((len(texts), len(patterns)), np.int64)
+        missing = np.ones(found.shape, bool)
+        for at, pattern in enumerate(patterns):
+            matched = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+            rows = np.flatnonzero(matched.to_numpy(zero_copy_only=False))
+            if len(rows):
+                split = pc.extract_regex(texts.filter(matched), rf"(?P<lead>(?s:\A.*?))(?:{pattern})")
+                breaks = pc.count_substring(pc.struct_field(split, "lead"), "\n")
+                found[rows, at] = breaks.to_numpy(zero_copy_only=False) + 1
+                missing[rows, at] = False
+        offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(patterns)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel(), mask=missing.ravel()))
 
     return lines
 
@@ -121,13 +124,14 @@ def scan(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def scan_hits(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def scan_hits(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
     """One row per file without its text: the lines of all rules' first matches as an array.
 
     This is the compact result to write once and derive both findings and scores from.
+    ``keep`` names further columns of the files to pass through.
     """
     prepared, lines = _prepared(files, usable_rules(rules))
-    return prepared.select("file_id", "path", "language", "ord", F.expr(lines).alias("lines"))
+    return prepared.select("file_id", "path", "language", "ord", *keep, F.expr(lines).alias("lines"))
 
 
 def findings_of_hits(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from siftlake.functions.json import is_object, json_document_sql, text_at, type_at
 from siftlake.functions.patterns import PatternError, compile_rule
@@ -92,7 +93,7 @@ _RULE_STRUCT = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_pattern_problem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Why a pack's patterns are not usable, or NULL."""
 
