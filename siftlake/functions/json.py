@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def computed_once(value: Column) -> Column:
+    """A costly value as a generator of one row, so that it is computed once per row.
+
+    Filters on an ordinary column are pushed below it by repeating its expression, once for
+    every mention. They cannot be pushed below a generator.
+    """
+    return F.explode(F.array(value))
+
 
 def json_document_sql(raw: str) -> str:
     """The one JSON value a text holds; NULL when it is no JSON or more follows the value.
 
     The parser stops after the first value, so the text is read as the elements of an array.
     """
-    listed = f"try_parse_json(concat('[', {raw}, ']'))"
-    return f"if(variant_get({listed}, '$[1]', 'variant') is null, variant_get({listed}, '$[0]', 'variant'), null)"
+    listed = f"try_variant_get(try_parse_json(concat('[', {raw}, ']')), '$', 'array<variant>')"
+    # One mention of the parsed array, so that the text is parsed once.
+    return f"get(get(filter(array({listed}), a -> size(a) = 1), 0), 0)"
 
 
 def type_at(value: str, path: str) -> str:
@@ -29,4 +42,5 @@ def whole_number_at(value: str, path: str) -> str:
 
 
 def is_object(value: str, path: str) -> str:
-    return f"startswith({type_at(value, path)}, 'OBJECT')"
+    """Whether there is an object at a path; only its own keys are looked at."""
+    return f"try_variant_get({value}, '{path}', 'map<string,variant>') is not null"

@@ -279,7 +279,7 @@ def _lower_literals(pattern: str) -> str:
 
 
 def _needles(tree, folding: bool) -> tuple[tuple[str, ...], ...]:
-    """Literals any match must contain, as groups of alternatives, most telling group first."""
+    """Literals any match must contain, as groups of alternatives, in the order to try them."""
     if not folding and any(
         op is sre.SUBPATTERN and arg[1] & sre.SRE_FLAG_IGNORECASE for op, arg in _nodes(tree)
     ):
@@ -294,7 +294,12 @@ def _needles(tree, folding: bool) -> tuple[tuple[str, ...], ...]:
     groups = [g for g in groups if not any(other != g and other < g for other in groups)]
     # A single letter or digit is in nearly every text.
     unique = {tuple(sorted(group)) for group in groups if not any(len(a) == 1 and a.isalnum() for a in group)}
-    return tuple(sorted(unique, key=lambda g: (-min(map(len, g)), len(g), g)))
+    # Signs come first: they are missing from most prose, and found at once in most code.
+    return tuple(sorted(unique, key=lambda g: (not is_sign_group(g), -min(map(len, g)), len(g), g)))
+
+
+def is_sign_group(group: tuple[str, ...]) -> bool:
+    return all(len(literal) == 1 for literal in group)
 
 
 def _required(tree) -> list[set[str]]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # All characters that match an ASCII letter when case is ignored: capitals, long s, Kelvin sign.
 _FOLD_FROM = string.ascii_uppercase + "\u017f\u212a"
 _FOLD_TO = string.ascii_lowercase + "sk"
+# Lower-casing leaves the long s as it is and turns dotted capital I into a plain i.
+_LOWER_DIFFERS = ["\u017f", "\u0130"]
 
 
 def decode_text(content: Column) -> Column:
@@ -18,8 +20,13 @@ def decode_text(content: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Text on which a lower-case ASCII pattern matches as a case-insensitive one would."""
-    return F.translate(text, _FOLD_FROM, _FOLD_TO)
+    """Text on which a lower-case ASCII pattern matches as a case-insensitive one would.
+
+    Lower-casing is many times faster than replacing characters one by one, and gives the same
+    matches except on texts with one of two rare letters.
+    """
+    special = text.contains(_LOWER_DIFFERS[0]) | text.contains(_LOWER_DIFFERS[1])
+    return F.when(special, F.translate(text, _FOLD_FROM, _FOLD_TO)).otherwise(F.lower(text))
 
 
 def sql_string(value: str) -> str:

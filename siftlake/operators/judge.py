@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.json import json_document_sql, text_at
+from siftlake.functions.json import computed_once, json_document_sql, text_at
 from siftlake.model import STAGE_SEMANTIC, JudgeConfig
 
 # The prompt around the language name and the code.
@@ -53,11 +53,11 @@ def request_bodies(files: DataFrame, config: JudgeConfig) -> DataFrame:
 def response_texts(responses: DataFrame) -> DataFrame:
     """The answer of each successful response; failed or unreadable ones are dropped."""
     succeeded = responses.filter(F.col("status").between(200, 299))
-    parsed = succeeded.select("file_id", "provider", F.expr(json_document_sql("body")).alias("answer"))
+    parsed = succeeded.select("file_id", "provider", computed_once(F.expr(json_document_sql("body"))).alias("answer"))
     text = F.when(F.col("provider") == "anthropic", F.expr(text_at("answer", "$.content[0].text"))).otherwise(
         F.expr(text_at("answer", "$.choices[0].message.content"))
     )
-    return parsed.select("file_id", text.alias("explanation")).filter(F.col("explanation").isNotNull())
+    return parsed.select("file_id", computed_once(text).alias("explanation")).filter(F.col("explanation").isNotNull())
 
 
 def judge_findings(files: DataFrame, responses: DataFrame) -> DataFrame:

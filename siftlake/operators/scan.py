@@ -9,6 +9,7 @@ match contains, and only then the pattern.
 from __future__ import annotations
 
 import warnings
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.paths import any_glob_sql
-from siftlake.functions.patterns import CompiledPattern, PatternError, compile_rule
+from siftlake.functions.patterns import CompiledPattern, PatternError, compile_rule, is_sign_group
 from siftlake.functions.text import first_match_line_sql, fold_case, sql_string
 from siftlake.model import PENALTIES, STAGE_SECURITY, TOTAL_COLUMNS, Rule
 
@@ -54,13 +55,26 @@ def rule_filter_sql(rule: Rule) -> list[str]:
     return filters
 
 
-def _candidate_sql(rule: Rule, compiled: CompiledPattern) -> list[str]:
+def _candidate_sql(rule: Rule, compiled: CompiledPattern, shared: dict[str, str]) -> list[str]:
     """Conditions cheaper than the pattern itself, cheapest first."""
     subject = _subject(compiled)
-    return rule_filter_sql(rule) + [
-        "(" + " or ".join(f"contains({subject}, {sql_string(literal)})" for literal in group) + ")"
+    tests = [_any_literal_sql(subject, group) for group in compiled.needles]
+    return rule_filter_sql(rule) + [shared.get(test, test) for test in tests]
+
+
+def _any_literal_sql(subject: str, group: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({subject}, {sql_string(literal)})" for literal in group) + ")"
+
+
+def _shared_tests(rules: list[tuple[int, Rule, CompiledPattern]]) -> dict[str, str]:
+    """Columns for the tests on signs that several rules have in common."""
+    tests = Counter(
+        _any_literal_sql(_subject(compiled), group)
+        for _, _, compiled in rules
         for group in compiled.needles
-    ]
+        if is_sign_group(group)
+    )
+    return {test: f"__signs_{at}" for at, test in enumerate(test for test, uses in tests.items() if uses > 1)}
 
 
 def _subject(compiled: CompiledPattern) -> str:
@@ -92,16 +106,19 @@ def _prepared(files: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]])
     """The files with what the rules need, and SQL for the array of first-match lines by rule."""
     if any(compiled.folded for _, _, compiled in rules):
         files = files.withColumn(_FOLDED, fold_case(F.col("text")))
+    shared = _shared_tests(rules)
+    if shared:
+        files = files.withColumns({name: F.expr(test) for test, name in shared.items()})
     slow = [(rule, compiled) for _, rule, compiled in rules if not compiled.linear and compiled.arrow]
     if slow:
         # Texts no slow rule can match are passed as NULL, so they do not leave the JVM.
-        candidates = [" and ".join(_candidate_sql(rule, compiled) or ["true"]) for rule, compiled in slow]
+        candidates = [" and ".join(_candidate_sql(rule, compiled, shared) or ["true"]) for rule, compiled in slow]
         engine = _slow_rule_lines([compiled.arrow for _, compiled in slow])
         files = files.withColumn(_SLOW, engine(F.expr(f"case when {' or '.join(candidates)} then text end")))
     lines = []
     position = {id(rule): at for at, (rule, _) in enumerate(slow)}
     for _, rule, compiled in rules:
-        conditions = _candidate_sql(rule, compiled)
+        conditions = _candidate_sql(rule, compiled, shared)
         if id(rule) in position:
             line = f"{_SLOW}[{position[id(rule)]}]"
         else:

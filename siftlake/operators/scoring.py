@@ -45,22 +45,23 @@ def totals_of_findings(findings: DataFrame) -> DataFrame:
     return findings.groupBy("file_id").agg(*sums)
 
 
-def with_totals(files: DataFrame, *totals: DataFrame) -> DataFrame:
+def with_totals(files: DataFrame, totals: DataFrame) -> DataFrame:
     """Attach totals to every file; files without findings get zeros.
 
-    ``totals`` hold at most one row per file each, so the joins cannot fan out.
+    ``totals`` hold at most one row per file, so the join cannot fan out.
     """
-    result = files.select("file_id", "path", "language", "ord")
-    if not totals:
-        return result.select("*", *[_zero(name).alias(name) for name in TOTAL_COLUMNS])
-    for at, table in enumerate(totals):
-        renamed = table.select("file_id", *[F.col(name).alias(f"{name}_{at}") for name in TOTAL_COLUMNS])
-        result = result.join(renamed, "file_id", "left")
-    summed = [
-        reduce(add, [F.coalesce(F.col(f"{name}_{at}"), _zero(name)) for at in range(len(totals))]).alias(name)
-        for name in TOTAL_COLUMNS
+    joined = files.select("file_id", "path", "language", "ord").join(totals, "file_id", "left")
+    filled = [F.coalesce(F.col(name), _zero(name)).alias(name) for name in TOTAL_COLUMNS]
+    return joined.select("file_id", "path", "language", "ord", *filled)
+
+
+def add_totals(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Add further totals to files whose totals are known; both have one row per file at most."""
+    renamed = more.select("file_id", *[F.col(name).alias(f"more_{name}") for name in TOTAL_COLUMNS])
+    sums = [
+        (F.col(name) + F.coalesce(F.col(f"more_{name}"), _zero(name))).alias(name) for name in TOTAL_COLUMNS
     ]
-    return result.select("file_id", "path", "language", "ord", *summed)
+    return known.join(renamed, "file_id", "left").select("file_id", "path", "language", "ord", *sums)
 
 
 def _zero(name: str) -> Column:

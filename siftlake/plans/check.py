@@ -12,7 +12,7 @@ from siftlake.model import Rule, Thresholds
 from siftlake.operators import gate
 from siftlake.operators.judge import judge_findings
 from siftlake.operators.scan import findings_of_hits, scan, scan_hits, totals_of_hits
-from siftlake.operators.scoring import score_totals, totals_of_findings, with_totals
+from siftlake.operators.scoring import add_totals, score_totals, totals_of_findings
 from siftlake.session import shared_dir
 from siftlake.sources.builtin import builtin_rules
 from siftlake.sources.lint import parse_lint
@@ -66,6 +66,5 @@ def check(
     findings = reduce(DataFrame.unionByName, [found, *others])
     totals = totals_of_hits(hits, rules)
     if others:
-        added = totals_of_findings(reduce(DataFrame.unionByName, others))
-        totals = with_totals(hits, totals, added)
+        totals = add_totals(totals, totals_of_findings(reduce(DataFrame.unionByName, others)))
     return Check(hits, findings, score_totals(totals), [*stages, "Aggregate"])

@@ -42,6 +42,12 @@ TEXT_PACK = [
     Rule("PACK004", r"\+?\d[\d -]{8,}\d", "warning", "Phone-like number", pack="text"),
     Rule("PACK005", r"<script", "error", "Inline script", "Load scripts from files", pack="text"),
 ]
+TALK_PACK = [
+    Rule("TALK001", r"(?i)É\w", "info", "Accented capital, in any case", pack="talk"),
+    Rule("TALK002", r"(?m)^\w+ \w+\.$", "warning", "Line of two words", pack="talk"),
+    Rule("TALK003", r"\bthe\b", "info", "English article", pack="talk"),
+    Rule("TALK004", r"\p{Lu}\p{L}{9,}", "error", "Long capitalised word", "Use shorter words", pack="talk"),
+]
 FILTER_PACK = [
     Rule("FILT001", r"(?i)password", "error", "Python only", languages=("Python",), pack="filter"),
     Rule("FILT002", r"\(", "warning", "Only in src", include=("src/*", "lib/**"), pack="filter"),
@@ -190,7 +196,7 @@ REPORT_PATHS = {
 
 
 def lint_reports(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    events = spread_small(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
     return events.selectExpr(
         "cast(event_id as string) as file_id",
         f"{REPORT_PATHS[tool]} as path",
@@ -233,7 +239,7 @@ RAW_PACK = (
 
 
 def raw_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread_small(table(spark, sf_dir, "part"), "p_partkey").selectExpr(
         "cast(p_partkey % 3 as int) as dir_ord", "concat(cast(p_partkey as string), '.json') as path", f"{RAW_PACK} as raw"
     )
 

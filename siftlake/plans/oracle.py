@@ -14,7 +14,7 @@ _SPACE = r"[\s\p{Z}\x{85}\x0b]"
 
 
 def _quote(text: str | None) -> str:
-    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+    return "CAST(NULL AS VARCHAR)" if text is None else "'" + text.replace("'", "''") + "'"
 
 
 def _list(values) -> str:
@@ -35,6 +35,7 @@ def _rules(rules) -> str:
 
 _BUILTIN = _rules(builtin_rules())
 _TEXT_RULES = _rules(fx.TEXT_PACK)
+_TALK_RULES = _rules(fx.TEXT_PACK + fx.TALK_PACK).replace(r"\bthe\b", rf"(?:^|[^{_WORD}])the(?:$|[^{_WORD}])")
 _PAGE_RULES = _rules(builtin_rules() + fx.TEXT_PACK)
 _FILTER_RULES = _rules(fx.FILTER_PACK)
 
@@ -329,7 +330,7 @@ _TEXT = _SEEDED_SCORES + (
 ORACLE_SQL: dict[str, str] = {
     "scan_documents": _scan(_DOCS, _BUILTIN, f"SELECT {_FINDING} FROM found"),
     "scan_pages_pack": _scan(_PAGES, _PAGE_RULES, f"SELECT path, {_FINDING} FROM found"),
-    "scan_conversations_pack": _scan(_TURNS, _TEXT_RULES, f"SELECT {_FINDING} FROM found"),
+    "scan_conversations_pack": _scan(_TURNS, _TALK_RULES, f"SELECT {_FINDING} FROM found"),
     "scan_documents_pack": _scan(_DOCS, _TEXT_RULES, f"SELECT {_FINDING} FROM found"),
     "scan_seeded": _scan(_SEEDED, _BUILTIN, f"SELECT path, stage_ord, category, {_FINDING} FROM found"),
     "scan_lines": _scan(

@@ -64,7 +64,7 @@ def scan_pages_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_conversations_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.scan(fx.conversation_files(spark, sf), fx.TEXT_PACK).select(*_FINDING)
+    return scan.scan(fx.conversation_files(spark, sf), fx.TEXT_PACK + fx.TALK_PACK).select(*_FINDING)
 
 
 def scan_documents_pack(spark: SparkSession, sf: str) -> DataFrame:

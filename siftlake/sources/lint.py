@@ -7,14 +7,12 @@ whole report, and plain JSON decoding would silently convert or drop such a fiel
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.paths import extension
 from siftlake.functions.json import is_object as _is_object
-from siftlake.functions.json import json_document_sql, type_at
+from siftlake.functions.json import computed_once, json_document_sql, type_at
 from siftlake.functions.json import text_at as _text
 from siftlake.functions.json import whole_number_at as _count
 from siftlake.functions.severity import clippy_severity, report_severity, ruff_severity
@@ -69,14 +67,22 @@ _CHECKS = {
     ],
 }
 _FIELDS = {
-    "ruff": (_text("d", "$.code"), _text("d", "$.message"), _count("d", "$.location.row")),
-    "biome": (f"coalesce({_text('d', '$.code')}, 'BIOME')", _text("d", "$.message"), _count("d", "$.location.line")),
-    "oxlint": (f"coalesce({_text('d', '$.code')}, 'OXLLINT')", _text("d", "$.message"), _count("d", "$.line")),
-    "golangci-lint": (
-        _text("d", "$.from_linter"),
-        _text("d", "$.text"),
-        f"coalesce({_count('d', '$.location.line')}, 1L)",
-    ),
+    "ruff": {"code": _text("d", "$.code"), "message": _text("d", "$.message"), "line": _count("d", "$.location.row")},
+    "biome": {
+        "code": f"coalesce({_text('d', '$.code')}, 'BIOME')",
+        "message": _text("d", "$.message"),
+        "line": _count("d", "$.location.line"),
+    },
+    "oxlint": {
+        "code": f"coalesce({_text('d', '$.code')}, 'OXLLINT')",
+        "message": _text("d", "$.message"),
+        "line": _count("d", "$.line"),
+    },
+    "golangci-lint": {
+        "code": _text("d", "$.from_linter"),
+        "message": _text("d", "$.text"),
+        "line": f"coalesce({_count('d', '$.location.line')}, 1L)",
+    },
 }
 _DEFAULT_SEVERITY = {"biome": "error", "oxlint": "error", "golangci-lint": "info"}
 
@@ -84,18 +90,26 @@ _DEFAULT_SEVERITY = {"biome": "error", "oxlint": "error", "golangci-lint": "info
 def parse_lint(reports: DataFrame, tool: str | None = None) -> DataFrame:
     """Findings of the reports of one linter, or of all.
 
-    ``reports`` has file_id, path, raw and, unless one tool is named, tool.
+    ``reports`` has file_id, path, raw and, unless one tool is named, tool. Reports of all tools
+    take two passes: one for those that hold a single JSON document, one for those by line.
     """
     if tool is None:
-        parts = [parse_lint(reports.filter(F.col("tool") == name), name) for name in LINTERS]
-        return reduce(DataFrame.unionByName, parts)
-    diagnostics = _clippy_messages(reports) if tool == "clippy" else _diagnostics(reports, tool)
+        documents = _document_diagnostics(reports.filter(F.col("tool").isin(*_ARRAYS)), list(_ARRAYS))
+        lines = _clippy_messages(reports.filter(F.col("tool") == "clippy"))
+        diagnostics = documents.unionByName(lines)
+    elif tool == "clippy":
+        diagnostics = _clippy_messages(reports)
+    else:
+        diagnostics = _document_diagnostics(reports.withColumn("tool", F.lit(tool)), [tool])
+    number = F.lit(None).cast("int")
+    for at, name in enumerate(LINTERS, start=1):
+        number = F.when(F.col("tool") == name, at).otherwise(number)
     return diagnostics.select(
         "file_id",
         "path",
         F.lit(STAGE_LINT).alias("stage_ord"),
-        F.lit(LINTERS.index(tool) + 1).alias("rule_ord"),
-        "seq",
+        number.alias("rule_ord"),
+        F.col("seq").cast("bigint").alias("seq"),
         F.lit("lint").alias("category"),
         "severity",
         "code",
@@ -107,20 +121,23 @@ def parse_lint(reports: DataFrame, tool: str | None = None) -> DataFrame:
     )
 
 
-def _diagnostics(reports: DataFrame, tool: str) -> DataFrame:
-    checks = " and ".join([_is_object("d", "$"), *_CHECKS[tool]])
+def _items_sql(tool: str) -> str:
+    """SQL for a report's diagnostics as structs; NULL when any of them is not sound."""
     items = f"try_variant_get(report, '$.{_ARRAYS[tool]}', 'array<variant>')"
-    parsed = reports.select("file_id", "path", F.expr(json_document_sql("raw")).alias("report"))
-    sound = parsed.selectExpr(
-        "file_id", "path", f"posexplode(case when forall({items}, d -> d is not null and {checks}) then {items} end) as (seq, d)"
-    )
-    code, message, line = (F.expr(sql) for sql in _FIELDS[tool])
-    if tool == "ruff":
-        severity = ruff_severity(F.col("code"))
-    else:
-        severity = report_severity(F.expr(_text("d", "$.severity")), _DEFAULT_SEVERITY[tool])
-    fields = {"seq": F.col("seq").cast("bigint"), "code": code, "message": message, "line": line}
-    return sound.withColumns(fields).withColumn("severity", severity)
+    fields = {**_FIELDS[tool], "severity": "cast(null as string)" if tool == "ruff" else _text("d", "$.severity")}
+    struct = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
+    checks = " and ".join(["d is not null", _is_object("d", "$"), *_CHECKS[tool]])
+    return f"case when forall({items}, d -> {checks}) then transform({items}, d -> named_struct({struct})) end"
+
+
+def _document_diagnostics(reports: DataFrame, tools: list[str]) -> DataFrame:
+    parsed = reports.select("file_id", "path", "tool", F.expr(json_document_sql("raw")).alias("report"))
+    by_tool = " ".join(f"when '{tool}' then {_items_sql(tool)}" for tool in tools)
+    items = parsed.selectExpr("file_id", "path", "tool", f"posexplode(case tool {by_tool} end) as (seq, d)")
+    severity = ruff_severity(F.col("d.code"))
+    for tool, default in _DEFAULT_SEVERITY.items():
+        severity = F.when(F.col("tool") == tool, report_severity(F.col("d.severity"), default)).otherwise(severity)
+    return items.select("file_id", "path", "tool", "seq", severity.alias("severity"), "d.code", "d.message", "d.line")
 
 
 def _clippy_messages(reports: DataFrame) -> DataFrame:
@@ -132,7 +149,8 @@ def _clippy_messages(reports: DataFrame) -> DataFrame:
     lines = reports.filter(extension(F.col("path")) == "rs").select(
         "file_id", "path", F.posexplode(F.split("raw", "\n")).alias("seq", "raw_line")
     )
-    parsed = lines.select("file_id", "path", "seq", F.expr(json_document_sql("raw_line")).alias("m"))
+    message = computed_once(F.expr(json_document_sql("raw_line")))
+    parsed = lines.select("file_id", "path", "seq", message.alias("m"))
     same_name = F.expr(
         "exists(try_variant_get(m, '$.message.spans', 'array<variant>'), "
         f"s -> substring_index({_text('s', '$.file_name')}, '/', -1) = substring_index(path, '/', -1))"
@@ -142,7 +160,8 @@ def _clippy_messages(reports: DataFrame) -> DataFrame:
     return messages.select(
         "file_id",
         "path",
-        F.col("seq").cast("bigint").alias("seq"),
+        F.lit("clippy").alias("tool"),
+        "seq",
         clippy_severity(F.expr(_text("m", "$.message.level"))).alias("severity"),
         F.expr(f"coalesce({_text('m', '$.message.code.code')}, 'CLIPPY')").alias("code"),
         F.expr(_text("m", "$.message.message")).alias("message"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siftlake.functions.json import is_object, json_document_sql, text_at, type_at
+from siftlake.functions.json import computed_once, is_object, json_document_sql, text_at, type_at
 from siftlake.functions.patterns import PatternError, compile_rule
 from siftlake.functions.severity import rule_severity
 from siftlake.model import Rule
@@ -97,16 +97,22 @@ _RULE_STRUCT = (
 def first_pattern_problem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Why a pack's patterns are not usable, or NULL."""
 
-    def problem(patterns) -> str | None:
-        for pattern in patterns if patterns is not None else ():
+    known: dict[str, str | None] = {}
+
+    def problem(pattern: str) -> str | None:
+        if pattern not in known:
             try:
                 compile_rule(pattern)
+                known[pattern] = None
             except PatternError as error:
-                return f"{pattern}: {error}"
-        return None
+                known[pattern] = f"{pattern}: {error}"
+        return known[pattern]
+
+    def first(patterns) -> str | None:
+        return next(filter(None, map(problem, patterns)), None) if patterns is not None else None
 
     for batch in batches:
-        yield batch.map(problem).astype("object").where(lambda column: column.notna(), None)
+        yield batch.map(first).astype("object").where(lambda column: column.notna(), None)
 
 
 def parse_rule_packs(packs: DataFrame) -> DataFrame:
@@ -114,20 +120,18 @@ def parse_rule_packs(packs: DataFrame) -> DataFrame:
 
     One invalid rule rejects its whole pack.
     """
-    parsed = packs.select("dir_ord", "path", F.expr(json_document_sql("raw")).alias("pack_json"))
+    document = computed_once(F.expr(json_document_sql("raw")))
+    parsed = packs.select("dir_ord", "path", document.alias("pack_json"))
     rules = f"transform(try_variant_get(pack_json, '$.rules', 'array<variant>'), r -> {_RULE_STRUCT})"
-    fields = parsed.selectExpr(
-        "dir_ord",
-        "path",
-        f"{_VALID_PACK} as valid",
-        f"{text_at('pack_json', '$.name')} as name",
-        f"coalesce({text_at('pack_json', '$.version')}, '0.1.0') as version",
-        f"coalesce({text_at('pack_json', '$.description')}, '') as description",
-        f"case when {_VALID_PACK} then {rules} end as rules",
+    pack = F.struct(
+        F.expr(text_at("pack_json", "$.name")).alias("name"),
+        F.expr(f"coalesce({text_at('pack_json', '$.version')}, '0.1.0')").alias("version"),
+        F.expr(f"coalesce({text_at('pack_json', '$.description')}, '')").alias("description"),
+        F.expr(f"if({_VALID_PACK}, {rules}, null)").alias("rules"),
     )
+    fields = parsed.select("dir_ord", "path", computed_once(pack).alias("pack")).select("dir_ord", "path", "pack.*")
     problem = first_pattern_problem(F.expr("rules.pattern"))
-    reason = F.when(~F.coalesce("valid", F.lit(False)), "not a rule pack").otherwise(problem)
-    return fields.withColumn("reason", reason).drop("valid")
+    return fields.withColumn("reason", F.when(F.col("rules").isNull(), "not a rule pack").otherwise(problem))
 
 
 def valid_packs(parsed: DataFrame) -> DataFrame:
