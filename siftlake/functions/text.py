@@ -30,8 +30,9 @@ def fold_case(text: Column) -> Column:
 
 
 def sql_string(value: str) -> str:
-    """A string as a Spark SQL literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A string as a Spark SQL literal; ``${`` would otherwise name a variable."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{")
+    return f"'{escaped}'"
 
 
 def first_match_line_sql(text: str, pattern: str, nullable: bool = True) -> str:
