@@ -24,8 +24,9 @@ from siftlake.functions.patterns import CompiledPattern, PatternError, compile_r
 from siftlake.functions.text import first_match_line_sql, fold_case, sql_string
 from siftlake.model import PENALTIES, STAGE_SECURITY, TOTAL_COLUMNS, Rule
 
-# Rules per projection. Larger sets are scanned in blocks of this size.
-RULES_PER_BLOCK = 1000
+# Rules per projection: more would exceed what Spark compiles into one stage. Larger sets are
+# scanned in blocks; by then the patterns cost far more than reading the texts again.
+RULES_PER_BLOCK = 250
 
 _SLOW = "__slow_lines"
 _FOLDED = "__folded_text"

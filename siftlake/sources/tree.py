@@ -23,10 +23,13 @@ _LISTING = "file_id string, path string, ord bigint, size bigint"
 _BATCH_BYTES = 32 << 20
 
 
+FILE, OWN_FILES, TREE = "file", "own files", "tree"
+
+
 class Walk(InputPartition):
-    """One task's share of the listing: directories to walk and files already found."""
+    """One task's share of the listing: files, the files right inside a directory, or whole trees."""
 
-    def __init__(self, number: int, entries: list[tuple[int, str, bool]]):
+    def __init__(self, number: int, entries: list[tuple[int, str, str]]):
         super().__init__(number)
         self.entries = entries
 
@@ -37,40 +40,40 @@ class SourceTreeReader(DataSourceReader):
         self.ignore = set(json.loads(options["ignore"]))
         self.tasks = int(options["tasks"])
 
-    def _children(self, directory: str) -> tuple[list[str], list[str]]:
-        """Files and directories right below a directory; links are neither."""
-        files, directories = [], []
+    def _children(self, directory: str, want_files: bool) -> list[str]:
+        """The files, or else the directories, right inside a directory by name; links are neither."""
         try:
             with os.scandir(directory) as entries:
-                for entry in sorted(entries, key=lambda e: e.name):
-                    if entry.name in self.ignore:
-                        continue
-                    if entry.is_dir(follow_symlinks=False):
-                        directories.append(entry.path)
-                    elif entry.is_file(follow_symlinks=False):
-                        files.append(entry.path)
+                return sorted(
+                    entry.path
+                    for entry in entries
+                    if entry.name not in self.ignore
+                    and (entry.is_file(follow_symlinks=False) if want_files else entry.is_dir(follow_symlinks=False))
+                )
         except OSError:
-            pass  # an unreadable directory holds nothing
-        return files, directories
+            return []  # an unreadable directory holds nothing
 
     def partitions(self) -> list[Walk]:
         # A file target stands for itself, a directory for its tree, a missing target for nothing.
-        found = [(at, target, os.path.isdir(target)) for at, target in enumerate(self.targets) if os.path.exists(target)]
-        # Open directories from the top until there is one for every task, or none is left.
-        opened = 0
-        while opened < self.tasks and any(is_dir for _, _, is_dir in found) and len(found) < self.tasks:
-            at = next(i for i, (_, _, is_dir) in enumerate(found) if is_dir)
-            target, directory, _ = found.pop(at)
-            files, directories = self._children(directory)
-            found[at:at] = [(target, path, False) for path in files] + [(target, path, True) for path in directories]
-            opened += 1
+        kinds = [(at, path, TREE if os.path.isdir(path) else FILE) for at, path in enumerate(self.targets)]
+        found = [entry for entry in kinds if os.path.exists(entry[1])]
+        # Open the topmost directories until there are some for every task, or none is left. The
+        # driver only ever holds directories: listing the files inside them is left to the tasks.
+        while len(found) < 2 * self.tasks:
+            trees = [at for at, (_, _, kind) in enumerate(found) if kind == TREE]
+            if not trees:
+                break
+            at = min(trees, key=lambda tree: found[tree][1].count("/"))
+            target, path, _ = found[at]
+            below = [(target, name, TREE) for name in self._children(path, want_files=False)]
+            found[at : at + 1] = [(target, path, OWN_FILES), *below]
         share = -(-len(found) // self.tasks) or 1
         return [Walk(at // share, found[at : at + share]) for at in range(0, len(found), share)]
 
     def read(self, partition: Walk) -> Iterator[tuple]:
         number = 0
-        for target, start, is_dir in partition.entries:
-            for path in self._walk(start) if is_dir else [start]:
+        for target, start, kind in partition.entries:
+            for path in [start] if kind == FILE else self._walk(start, deep=kind == TREE):
                 try:
                     size = os.stat(path).st_size
                 except OSError:
@@ -79,12 +82,13 @@ class SourceTreeReader(DataSourceReader):
                 yield f"{target}:{name}", name, (partition.value << 40) + number, size
                 number += 1
 
-    def _walk(self, directory: str) -> Iterator[str]:
+    def _walk(self, directory: str, deep: bool) -> Iterator[str]:
         pending = [directory]
         while pending:
-            files, directories = self._children(pending.pop())
-            yield from files
-            pending += reversed(directories)
+            current = pending.pop()
+            yield from self._children(current, want_files=True)
+            if deep:
+                pending += reversed(self._children(current, want_files=False))
 
 
 class SourceTree(DataSource):
@@ -135,8 +139,11 @@ def read_texts(listing: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in fields) + ", text string"
-    # Only names are shuffled; then every task reads an even share of the files.
-    return listing.repartition("file_id").mapInArrow(read, schema)
+    # Only names are shuffled; then every task reads an even share of the files. The number of
+    # tasks is fixed, or Spark would judge by the size of the names and merge them into one.
+    spark = listing.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return listing.repartition(tasks, "file_id").mapInArrow(read, schema)
 
 
 def source_tree(
