@@ -244,6 +244,18 @@ def raw_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# One pack per document source, whose rule looks for that number as a word, as SQL.
+RAW_WORD_PACK = (
+    "concat('{\"name\":\"', source, '\",\"rules\":[{\"code\":\"', upper(source), '\",\"name\":\"n\",\"pattern\":\"[^0-9]', "
+    "substr(source, 4), '[^0-9]\",\"severity\":\"info\",\"message\":\"number\"}]}')"
+)
+
+
+def word_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    return sources.selectExpr("0 as dir_ord", "concat(source, '.json') as path", f"{RAW_WORD_PACK} as raw")
+
+
 def file_versions(documents: DataFrame) -> DataFrame:
     """Documents as successive versions of 97 files; every version has a time of its own."""
     doc_id = F.col("doc_id")

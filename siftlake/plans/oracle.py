@@ -339,6 +339,14 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT rule_ord, count(*) AS hits, min(line) AS first_line, max(line) AS last_line, CAST(sum(line) AS BIGINT) AS line_sum "
         "FROM found GROUP BY rule_ord",
     ),
+    "scan_loaded_packs": _scan(
+        _DOCS,
+        _BUILTIN + ", sources AS (SELECT DISTINCT source, substr(source, 4) AS number FROM documents)",
+        ", numbered AS (SELECT f.file_id, upper(s.source) AS code, regexp_extract(f.text, '(?s:^(.*?))(?:[^0-9]' || s.number || '[^0-9])', 1) "
+        "AS lead FROM files f JOIN sources s ON regexp_matches(f.text, '[^0-9]' || s.number || '[^0-9]')) "
+        "SELECT file_id, code, severity, line FROM found UNION ALL SELECT file_id, code, 'info', "
+        "CAST(1 + length(lead) - length(replace(lead, chr(10), '')) AS BIGINT) FROM numbered",
+    ),
     "rule_filters": _scan(_SEEDED, _FILTER_RULES, f"SELECT {_FINDING} FROM found", _RULE_WHERE),
     "decode_texts": f"WITH {_DOCS}, {_BUILTIN}, {_HITS.format(where=' WHERE f.ord % 10 <> 0')}, {_FOUND} "
     "SELECT f.file_id, f.ord % 10 <> 0 AS readable, count(g.file_id) AS total FROM files f "
@@ -349,6 +357,11 @@ ORACLE_SQL: dict[str, str] = {
     "WHEN 'javascript' THEN 'biome' WHEN 'typescript' THEN 'biome' WHEN 'go' THEN 'golangci-lint' WHEN 'rust' THEN 'clippy' END AS linter FROM paths",
     "language_counts": f"WITH {_PATHS} SELECT language, count(*) AS files FROM (SELECT {_LANGUAGE} AS language FROM paths) "
     "WHERE language IS NOT NULL GROUP BY language",
+    "language_extensions": f"WITH {_PATHS}, listed(extension, language, display, wire, linter) AS (VALUES ('py', 'python', 'Python', 'python', 'ruff'), "
+    "('js', 'javascript', 'JavaScript', 'java_script', 'biome'), ('jsx', 'javascript', 'JavaScript', 'java_script', 'biome'), "
+    "('ts', 'typescript', 'TypeScript', 'type_script', 'biome'), ('tsx', 'typescript', 'TypeScript', 'type_script', 'biome'), "
+    "('go', 'go', 'Go', 'go', 'golangci-lint'), ('rs', 'rust', 'Rust', 'rust', 'clippy')) "
+    f"SELECT l.language, display, wire, linter, extension, (SELECT count(*) FROM paths WHERE {_EXT} = l.extension) AS files FROM listed l",
     "language_include": f"WITH {_PATHS} SELECT path, {_LANGUAGE} AS language FROM paths WHERE {_LANGUAGE} IN ('go', 'rust')",
     "ignore_filter": f"WITH {_PATHS} SELECT file_id, path FROM paths WHERE NOT ({_IGNORED})",
     "glob_filter": f"WITH {_PATHS} SELECT path, "
@@ -405,7 +418,7 @@ ORACLE_SQL: dict[str, str] = {
     "count(*) FILTER (security < 70 OR code_quality < 60 OR overall < 50) > 0 THEN 'fail' ELSE 'pass' END AS result FROM scores",
     "findings_union": _ALL_FOUND
     + " SELECT stage_ord, category, severity, code, count(*) AS findings, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END "
-    "AS severity_rank FROM found GROUP BY ALL",
+    "AS severity_rank, severity = 'error' AS is_error, category = 'security' AS is_security FROM found GROUP BY ALL",
     "full_scores": _ALL_FOUND
     + f", {_totals('found')}, {_SCORES} SELECT file_id, errors, warnings, total, {_r('code_quality')}, {_r('overall')} FROM scores",
     "sarif_results": _scan(
@@ -455,6 +468,8 @@ ORACLE_SQL: dict[str, str] = {
     "json_extract_string(d, '$.pattern') AS pattern, CASE lower(coalesce(json_extract_string(d, '$.severity'), 'warning')) "
     "WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'info' END AS severity, "
     "CAST(coalesce(json_array_length(d, '$.languages'), 0) AS INTEGER) AS n_languages FROM flat",
+    "pack_totals": f"WITH {_PACK_STATE} SELECT count(*) AS packs, CAST(sum(CASE WHEN p_partkey % 13 = 0 THEN 0 WHEN p_partkey % 5 = 0 THEN 2 "
+    "ELSE 1 END) AS BIGINT) AS rules FROM packs WHERE NOT bad_format AND NOT bad_pattern",
     "pack_rejected": f"WITH {_PACK_STATE} SELECT path, bad_format FROM packs WHERE bad_format OR bad_pattern",
     **{
         name: f"WITH {_lint_items(tool)} SELECT file_id, path, seq, severity, code, message, line FROM lint"

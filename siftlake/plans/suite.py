@@ -17,7 +17,7 @@ from siftlake.functions.paths import (
     language_of,
     stem,
 )
-from siftlake.functions.severity import severity_rank
+from siftlake.functions.severity import is_error, is_security, severity_rank
 from siftlake.functions.text import decode_text
 from siftlake.model import JudgeConfig
 from siftlake.operators import changes, finder, gate, judge, reports, scan, scoring
@@ -25,7 +25,7 @@ from siftlake.plans import fixtures as fx
 from siftlake.plans.check import Check, check
 from siftlake.session import shared_dir
 from siftlake.sources import packs, tree
-from siftlake.sources.builtin import builtin_rules, rule_catalogue
+from siftlake.sources.builtin import builtin_rules, language_table, rule_catalogue
 from siftlake.sources.changes import parse_changed_paths
 from siftlake.sources.lint import parse_lint
 from siftlake.sources.tables import files_from_table, supported_files
@@ -85,6 +85,13 @@ def scan_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scan_loaded_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """Built-in rules, then the rules of raw packs derived from the parts, over the documents."""
+    raw = fx.word_packs(spark, sf)
+    rules = builtin_rules() + packs.rules_of_packs(packs.valid_packs(packs.parse_rule_packs(raw)))
+    return scan.scan(fx.document_files(spark, sf), rules).select("file_id", "code", "severity", "line")
+
+
 def rule_filters(spark: SparkSession, sf: str) -> DataFrame:
     return scan.scan(fx.seeded_files(spark, sf), fx.FILTER_PACK).select(*_FINDING)
 
@@ -119,6 +126,14 @@ def language_counts(spark: SparkSession, sf: str) -> DataFrame:
     return supported_files(files).groupBy("language").agg(F.count(F.lit(1)).alias("files"))
 
 
+def language_extensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every supported extension with its language, linter and number of files."""
+    listed = language_table(spark).select("language", "display", "wire", "linter", F.explode("extensions").alias("extension"))
+    files = fx.paths_only(spark, sf).groupBy(extension(F.col("path")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+    counted = listed.join(files, "extension", "left")
+    return counted.select(*listed.columns, F.coalesce("n", F.lit(0).cast("bigint")).alias("files"))
+
+
 def language_include(spark: SparkSession, sf: str) -> DataFrame:
     files = fx.paths_only(spark, sf).withColumn("language", language_of(F.col("path")))
     return supported_files(files, ["go", "rust"]).select("path", "language")
@@ -238,7 +253,13 @@ def _full_check(spark: SparkSession, sf: str) -> Check:
 def findings_union(spark: SparkSession, sf: str) -> DataFrame:
     found = _full_check(spark, sf).findings
     groups = found.groupBy("stage_ord", "category", "severity", "code").agg(F.count(F.lit(1)).alias("findings"))
-    return groups.withColumn("severity_rank", severity_rank(F.col("severity")))
+    return groups.withColumns(
+        {
+            "severity_rank": severity_rank(F.col("severity")),
+            "is_error": is_error(F.col("severity")),
+            "is_security": is_security(F.col("category")),
+        }
+    )
 
 
 def full_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,6 +326,10 @@ def pack_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.select("dir_ord", "path", "pack", "at", "code", "pattern", "severity", F.size("languages").alias("n_languages"))
 
 
+def pack_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return packs.pack_totals(packs.valid_packs(packs.parse_rule_packs(fx.raw_packs(spark, sf))))
+
+
 def pack_rejected(spark: SparkSession, sf: str) -> DataFrame:
     rejected = packs.rejected_packs(packs.parse_rule_packs(fx.raw_packs(spark, sf)))
     return rejected.select("path", (F.col("reason") == "not a rule pack").alias("bad_format"))
@@ -373,10 +398,12 @@ QUERIES: dict[str, Query] = {
     "scan_documents_pack": scan_documents_pack,
     "scan_seeded": scan_seeded,
     "scan_lines": scan_lines,
+    "scan_loaded_packs": scan_loaded_packs,
     "rule_filters": rule_filters,
     "decode_texts": decode_texts,
     "language_detect": language_detect,
     "language_counts": language_counts,
+    "language_extensions": language_extensions,
     "language_include": language_include,
     "ignore_filter": ignore_filter,
     "glob_filter": glob_filter,
@@ -413,6 +440,7 @@ QUERIES: dict[str, Query] = {
     "rule_listing": rule_listing,
     "pack_summary": pack_summary,
     "pack_rules": pack_rules,
+    "pack_totals": pack_totals,
     "pack_rejected": pack_rejected,
     "lint_ruff": _lint("ruff"),
     "lint_biome": _lint("biome"),

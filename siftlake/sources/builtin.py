@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.model import Rule
+from siftlake.model import LANGUAGES, Rule
 
 # Code, severity, pattern, message and suggestion of each rule, in scan order.
 _RULES = [
@@ -147,6 +147,14 @@ def rule_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULE_CATALOGUE, "code string, name string, description string")
 
 
+def language_table(spark: SparkSession) -> DataFrame:
+    """The supported languages with their display name, extensions and default linter."""
+    rows = [(r.name, r.display, r.wire, list(r.extensions), r.linter) for r in LANGUAGES]
+    return spark.createDataFrame(
+        rows, "language string, display string, wire string, extensions array<string>, linter string"
+    )
+
+
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """Rules as a table, numbered in scan order."""
     rows = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -154,6 +155,19 @@ def pack_summary(packs: DataFrame) -> DataFrame:
     return packs.select("path", "name", "version", "description", F.size("rules").alias("rules"))
 
 
+def pack_totals(packs: DataFrame) -> DataFrame:
+    """One row: how many packs and how many rules in all."""
+    return packs.agg(
+        F.count(F.lit(1)).alias("packs"), F.coalesce(F.sum(F.size("rules")), F.lit(0)).cast("bigint").alias("rules")
+    )
+
+
+def example_pack(spark: SparkSession) -> DataFrame:
+    """The example pack as a raw pack row, ready to be parsed or written as a template."""
+    row = (0, "example-rules.json", json.dumps(EXAMPLE_PACK, indent=2))
+    return spark.createDataFrame([row], "dir_ord int, path string, raw string")
+
+
 def rules_of_packs(packs: DataFrame) -> list[Rule]:
     """The rules in loading order, for use in a scan. Rules are settings: they are few."""
     return [
