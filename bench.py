@@ -41,11 +41,12 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - start, 3)
 
-    run(HEADLINE[0])  # start the JVM's compilers before timing
-    seconds = {name: run(name) for name in HEADLINE}
+    # The first run of a query also times the JVM compiling it; the second is the steady state.
+    first = {name: run(name) for name in HEADLINE}
+    seconds = {name: min(first[name], run(name)) for name in HEADLINE}
     total = round(sum(seconds.values()), 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "first_run": first, "sf": sf}))
     spark.stop()
 
 

@@ -46,6 +46,14 @@ UNICODE_CLASSES = {
     "s": r"\t\n\x0B\f\r \x{85}\p{Z}",
 }
 
+# Character properties that only the JVM's engine knows, and complaints of the
+# second engine about the size of a pattern rather than its form.
+JVM_PROPERTIES = {
+    *["alphabetic", "control", "digit", "hex_digit", "ideographic", "join_control", "letter", "lowercase"],
+    *["punctuation", "titlecase", "uppercase", "white_space"],
+}
+_ENGINE_LIMITS = ["repetition size", "pattern too large"]
+
 _PLAIN_ESCAPES = "aftnr"
 _CLASS_ESCAPES = "wWsSdD"
 
@@ -77,7 +85,9 @@ def compile_rule(pattern: str, linear_form: str | None = None) -> CompiledPatter
         try:
             pc.match_substring_regex(pa.array([""]), arrow)
         except pa.ArrowInvalid as problem:
-            raise PatternError(str(problem)) from None
+            if not any(limit in str(problem) for limit in _ENGINE_LIMITS):
+                raise PatternError(str(problem)) from None
+            arrow = None
     tree = _parse(probe)
     folding = pattern.startswith("(?i)") and _can_fold(pattern[4:], tree)
     needles = _needles(tree, folding) if tree is not None else ()
@@ -118,6 +128,8 @@ def _translate(pattern: str) -> tuple[str, str | None, str | None]:
                 arrow = None  # the other engine has no negated class inside a class
             if rest[1:2] in ("p", "P", "x", "u", "U"):
                 probe = None
+            if (named := re.match(r"\\[pP]\{\^?(\w+)\}", rest)) and named[1].lower() in JVM_PROPERTIES:
+                arrow = None
             continue
         if depth:
             if named := re.match(r"\[:(\^?)(\w+):\]", rest):

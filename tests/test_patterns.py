@@ -25,6 +25,7 @@ CASES = [
     (r"\p{Greek}", "α", True), (r"\p{Greek}", "a", False), (r"\pL", "é", True), (r"\P{L}", "é", False), (r"\x{1F600}", "😀", True),
     (r"\U0001F600", "😀", True), (r"\v", "\x0b", True), (r"\v", "\n", False), (r"[]a]", "]", True), (r"(?i)[A-Z]x", "kX", True),
     (r"(?i)ÉX", "éx", True), (r"(?s).b", "\nb", True), (r".b", "\nb", False), (r".b", "\rb", True), (r"\d", "٣", True),
+    (r"\p{Alphabetic}+", "é", True), (r"\P{White_Space}", "\u00a0", False), (r"x{1500}", "x" * 1500, True), (r"[^\pL]", "é", False),
     (r"(?-u:\d)", "٣", False), (r"a\z", "a", True), (r"\Aa", "ba", False), (r"[\w-]+@", "é-@", True), (r"\$\{x\}", "${x}", True),
     (r"a{2}b{1,}c{0,2}", "aabb", True), (r"[^\S\n]x", "\tx", True), (r"(?i)k", "\u212a", True), (r"(?i)\Q", None, None),
 ]
@@ -43,7 +44,7 @@ def test_translation_matches(spark, pattern, text, expected):
 
 def test_facts():
     rule = compile_rule(r"""(?i)(?:execute|query|exec)\s*\(f['"]""")
-    assert rule.folded and rule.needles == (('"', "'"), ("exec", "query"), ("(f",)) or ("(f",) in rule.needles
+    assert rule.folded and rule.needles == (('"', "'"), ("exec", "query"), ("(f",))
     assert compile_rule("a*").nullable and not compile_rule("a+").nullable
     assert compile_rule(r"eval\s*\(").linear and compile_rule(r"\b\d+\.\d+\b").linear
     assert not compile_rule(r"[\w.]+@x").linear and not compile_rule(r"a.*b").linear and not compile_rule(r"a\s*\s*b").linear
