@@ -13,17 +13,30 @@ SMALL_BYTES_PER_CORE = 16 << 20
 
 
 def files_from_table(
-    table: DataFrame, file_id: str | Column, text: str | Column, path: str | Column | None = None
+    table: DataFrame,
+    file_id: str | Column,
+    text: str | Column,
+    path: str | Column | None = None,
+    ord: str | Column | None = None,
 ) -> DataFrame:
-    """Read a table as files. Rows without a path have no language."""
-    file_id, text = (F.col(c) if isinstance(c, str) else c for c in (file_id, text))
-    location = F.lit(None).cast("string") if path is None else F.col(path) if isinstance(path, str) else path
+    """Read a table as files. Rows without a path have no language.
+
+    ``ord`` orders the files in reports and decides between equally bad ones. Without it, numeric
+    ids give the order, and other ids a fixed one of their own; neither needs a shuffle.
+    """
+
+    def column(value: str | Column) -> Column:
+        return F.col(value) if isinstance(value, str) else value
+
+    name = column(file_id).cast("string")
+    location = F.lit(None).cast("string") if path is None else column(path)
+    order = F.coalesce(name.try_cast("bigint"), F.xxhash64(name)) if ord is None else column(ord).cast("bigint")
     return table.select(
-        file_id.cast("string").alias("file_id"),
+        name.alias("file_id"),
         location.alias("path"),
         (F.lit(None).cast("string") if path is None else language_of(location)).alias("language"),
-        text.alias("text"),
-        file_id.cast("bigint").alias("ord"),
+        column(text).alias("text"),
+        order.alias("ord"),
     )
 
 

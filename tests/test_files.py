@@ -63,6 +63,10 @@ def test_decoding_folding_and_rounding(spark):
 def test_table_rows_without_path(spark):
     files = files_from_table(spark.createDataFrame([(7, "x")], "id long, body string"), "id", "body")
     assert files.collect()[0].asDict() == {"file_id": "7", "path": None, "language": None, "text": "x", "ord": 7}
+    named = spark.createDataFrame([("a-1", "x", 3), ("a-2", "y", 2)], "id string, body string, n int")
+    orders = [row.ord for row in files_from_table(named, "id", "body").collect()]
+    assert len(set(orders)) == 2 and None not in orders
+    assert [row.ord for row in files_from_table(named, "id", "body", ord="n").collect()] == [3, 2]
 
 
 @pytest.fixture
