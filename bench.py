@@ -17,7 +17,7 @@ HEADLINE = [
     "scan_seeded",
     "score_seeded",
     "full_scores",
-    "gate_verdict",
+    "gate_outcome",
     "json_report",
     "sarif_logs",
     "text_report",

@@ -1,4 +1,4 @@
-"""Corpus summary, worst file, thresholds and the pass/fail verdict."""
+"""Corpus summary, worst file, thresholds and the pass/fail outcome."""
 
 from __future__ import annotations
 
@@ -77,16 +77,16 @@ def _violation_count(thresholds: Thresholds) -> Column:
     return sum((F.when(check, 1).otherwise(0) for check in below), F.lit(0))
 
 
-def gate_verdict(scores: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
+def gate_outcome(scores: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
     """One row: errors fail first, then threshold violations, else pass."""
     violations = F.coalesce(F.sum(_violation_count(thresholds or Thresholds())), F.lit(0)).cast("bigint")
-    verdict = (
+    outcome = (
         F.when(F.col("errors") > 0, "fail_errors").when(F.col("violations") > 0, "fail_thresholds").otherwise("pass")
     )
-    return scores.agg(*_corpus_sums(), violations.alias("violations")).withColumn("verdict", verdict)
+    return scores.agg(*_corpus_sums(), violations.alias("violations")).withColumn("outcome", outcome)
 
 
 def ci_outputs(scores: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
     """The outputs of a check step: findings, errors and the result word."""
-    result = F.when(F.col("verdict") == "pass", "pass").otherwise("fail")
-    return gate_verdict(scores, thresholds).select("findings", "errors", result.alias("result"))
+    result = F.when(F.col("outcome") == "pass", "pass").otherwise("fail")
+    return gate_outcome(scores, thresholds).select("findings", "errors", result.alias("result"))

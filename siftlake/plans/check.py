@@ -27,8 +27,8 @@ class Check:
     scores: DataFrame
     stages: list[str]
 
-    def verdict(self, thresholds: Thresholds | None = None) -> DataFrame:
-        return gate.gate_verdict(self.scores, thresholds)
+    def outcome(self, thresholds: Thresholds | None = None) -> DataFrame:
+        return gate.gate_outcome(self.scores, thresholds)
 
 
 def check(

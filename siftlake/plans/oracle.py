@@ -405,11 +405,11 @@ ORACLE_SQL: dict[str, str] = {
     "SELECT file_id, path, 'code_quality', code_quality, 60.0 FROM scores UNION ALL SELECT file_id, path, 'overall', overall, 50.0 FROM scores) "
     f"SELECT file_id, dimension, {_r('value')}, lim AS \"limit\", path || ': ' || dimension || ' ' || {_display('checks.value')} "
     f"|| ' < threshold ' || {_display('lim')} AS message FROM checks WHERE checks.value < lim",
-    "gate_verdict": _SEEDED_SCORES
+    "gate_outcome": _SEEDED_SCORES
     + ", sums AS (SELECT count(*) AS files, CAST(sum(total) AS BIGINT) AS findings, CAST(sum(errors) AS BIGINT) AS errors, "
     "CAST(sum(warnings) AS BIGINT) AS warnings, CAST(sum((security < 70)::INT + (code_quality < 60)::INT + (overall < 50)::INT) AS BIGINT) "
     "AS violations FROM scores) SELECT *, CASE WHEN errors > 0 THEN 'fail_errors' WHEN violations > 0 THEN 'fail_thresholds' ELSE 'pass' END "
-    "AS verdict FROM sums",
+    "AS outcome FROM sums",
     "corpus_summary": _EVENT_SCORES
     + "SELECT count(*) AS files, CAST(sum(total) AS BIGINT) AS findings, CAST(sum(errors) AS BIGINT) AS errors, "
     "CAST(sum(warnings) AS BIGINT) AS warnings FROM scores",

@@ -228,8 +228,8 @@ def threshold_violations(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("file_id", "dimension", _rounded("value"), "limit", "message")
 
 
-def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return _seeded_check(spark, sf).verdict()
+def gate_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    return _seeded_check(spark, sf).outcome()
 
 
 def corpus_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,8 +276,8 @@ def sarif_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sarif_logs(spark: SparkSession, sf: str) -> DataFrame:
-    by_language = F.floor(F.length("code") + F.col("rule_ord") / 4)
-    return reports.sarif_logs(_seeded_check(spark, sf).findings, by_language)
+    by_rules = F.floor(F.length("code") + F.col("rule_ord") / 4)
+    return reports.sarif_logs(_seeded_check(spark, sf).findings, by_rules)
 
 
 def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,7 +356,7 @@ def judge_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def long_texts(text: str, path: str | None) -> Iterator[dict]:
-    """A finder: texts of more than 50 lines; fails on texts with a NUL-like marker."""
+    """A finder: texts of more than 50 lines. It fails on some texts, as a finder may."""
     if "system" in text:
         raise ValueError("refused")
     lines = text.count("\n") + 1
@@ -424,7 +424,7 @@ QUERIES: dict[str, Query] = {
     "worst_file": worst_file,
     "critical_threshold": critical_threshold,
     "threshold_violations": threshold_violations,
-    "gate_verdict": gate_verdict,
+    "gate_outcome": gate_outcome,
     "corpus_summary": corpus_summary,
     "ci_outputs": ci_outputs,
     "findings_union": findings_union,

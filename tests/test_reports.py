@@ -61,17 +61,17 @@ def test_test_files(make_files, make_findings):
 def test_gate(spark, make_files, make_findings):
     files = make_files([("a.py", ""), ("b.py", ""), ("c.go", "")])
 
-    def verdict(*rows, thresholds=None):
+    def outcome(*rows, thresholds=None):
         scores = score(files, make_findings(*rows))
-        return gate.gate_verdict(scores, thresholds).collect()[0], gate.ci_outputs(scores, thresholds).collect()[0]
+        return gate.gate_outcome(scores, thresholds).collect()[0], gate.ci_outputs(scores, thresholds).collect()[0]
 
-    full, outputs = verdict(finding(file_id="1", category="security"))
-    assert (full.verdict, full.errors, outputs.result) == ("fail_errors", 1, "fail")
+    full, outputs = outcome(finding(file_id="1", category="security"))
+    assert (full.outcome, full.errors, outputs.result) == ("fail_errors", 1, "fail")
     warnings = [finding(file_id="1", category="security", severity="warning", seq=n) for n in range(7)]
-    full, outputs = verdict(*warnings)
-    assert (full.verdict, full.violations, outputs.result, full.files, full.findings) == ("fail_thresholds", 1, "fail", 3, 7)
-    full, outputs = verdict(*warnings, thresholds=Thresholds(security=65.0))
-    assert (full.verdict, outputs.result, outputs.findings, outputs.errors) == ("pass", "pass", 7, 0)
+    full, outputs = outcome(*warnings)
+    assert (full.outcome, full.violations, outputs.result, full.files, full.findings) == ("fail_thresholds", 1, "fail", 3, 7)
+    full, outputs = outcome(*warnings, thresholds=Thresholds(security=65.0))
+    assert (full.outcome, outputs.result, outputs.findings, outputs.errors) == ("pass", "pass", 7, 0)
     scores = score(files, make_findings(*warnings))
     violations = gate.threshold_violations(scores).collect()
     assert [v.message for v in violations] == ["b.py: security 65 < threshold 70"]
@@ -88,7 +88,7 @@ def test_worst_file_of_equals_is_the_first_and_of_none_is_none(make_files, make_
     assert gate.worst_file(scores).collect()[0].file_id == "0"
     empty = scores.filter("false")
     assert gate.worst_file(empty).count() == 0
-    assert gate.gate_verdict(empty).collect()[0].verdict == "pass"
+    assert gate.gate_outcome(empty).collect()[0].outcome == "pass"
 
 
 def test_sarif(one_file, make_findings):
