@@ -71,4 +71,4 @@ def register_finder(spark: SparkSession, name: str, finder: Finder) -> None:
                 full = _DEFAULTS | dict(row)
                 yield tuple(full.get(column) for column in _RESULT_COLUMNS)
 
-    spark.udtf.register(name, F.udtf(Find, returnType=_RESULT))
+    spark.udtf.register(name, F.udtf(Find, returnType=_RESULT, useArrow=True))

@@ -126,7 +126,7 @@ def _prepared(files: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]])
             conditions.append(f"{_subject(compiled)} rlike {sql_string(compiled.java)}")
             line = first_match_line_sql(_subject(compiled), compiled.java, compiled.nullable)
         lines.append(f"case when {' and '.join(conditions)} then {line} end" if conditions else line)
-    return files, f"array({', '.join(lines)})"
+    return files, f"cast(array({', '.join(lines)}) as array<bigint>)"
 
 
 def scan(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:

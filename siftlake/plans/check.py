@@ -37,6 +37,7 @@ def check(
     lint_reports: DataFrame | None = None,
     judge_responses: DataFrame | None = None,
     materialize: bool = False,
+    security_scan: bool = True,
 ) -> Check:
     """Scan files and merge linter reports and model reviews into findings and scores.
 
@@ -44,8 +45,9 @@ def check(
     written to the shared folder once; findings, scores and every report then read them rather
     than scan the texts again, and lost executors cost no rescan. Scores of the scan need no
     shuffle: only lint and review findings, which arrive separately, are joined by file.
+    Without ``security_scan`` no rules are run and files are scored by the other findings alone.
     """
-    rules = builtin_rules() if rules is None else rules
+    rules = [] if not security_scan else builtin_rules() if rules is None else rules
     spark = files.sparkSession
     hits = scan_hits(files, rules)
     if materialize:
@@ -59,7 +61,8 @@ def check(
     if lint_reports is not None:
         stages.append("Lint")
         others.append(parse_lint(lint_reports))
-    stages.append("Security")
+    if security_scan:
+        stages.append("Security")
     if judge_responses is not None:
         stages.append("Semantic")
         others.append(judge_findings(hits, judge_responses))

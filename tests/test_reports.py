@@ -189,6 +189,13 @@ def test_check_with_all_stages(spark, make_files):
     assert seen[0][3] == [(["Preprocess", "Lint", "Security", "Semantic", "Aggregate"], 3, [], 0)]
 
 
+@pytest.mark.parametrize("materialize", [False, True])
+def test_check_without_rules(make_files, materialize):
+    result = check(make_files([("a.py", "eval(x)")]), security_scan=False, materialize=materialize)
+    assert result.findings.count() == 0 and result.stages == ["Preprocess", "Aggregate"]
+    assert [(s.total, s.security) for s in result.scores.collect()] == [(0, 100.0)]
+
+
 def test_sinks(spark, one_file, make_findings, tmp_path):
     found = make_findings(finding(), finding(seq=1))
     scores = score(one_file, found)
