@@ -28,7 +28,7 @@ from siftlake.sources import packs, tree
 from siftlake.sources.builtin import builtin_rules, language_table, rule_catalogue
 from siftlake.sources.changes import parse_changed_paths
 from siftlake.sources.lint import parse_lint
-from siftlake.sources.tables import files_from_table, supported_files
+from siftlake.sources.tables import files_from_table, spread_tasks, supported_files
 from siftlake.streaming import on_save
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,8 +373,10 @@ def custom_finder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = fx.table(spark, sf, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    table = fx.table(spark, sf, "documents")
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    tasks = spread_tasks(table)
+    return stream.repartition(tasks, "doc_id") if tasks else stream
 
 
 def stream_scan(spark: SparkSession, sf: str) -> DataFrame:

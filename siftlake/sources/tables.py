@@ -46,13 +46,18 @@ def supported_files(files: DataFrame, languages: list[str] | None = None) -> Dat
     return kept.filter(F.col("language").isin(*languages)) if languages else kept
 
 
+def spread_tasks(table: DataFrame) -> int:
+    """How many tasks to spread a small table over; 0 for a large one."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return cores * 2 if size < cores * SMALL_BYTES_PER_CORE else 0
+
+
 def spread_small(table: DataFrame, key: str) -> DataFrame:
     """Spread a small table over all cores by a unique key; leave a large one as it is read.
 
     A parquet row group is read by one task. A small table often is a single row group, which
     would leave all other cores idle; a large one has enough of them, and is never shuffled.
     """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return table.repartition(cores * 2, key) if size < cores * SMALL_BYTES_PER_CORE else table
+    tasks = spread_tasks(table)
+    return table.repartition(tasks, key) if tasks else table
