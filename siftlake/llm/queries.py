@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import jaccard, substrings
+from siftlake.llm import jaccard, mixing, sentencepieces, substrings, toxicity
 from siftlake.session import configure
 
 
@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(_table(spark, sf_dir, "documents"))
 
@@ -21,15 +34,56 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 # Words by the bytes that separate them. DuckDB's regular expressions know \x escapes.
-_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x09-\x0D\x20]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x09-\x0D\x20]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op3_mixing": r"""
+with d as (
+  select doc_id, source, md5('0:' || doc_id) as place,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
+  from documents
+),
+s as (
+  select source, cast(sum(size) as bigint) as source_size,
+         (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
+  from d group by source
+),
+o as (
+  select *, 3 * source_size as cap,
+         sum(source_size) over () - coalesce(sum(3 * source_size) over (
+           order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as left_over,
+         sum(weight) over (
+           order by 3 * source_size / weight, source nulls last rows between current row and unbounded following) as weights
+  from s
+),
+c as (select *, cap * weights <= left_over * weight as capped from o),
+t as (
+  select source, source_size,
+         case when capped then cast(cap as double)
+              else cast(weight as double) * cast(max(left_over) filter (not capped) over () as double)
+                   / cast(sum(weight) filter (not capped) over () as double) end as target
+  from c
+),
+e as (
+  select d.doc_id, d.size, t.source_size, t.target,
+         case when t.source_size > 0 then cast(floor(t.target / t.source_size) as bigint) else 0 end as repeats,
+         coalesce(sum(d.size) over (partition by d.source order by place, doc_id, size
+                  rows between unbounded preceding and 1 preceding), 0) as base
+  from d join t on d.source is not distinct from t.source
+)
+select doc_id, cast(size as bigint) as size, source_size, target,
+       cast(repeats * size + greatest(0, least(size, cast(round(target - repeats * source_size) as bigint) - base)) as bigint) as taken
+from e
+""",
     "op6_substring_dedup": f"""
 with w as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as words from documents),
 b as (
@@ -38,11 +92,11 @@ b as (
 h as (select doc_id, start, md5(array_to_string(words[start:start + 49], ' ')) as block from b),
 f as (select block, min(doc_id) as first_id from h group by block),
 s as (select h.doc_id, list(h.start) as starts from h join f using (block) where f.first_id < h.doc_id group by h.doc_id),
-c as (select doc_id, list_distinct(flatten(list_transform(starts, s -> generate_series(s, s + 49)))) as gone from s),
+c as (select doc_id, list_distinct(flatten(list_transform(starts, lambda s: generate_series(s, s + 49)))) as gone from s),
 k as (
   select w.doc_id, len(words) as n_words, coalesce(len(gone), 0) as n_removed,
          case when gone is null then words
-              else list_filter(words, (x, i) -> not list_contains(gone, i)) end as kept
+              else list_filter(words, lambda x, i: not list_contains(gone, i)) end as kept
   from w left join c using (doc_id)
 )
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
@@ -52,7 +106,7 @@ with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as words from d
 s as (
   select doc_id, case when len(words) = 0 then []
     when len(words) < 5 then [array_to_string(words, ' ')]
-    else list_distinct(list_transform(generate_series(1, len(words) - 4), i -> array_to_string(words[i:i + 4], ' '))) end as grams
+    else list_distinct(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], ' '))) end as grams
   from w
 ),
 n as (select doc_id, len(grams) as n from s),

@@ -13,6 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Text bytes handled at once inside a task; only a single longer text exceeds it.
 PIECE_BYTES = 8 << 20
@@ -123,3 +126,26 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+def map_texts(docs: DataFrame, results, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) of ``docs`` and those that ``results`` makes of each text.
+
+    ``results`` turns an array of texts into one array per field, in a narrow step over bounded
+    pieces. The kept columns travel as one struct, so their names and types do not matter; one that has
+    the name of a result is replaced by it.
+    """
+    names = [field.name for field in fields]
+    keep = [name for name in (docs.columns if keep is None else keep) if name not in names]
+    rest = [F.col(f"`{name}`") for name in keep if name != "text"]
+    packed = docs.select(F.struct(F.lit(True).alias("__row"), *rest).alias("row"), F.col("text").cast("string").alias("text"))
+    with_text = "text" in keep
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            columns = [piece.column("row"), *([piece.column("text")] if with_text else []), *results(piece.column("text"))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *(["text"] if with_text else []), *names])
+
+    schema = T.StructType([packed.schema["row"], *([packed.schema["text"]] if with_text else []), *fields])
+    mapped = packed.mapInArrow(step, schema)
+    return mapped.select(*(F.col("text") if n == "text" else F.col(f"row.`{n}`") for n in keep), *names)
