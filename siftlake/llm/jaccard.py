@@ -118,47 +118,54 @@ def _short_lists(words: int, percent: int, long_lists):
     return entries
 
 
-def _sets(words: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_class(words: int):
+    """Only texts of the class they were fetched for: a repeated id may bring another one."""
+
+    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            found = shingle_sets(piece.column("text"), words)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            values = pa.array(signed(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("class"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["class", "shingles"]
-            )
+            found = np.array([set_class(s) for s in shingle_sets(piece.column("text"), words)], np.int64)
+            yield piece.filter(pa.array(found == piece.column("class").to_numpy(zero_copy_only=False)))
 
-    return sets
+    return of_class
 
 
-def _probe(percent: int):
+def _probe(words: int, percent: int):
     """Keep the pairs whose overlap, found by binary search of one set in the other, suffices."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for name in ("shingles_a", "shingles_b"):
-                column = batch.column(name)
-                values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                sides.append((values, column.offsets.to_numpy()))
-            kept = np.zeros(batch.num_rows, bool)
-            for at in range(batch.num_rows):
-                one, two = (values[places[at] : places[at + 1]] for values, places in sides)
-                few, many = (one, two) if len(one) <= len(two) else (two, one)
+        for piece in pieces(batches, "text_a"):
+            one = shingle_sets(piece.column("text_a"), words)
+            two = shingle_sets(piece.column("text_b"), words)
+            kept = np.zeros(piece.num_rows, bool)
+            for at, (few, many) in enumerate(zip(one, two)):
+                if len(few) > len(many):
+                    few, many = many, few
                 place = np.searchsorted(many, few)
                 place[place == len(many)] = 0
                 common = int(np.count_nonzero(many[place] == few))
-                kept[at] = 100 * common >= percent * (len(one) + len(two) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(kept))
+                kept[at] = 100 * common >= percent * (len(one[at]) + len(two[at]) - common)
+            yield piece.select(["a", "b"]).filter(pa.array(kept))
 
     return probe
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("shingles_a"))
-    two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("shingles_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b")
-    return both.mapInArrow(_probe(percent), "a long, b long")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    one = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_probe(words, percent), "a long, b long")
+
+
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that occur together often enough in the merged lists.
+
+    Two sets must share T = ceil((n_a + n_b) * p / (100 + p)) shingles. Beyond the merged lists, the
+    one whose merged lists end first in the common order can only hold ceil(n * p / 100) - 1 more.
+    """
+    both = 100 + percent
+    needed = F.expr(f"({percent} * (n_a + n_b) + {both - 1}) div {both}")
+    unmerged = F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100 - 1")
+    return pairs.where(F.col("common") >= needed - unmerged)
 
 
 def _written(table: DataFrame, name: str) -> DataFrame:
@@ -177,7 +184,7 @@ def jaccard_components(
     result is exact up to collisions of 64-bit hashes.
 
     * Documents with equal sets are one class. Only classes are compared, so copies cost nothing.
-    * A class's shortest lists are merged by shingle. Lists that recur often are named first
+    * A class's shortest lists are merged by shingle, and pairs that meet too rarely are dropped. Lists that recur often are named first
       (a bounded list, counted over all documents) and rank last in the common order.
     * Each list links its members to its smallest one, if probing confirms it. Members of a list
       that are still in different components are then compared outside the list's largest
@@ -209,18 +216,24 @@ def jaccard_components(
     wanted = shared.select("class").distinct()
     chosen = members.join(wanted, "class", "left_semi").where("doc_id is not null")
     chosen = chosen.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = base.where("text is not null").join(chosen, "doc_id").select("class", "text")
-    sets = texts.mapInArrow(_sets(words), "class long, shingles array<long>")
-    # A repeated id may bring another text; its set then belongs to another class.
-    sets = _written(sets, "jaccard-sets")
+    texts = base.where("text is not null").join(chosen, "doc_id")
+    texts = texts.select("class", "text").mapInArrow(_of_class(words), "class long, text string")
+    texts = _written(texts, "jaccard-texts")
 
     def fits(one: str, other: str):
         return F.least(one, other) * 100 >= F.greatest(one, other) * percent
 
     hubs = shared.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("hub"))
     star = shared.join(hubs, "shingle").where((F.col("class") != F.col("hub.class")) & fits("n", "hub.n"))
-    star = _written(star.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-star")
-    near = _written(_verified(star, sets, percent), "jaccard-near")
+    star = star.select(
+        F.col("hub.class").alias("a"), F.col("hub.n").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")
+    ).distinct()
+    of_a = shared.select(F.col("class").alias("a"), "shingle")
+    of_b = shared.select(F.col("class").alias("b"), "shingle")
+    star = star.join(of_b, "b").join(of_a, ["a", "shingle"])
+    star = star.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    star = _written(_enough(star, percent), "jaccard-star")
+    near = _written(_verified(star, texts, words, percent), "jaccard-near")
 
     joined = components(near, "a", "b").select(F.col("node").alias("class"), "component")
     placed = shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -231,12 +244,22 @@ def jaccard_components(
     outside = placed.where(F.col("component") != F.col("top")).select(
         "shingle", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")
     )
+    # Of two members that are both outside, one order is enough.
     cross = outside.join(placed, "shingle").where(
-        (F.col("component") != F.col("other_component")) & fits("n", "other_n")
+        (F.col("component") != F.col("other_component"))
+        & fits("n", "other_n")
+        & ((F.col("component") == F.col("top")) | (F.col("class") < F.col("other")))
+    )
+    first = F.col("class") < F.col("other")
+    cross = cross.select(
+        F.least("class", "other").alias("a"),
+        F.greatest("class", "other").alias("b"),
+        F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("n_a"),
+        F.when(first, F.col("other_n")).otherwise(F.col("n")).alias("n_b"),
     )
-    cross = cross.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    cross = _written(cross.join(star, ["a", "b"], "left_anti"), "jaccard-cross")
-    near = near.unionByName(_verified(cross, sets, percent))
+    cross = cross.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
+    cross = _written(_enough(cross, percent).join(star.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-cross")
+    near = near.unionByName(_verified(cross, texts, words, percent))
 
     linked = components(near, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
     named_classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
