@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
@@ -26,6 +26,11 @@ LONG_LISTS = 1 << 18
 LONG_LIST = 8
 # A long list is merged in this many parts.
 PARTS = 64
+# Lists in which at least so many pairs are left to compare are first linked through more hubs of
+# their largest component, which connects most members without comparing all of them.
+CROWDED = 2048
+HUBS = 8
+HUB_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -77,7 +82,7 @@ def _survey(words: int):
 
 
 def _short_lists(words: int, percent: int, long_lists):
-    """Entries of each class's shortest lists: (shingle, part, class, n)."""
+    """Entries of each class's shortest lists, numbered in the common order: (shingle, part, class, n, at)."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, lengths = long_lists.value
@@ -85,7 +90,7 @@ def _short_lists(words: int, percent: int, long_lists):
         filtered[(named & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
         for piece in pieces(batches):
-            columns = [[], [], [], []]
+            columns = [[], [], [], [], []]
             if len(seen) > 1_000_000:
                 seen.clear()
             for shingles in shingle_sets(piece.column("text"), words):
@@ -109,11 +114,12 @@ def _short_lists(words: int, percent: int, long_lists):
                 columns[0].append(np.concatenate([short, rest]))
                 columns[1].append(parts)
                 columns[2].append(np.full(len(parts), name, np.int64))
-                columns[3].append(np.full(len(parts), size, np.int64))
+                columns[3].append(np.full(len(parts), size, np.int32))
+                columns[4].append(np.arange(1, len(parts) + 1, dtype=np.int32))
             if columns[0]:
                 arrays = [np.concatenate(column) for column in columns]
                 arrays[0] = signed(arrays[0])
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shingle", "part", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shingle", "part", "class", "n", "at"])
 
     return entries
 
@@ -156,16 +162,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(_probe(words, percent), "a long, b long")
 
 
-def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs that occur together often enough in the merged lists.
+def _can_link(one: str, other: str, percent: int) -> Column:
+    """Whether two entries of a list can be the first shingle that two linked sets have in common.
 
-    Two sets must share T = ceil((n_a + n_b) * p / (100 + p)) shingles. Beyond the merged lists, the
-    one whose merged lists end first in the common order can only hold ceil(n * p / 100) - 1 more.
+    Linked sets of n and m shingles share T = ceil((n + m) * p / (100 + p)) of them, and the first of
+    those, in the common order, has T - 1 more after it in either set.
     """
     both = 100 + percent
-    needed = F.expr(f"({percent} * (n_a + n_b) + {both - 1}) div {both}")
-    unmerged = F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100 - 1")
-    return pairs.where(F.col("common") >= needed - unmerged)
+    needed = f"({percent} * ({one}n + {other}n) + {both - 1}) div {both}"
+    return F.expr(f"{one}at <= {one}n - {needed} + 1 and {other}at <= {other}n - {needed} + 1")
+
+
+def _mixed_lists(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """Entries of the lists whose members are not all connected yet.
+
+    Every entry has the ``component`` of its class and, of its list, the largest component
+    (``top``), the number of members (``size``) and of those in other components (``outside``).
+    """
+    joined = components(near, "a", "b").select(F.col("node").alias("class"), "component")
+    placed = shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = placed.groupBy("shingle", "component").agg(F.count("*").alias("part"))
+    lists = parts.groupBy("shingle").agg(
+        F.max(F.struct("part", "component")).alias("top"), F.sum("part").alias("size"), F.count("*").alias("kinds")
+    )
+    mixed = lists.where("kinds > 1").select(
+        "shingle", F.col("top.component").alias("top"), "size", (F.col("size") - F.col("top.part")).alias("outside")
+    )
+    return placed.join(mixed, "shingle")
 
 
 def _written(table: DataFrame, name: str) -> DataFrame:
@@ -184,12 +207,12 @@ def jaccard_components(
     result is exact up to collisions of 64-bit hashes.
 
     * Documents with equal sets are one class. Only classes are compared, so copies cost nothing.
-    * A class's shortest lists are merged by shingle, and pairs that meet too rarely are dropped. Lists that recur often are named first
+    * A class's shortest lists are merged by shingle; pairs are dropped that meet too late to reach T. Lists that recur often are named first
       (a bounded list, counted over all documents) and rank last in the common order.
-    * Each list links its members to its smallest one, if probing confirms it. Members of a list
-      that are still in different components are then compared outside the list's largest
-      component. Any two linked classes share a list, so either they are already connected
-      or they are compared; near copies in thousands cost one comparison each.
+    * Each list links its members to its smallest one, if probing confirms it, and crowded lists then to some more. Members
+      that are still in different components are compared with all those outside their own. Any two linked
+      classes share a list, so either they are already connected or they are compared; near
+      copies in thousands cost a few comparisons each.
 
     NULL or empty texts have no shingles and link with nothing, nor do NULL ids, whose
     component is NULL. Repeated rows and ids are kept as they are. Other columns are ignored.
@@ -207,11 +230,11 @@ def jaccard_components(
     long_lists = spark.sparkContext.broadcast((hashes[order], named["n"].to_numpy(np.int64)[order]))
 
     usable = base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
-    entries = usable.mapInArrow(_short_lists(words, percent, long_lists), "shingle long, part int, class long, n long")
+    entries = usable.mapInArrow(_short_lists(words, percent, long_lists), "shingle long, part int, class long, n int, at int")
     lists = Window.partitionBy("shingle", "part")
     shared = entries.withColumns({"least": F.min("class").over(lists), "most": F.max("class").over(lists)})
     shared = shared.where((F.col("least") < F.col("most")) | (F.col("part") != 0))
-    shared = _written(shared.select("shingle", "class", "n").distinct(), "jaccard-lists")
+    shared = _written(shared.select("shingle", "class", "n", "at").distinct(), "jaccard-lists")
 
     wanted = shared.select("class").distinct()
     chosen = members.join(wanted, "class", "left_semi").where("doc_id is not null")
@@ -220,45 +243,31 @@ def jaccard_components(
     texts = texts.select("class", "text").mapInArrow(_of_class(words), "class long, text string")
     texts = _written(texts, "jaccard-texts")
 
-    def fits(one: str, other: str):
-        return F.least(one, other) * 100 >= F.greatest(one, other) * percent
-
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("hub"))
-    star = shared.join(hubs, "shingle").where((F.col("class") != F.col("hub.class")) & fits("n", "hub.n"))
-    star = star.select(
-        F.col("hub.class").alias("a"), F.col("hub.n").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")
-    ).distinct()
-    of_a = shared.select(F.col("class").alias("a"), "shingle")
-    of_b = shared.select(F.col("class").alias("b"), "shingle")
-    star = star.join(of_b, "b").join(of_a, ["a", "shingle"])
-    star = star.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    star = _written(_enough(star, percent), "jaccard-star")
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct("class", "n", "at")).alias("hub"))
+    star = shared.join(hubs, "shingle").where((F.col("class") != F.col("hub.class")) & _can_link("", "hub.", percent))
+    star = star.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
+    star = _written(star, "jaccard-star")
     near = _written(_verified(star, texts, words, percent), "jaccard-near")
 
-    joined = components(near, "a", "b").select(F.col("node").alias("class"), "component")
-    placed = shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    sizes = placed.groupBy("shingle", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"))
-    mixed = largest.where("kinds > 1").select("shingle", F.col("top.component").alias("top"))
-    placed = placed.join(mixed, "shingle")
-    outside = placed.where(F.col("component") != F.col("top")).select(
-        "shingle", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")
-    )
+    for turn in range(HUB_ROUNDS):
+        placed = _written(_mixed_lists(shared, near), f"jaccard-mixed-{turn}")
+        crowded = placed.where(F.col("outside") * F.col("size") >= CROWDED)
+        if crowded.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(HUBS))
+        hubs = crowded.where("component = top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct("class", "n", "at")).alias("hub"))
+        more = crowded.where("component <> top").join(hubs, "shingle").where(_can_link("", "hub.", percent))
+        more = more.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+        near = near.unionByName(_written(_verified(more, texts, words, percent), f"jaccard-near-{turn}"))
+
+    placed = _written(_mixed_lists(shared, near), "jaccard-mixed")
+    outside = placed.where("component <> top").select("shingle", F.struct("class", "n", "at", "component").alias("other"))
     # Of two members that are both outside, one order is enough.
     cross = outside.join(placed, "shingle").where(
-        (F.col("component") != F.col("other_component"))
-        & fits("n", "other_n")
-        & ((F.col("component") == F.col("top")) | (F.col("class") < F.col("other")))
-    )
-    first = F.col("class") < F.col("other")
-    cross = cross.select(
-        F.least("class", "other").alias("a"),
-        F.greatest("class", "other").alias("b"),
-        F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("n_a"),
-        F.when(first, F.col("other_n")).otherwise(F.col("n")).alias("n_b"),
+        F.expr("component <> other.component and (component = top or class < other.class)") & _can_link("", "other.", percent)
     )
-    cross = cross.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    cross = _written(_enough(cross, percent).join(star.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-cross")
+    cross = cross.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
+    cross = _written(cross.join(star, ["a", "b"], "left_anti"), "jaccard-cross")
     near = near.unionByName(_verified(cross, texts, words, percent))
 
     linked = components(near, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
