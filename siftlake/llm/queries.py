@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import jaccard, mixing, quality, sentencepieces, sharding, substrings, toxicity
+from siftlake.llm import (
+    fingerprints,
+    jaccard,
+    licenses,
+    mixing,
+    pivots,
+    quality,
+    sentencepieces,
+    sharding,
+    substrings,
+    toxicity,
+)
 from siftlake.session import configure
 
 
@@ -39,10 +50,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,7 +79,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_fingerprints": op5_fingerprints,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_embeddings": op7_embeddings,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
@@ -120,6 +146,25 @@ k as (
   from w left join c using (doc_id)
 )
 select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+""",
+    "op7_embeddings": """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e,
+         embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+         and list_bool_or(list_transform(embedding, lambda x: x <> 0)) as usable
+  from embeddings
+),
+l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.label = b.label and a.vec_id <> b.vec_id and a.usable and b.usable and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+),
+r(vec_id, reached) as (
+  select vec_id, vec_id from v union select r.vec_id, l.b from r join l on l.a = r.reached
+),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, any_value(coalesce(n_links, 0)) as n_links, min(reached) as component_id, vec_id = min(reached) as kept
+from r left join n using (vec_id) group by vec_id
 """,
     "op10_ngram_jaccard": f"""
 with recursive w as (select doc_id, {_WORDS.format(text=_LOWER)} as words from documents),
