@@ -16,6 +16,7 @@ HEADLINE = [
     "scan_conversations_pack",
     "scan_seeded",
     "score_seeded",
+    "low_scores",
     "full_scores",
     "gate_outcome",
     "json_report",

@@ -12,9 +12,9 @@ from siftlake.functions.json import computed_once, json_document_sql, text_at
 from siftlake.model import STAGE_SEMANTIC, JudgeConfig
 
 # The prompt around the language name and the code.
-_PROMPT_START = "Review this "
-_PROMPT_MIDDLE = " code for AI-generated code quality issues:\n\n"
-_PROMPT_END = (
+PROMPT_START = "Review this "
+PROMPT_MIDDLE = " code for AI-generated code quality issues:\n\n"
+PROMPT_END = (
     "\n\n\nCheck for:\n"
     "- Overly verbose or unnecessary abstractions\n"
     "- Missing error handling\n"
@@ -26,19 +26,24 @@ _PROMPT_END = (
 )
 
 
-def prompt_of(language: Column, text: Column, max_input_chars: int) -> Column:
-    snippet = F.left(text, F.lit(max_input_chars))
+def prompt_of(language: Column, snippet: Column) -> Column:
     name = F.coalesce(language, F.lit("unknown"))
-    return F.concat(F.lit(_PROMPT_START), name, F.lit(_PROMPT_MIDDLE), snippet, F.lit(_PROMPT_END))
+    return F.concat(F.lit(PROMPT_START), name, F.lit(PROMPT_MIDDLE), snippet, F.lit(PROMPT_END))
 
 
-def prompts(files: DataFrame, config: JudgeConfig) -> DataFrame:
-    """One prompt per readable file."""
-    prompt = prompt_of(F.col("language"), F.col("text"), config.max_input_chars)
-    return files.filter(F.col("text").isNotNull()).select("file_id", "path", prompt.alias("prompt"))
+def prompts(files: DataFrame, config: JudgeConfig, head_only: bool = False) -> DataFrame:
+    """Prompts for every readable file, one per ``chunk`` of as many characters as the model takes.
 
+    The chunks of a file, from 0, are its whole text. With ``head_only`` there is just chunk 0.
+    """
+    size = config.max_input_chars
+    last = F.lit(0) if head_only else F.expr(f"cast((greatest(char_length(text), 1) - 1) div {size} as int)")
+    chunks = files.filter(F.col("text").isNotNull()).withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    snippet = F.substring("text", F.col("chunk") * size + 1, F.lit(size))
+    return chunks.select("file_id", "path", "chunk", prompt_of(F.col("language"), snippet).alias("prompt"))
 
-def request_bodies(files: DataFrame, config: JudgeConfig) -> DataFrame:
+
+def request_bodies(files: DataFrame, config: JudgeConfig, head_only: bool = False) -> DataFrame:
     """The JSON body to send for each prompt."""
     message = F.struct(F.col("prompt").alias("content"), F.lit("user").alias("role"))
     body = F.struct(
@@ -47,7 +52,7 @@ def request_bodies(files: DataFrame, config: JudgeConfig) -> DataFrame:
         F.lit(config.model).alias("model"),
     )
     provider = F.lit(config.provider).alias("provider")
-    return prompts(files, config).select("file_id", provider, F.to_json(body).alias("body"))
+    return prompts(files, config, head_only).select("file_id", "chunk", provider, F.to_json(body).alias("body"))
 
 
 def response_texts(responses: DataFrame) -> DataFrame:

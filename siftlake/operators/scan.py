@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.functions.json import computed_once
 from siftlake.functions.paths import any_glob_sql
 from siftlake.functions.patterns import CompiledPattern, PatternError, compile_rule, is_sign_group
 from siftlake.functions.text import first_match_line_sql, fold_case, sql_string
@@ -146,10 +147,11 @@ def scan_hits(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ())
     """One row per file without its text: the lines of all rules' first matches as an array.
 
     This is the compact result to write once and derive both findings and scores from.
-    ``keep`` names further columns of the files to pass through.
+    ``keep`` names further columns of the files to pass through. The array is computed once per
+    file, whatever filters on scores or findings follow.
     """
     prepared, lines = _prepared(files, usable_rules(rules))
-    return prepared.select("file_id", "path", "language", "ord", *keep, F.expr(lines).alias("lines"))
+    return prepared.select("file_id", "path", "language", "ord", *keep, computed_once(F.expr(lines)).alias("lines"))
 
 
 def findings_of_hits(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:

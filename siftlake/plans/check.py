@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftlake.model import Rule, Thresholds
 from siftlake.operators import gate
 from siftlake.operators.judge import judge_findings
-from siftlake.operators.scan import findings_of_hits, scan, scan_hits, totals_of_hits
+from siftlake.operators.scan import findings_of_hits, scan_hits, totals_of_hits
 from siftlake.operators.scoring import add_totals, score_totals, totals_of_findings
 from siftlake.session import shared_dir
 from siftlake.sources.builtin import builtin_rules
@@ -26,11 +27,19 @@ class Check:
     findings: DataFrame
     scores: DataFrame
     stages: list[str]
+    unmatched_findings: DataFrame | None = None
 
     def outcome(self, thresholds: Thresholds | None = None) -> DataFrame:
         return gate.gate_outcome(self.scores, thresholds)
 
 
+def of_known_files(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings whose file is known, with that file's path."""
+    known = files.select("file_id", F.col("path").alias("file_path"))
+    joined = findings.join(known, "file_id").withColumn("path", F.col("file_path"))
+    return joined.select(*findings.columns)
+
+
 def check(
     files: DataFrame,
     rules: Sequence[Rule] | None = None,
@@ -45,6 +54,8 @@ def check(
     written to the shared folder once; findings, scores and every report then read them rather
     than scan the texts again, and lost executors cost no rescan. Scores of the scan need no
     shuffle: only lint and review findings, which arrive separately, are joined by file.
+    A linter finding belongs to the file of its report and takes its path; those of reports on files that
+    are not part of the check are kept apart as ``unmatched_findings``, so every finding has a score.
     Without ``security_scan`` no rules are run and files are scored by the other findings alone.
     """
     rules = [] if not security_scan else builtin_rules() if rules is None else rules
@@ -54,13 +65,13 @@ def check(
         target = shared_dir(spark, "hits")
         hits.write.parquet(target)
         hits = spark.read.parquet(target)
-        found = findings_of_hits(hits, rules)
-    else:
-        found = scan(files, rules)
-    stages, others = ["Preprocess"], []
+    found = findings_of_hits(hits, rules)
+    stages, others, unmatched = ["Preprocess"], [], None
     if lint_reports is not None:
         stages.append("Lint")
-        others.append(parse_lint(lint_reports))
+        lint = parse_lint(lint_reports)
+        others.append(of_known_files(lint, hits))
+        unmatched = lint.join(hits.select("file_id"), "file_id", "left_anti")
     if security_scan:
         stages.append("Security")
     if judge_responses is not None:
@@ -70,4 +81,4 @@ def check(
     totals = totals_of_hits(hits, rules)
     if others:
         totals = add_totals(totals, totals_of_findings(reduce(DataFrame.unionByName, others)))
-    return Check(hits, findings, score_totals(totals), [*stages, "Aggregate"])
+    return Check(hits, findings, score_totals(totals), [*stages, "Aggregate"], unmatched)

@@ -94,7 +94,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"
+        F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text"
     )
     return files_from_table(spread_small(turns, "turn_id"), "turn_id", "text")
 
@@ -116,9 +116,19 @@ def change_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.filter(F.col("source").isNotNull())
 
 
-def event_findings(spark: SparkSession, sf_dir: str, files: int = 2000) -> DataFrame:
-    """Events as findings of all categories and severities, spread over some file ids."""
-    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+def with_document(spark: SparkSession, sf_dir: str, rows: DataFrame, files: int | None = None) -> DataFrame:
+    """Give every event a document in turn, as ``doc_id``: any of them, or one of the first ``files``.
+
+    The ids of the given documents run from 0 without gaps, so their number is one bounded row.
+    """
+    number = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n_documents"))
+    some = F.col("n_documents") if files is None else F.least(F.lit(files).cast("bigint"), "n_documents")
+    return rows.crossJoin(F.broadcast(number)).withColumn("doc_id", F.col("event_id") % some).drop("n_documents")
+
+
+def event_findings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Events as findings of all categories and severities, spread over the documents."""
+    events = with_document(spark, sf_dir, table(spark, sf_dir, "events").select("event_id", "event_type"), files)
     category = (
         F.when(F.col("event_type") == "view", "performance")
         .when(F.col("event_type") == "error", "security")
@@ -127,7 +137,7 @@ def event_findings(spark: SparkSession, sf_dir: str, files: int = 2000) -> DataF
         .otherwise("best_practice")
     )
     return events.select(
-        (F.col("event_id") % files).cast("string").alias("file_id"),
+        F.col("doc_id").cast("string").alias("file_id"),
         F.lit(None).cast("string").alias("path"),
         F.lit(0).alias("stage_ord"),
         F.lit(0).alias("rule_ord"),
@@ -205,6 +215,12 @@ def lint_reports(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
     )
 
 
+def document_reports(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    """The reports of all events, each on one of the documents."""
+    reports = with_document(spark, sf_dir, lint_reports(spark, sf_dir, tool).withColumn("event_id", F.col("file_id").cast("bigint")))
+    return reports.select(F.col("doc_id").cast("string").alias("file_id"), path_of(F.col("doc_id")).alias("path"), "tool", "raw")
+
+
 RAW_RESPONSE = (
     "case when doc_id % 9 = 0 then 'no json' when doc_id % 2 = 0 then "
     "concat('{\"content\":[{\"type\":\"text\",\"text\":', case when doc_id % 8 = 0 then 'null' else "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from siftlake.operators.judge import PROMPT_END, PROMPT_MIDDLE, PROMPT_START
 from siftlake.plans import fixtures as fx
 from siftlake.plans.suite import JUDGE
 from siftlake.sources.builtin import RULE_CATALOGUE, builtin_rules
@@ -58,7 +59,7 @@ _SEEDED = (
     f"files AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, path, {_LANGUAGE} AS language, text, doc_id AS ord FROM seeded)"
 )
 _PAGES = f"files AS (SELECT CAST(page_id AS VARCHAR) AS file_id, url AS path, CAST(NULL AS VARCHAR) AS language, html AS text, page_id AS ord FROM pages)"
-_TURNS = "files AS (SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS file_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS language, text, conv_id * 1000 + turn AS ord FROM conversations)"
+_TURNS = "files AS (SELECT conv_id || ':' || turn AS file_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS language, text, CAST(NULL AS BIGINT) AS ord FROM conversations)"
 
 # Line feeds before the first match, plus one.
 _HITS = (
@@ -110,8 +111,9 @@ _SCORES = (
 )
 _SEEDED_SCORES = f"WITH {_SEEDED}, {_BUILTIN}, {_HITS.format(where='')}, {_FOUND}, {_totals('found')}, {_SCORES} "
 
+_DOCUMENT_OF_EVENT = "event_id % (SELECT max(doc_id) + 1 FROM documents)"
 _EVENT_FINDINGS = (
-    "found AS (SELECT CAST(event_id % 2000 AS VARCHAR) AS file_id, "
+    f"found AS (SELECT CAST({_DOCUMENT_OF_EVENT} AS VARCHAR) AS file_id, "
     "CASE event_type WHEN 'view' THEN 'performance' WHEN 'error' THEN 'security' WHEN 'purchase' THEN 'ai_semantic' "
     "WHEN 'click' THEN 'lint' ELSE 'best_practice' END AS category, "
     "(['error', 'warning', 'info'])[(event_id // 2000) % 3 + 1] AS severity FROM events)"
@@ -242,32 +244,19 @@ _ANSWERS = (
 )
 
 _PROMPT = (
-    "'Review this ' || coalesce(language, 'unknown') || ' code for AI-generated code quality issues:' || chr(10) || chr(10) "
-    f"|| left(text, {JUDGE.max_input_chars}) || "
-    + " || chr(10) || ".join(
-        _quote(line)
-        for line in [
-            "",
-            "",
-            "",
-            "Check for:",
-            "- Overly verbose or unnecessary abstractions",
-            "- Missing error handling",
-            "- Unreasonable dependency choices",
-            "- Template-like or boilerplate code",
-            "- Logic that looks correct but has subtle bugs",
-            "- Lack of edge case handling",
-            "",
-            "Rate on a scale of 0-100 and provide a brief explanation.",
-        ]
-    )
+    f"{_quote(PROMPT_START)} || coalesce(language, 'unknown') || {_quote(PROMPT_MIDDLE)} "
+    f"|| substring(text, chunk * {JUDGE.max_input_chars} + 1, {JUDGE.max_input_chars}) || {_quote(PROMPT_END)}"
+)
+_CHUNKS = (
+    f"chunks AS (SELECT *, CAST(unnest(generate_series(0, (greatest(length(text), 1) - 1) // {JUDGE.max_input_chars})) AS INTEGER) AS chunk "
+    "FROM files WHERE text IS NOT NULL)"
 )
 
-# The union of all stages; the linter's reports are keyed by event, the rest by document.
+# The union of all stages; the linter's reports are keyed by event and given to one document each.
 _ALL_FOUND = (
     f"WITH {_SEEDED}, {_BUILTIN}, {_HITS.format(where='')}, {_FOUND.replace('found AS', 'scanned AS')}, {_lint_items('ruff')}, {_ANSWERS}, "
     "found AS (SELECT file_id, stage_ord, category, severity, code FROM scanned UNION ALL "
-    "SELECT file_id, 0, 'lint', severity, code FROM lint UNION ALL "
+    f"SELECT CAST({_DOCUMENT_OF_EVENT} AS VARCHAR), 0, 'lint', severity, code FROM (SELECT CAST(file_id AS BIGINT) AS event_id, * FROM lint) UNION ALL "
     "SELECT file_id, 2, 'ai_semantic', 'info', 'SEM001' FROM answers WHERE ai_explanation IS NOT NULL)"
 )
 
@@ -397,7 +386,7 @@ ORACLE_SQL: dict[str, str] = {
     "score_overall": _EVENT_SCORES + f"SELECT file_id, {_r('overall')} FROM scores",
     "score_seeded": _SEEDED_SCORES + f"SELECT file_id, {_ROUNDED} FROM scores",
     "worst_file": _EVENT_SCORES + f"SELECT file_id, path, {_r('overall')} FROM scores ORDER BY scores.overall, ord LIMIT 1",
-    "critical_threshold": _EVENT_SCORES.replace("event_id % 2000", "event_id % 150")
+    "critical_threshold": _EVENT_SCORES.replace(_DOCUMENT_OF_EVENT, "event_id % (SELECT least(150, max(doc_id) + 1) FROM documents)")
     + f"SELECT file_id, path, security, 'security score ' || {_display('security')} || ' below critical threshold' AS message "
     "FROM (SELECT * FROM scores ORDER BY overall, ord LIMIT 1) WHERE security < 50",
     "threshold_violations": _SEEDED_SCORES
@@ -421,6 +410,10 @@ ORACLE_SQL: dict[str, str] = {
     "AS severity_rank, severity = 'error' AS is_error, category = 'security' AS is_security FROM found GROUP BY ALL",
     "full_scores": _ALL_FOUND
     + f", {_totals('found')}, {_SCORES} SELECT file_id, errors, warnings, total, {_r('code_quality')}, {_r('overall')} FROM scores",
+    "unmatched_lint": f"WITH {_lint_items('ruff')} SELECT CAST(file_id AS BIGINT) IN (SELECT doc_id FROM documents) AS has_file, "
+    "code, severity, count(*) AS findings FROM lint GROUP BY ALL",
+    "low_scores": _SEEDED_SCORES
+    + f"SELECT file_id, path, total, {_r('security')}, {_r('overall')} FROM scores WHERE overall < 60 OR security < 70",
     "sarif_results": _scan(
         _SEEDED,
         _BUILTIN,
@@ -481,9 +474,9 @@ ORACLE_SQL: dict[str, str] = {
         }.items()
     },
     "lint_clippy": _CLIPPY,
-    "prompts": f"WITH {_SEEDED} SELECT file_id, path, {_PROMPT} AS prompt FROM files",
-    "request_bodies": f"WITH {_SEEDED} SELECT file_id, '{JUDGE.provider}' AS provider, '{{\"max_tokens\":{JUDGE.max_tokens},"
-    f"\"messages\":[{{\"content\":' || to_json({_PROMPT}) || ',\"role\":\"user\"}}],\"model\":{json.dumps(JUDGE.model)}}}' AS body FROM files",
+    "prompts": f"WITH {_SEEDED}, {_CHUNKS} SELECT file_id, path, chunk, {_PROMPT} AS prompt FROM chunks",
+    "request_bodies": f"WITH {_SEEDED}, {_CHUNKS} SELECT file_id, chunk, '{JUDGE.provider}' AS provider, '{{\"max_tokens\":{JUDGE.max_tokens},"
+    f"\"messages\":[{{\"content\":' || to_json({_PROMPT}) || ',\"role\":\"user\"}}],\"model\":{json.dumps(JUDGE.model)}}}' AS body FROM chunks",
     "judge_findings": f"WITH {_ANSWERS} SELECT file_id, path, 'info' AS severity, 'SEM001' AS code, 'AI semantic review completed' AS message, "
     "ai_explanation FROM answers WHERE ai_explanation IS NOT NULL",
     "custom_finder": "WITH counted AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, contains(text, 'system') AS refused, "

@@ -33,7 +33,7 @@ from siftlake.streaming import on_save
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-JUDGE = JudgeConfig(provider="anthropic", model="judge-1", max_input_chars=200)
+JUDGE = JudgeConfig(provider="anthropic", model="judge-1")
 _FINDING = ["file_id", "rule_ord", "severity", "code", "message", "line", "suggestion"]
 _LINT = ["file_id", "path", "seq", "severity", "code", "message", "line"]
 
@@ -46,7 +46,7 @@ def _seeded_check(spark: SparkSession, sf: str, materialize: bool = False) -> Ch
     return check(fx.seeded_files(spark, sf), materialize=materialize)
 
 
-def _event_scores(spark: SparkSession, sf: str, n_files: int = 2000) -> DataFrame:
+def _event_scores(spark: SparkSession, sf: str, n_files: int | None = None) -> DataFrame:
     files = fx.paths_only(spark, sf).withColumn("language", language_of(F.col("path")))
     return scoring.score(files.withColumn("ord", F.col("file_id").cast("bigint")), fx.event_findings(spark, sf, n_files))
 
@@ -245,7 +245,7 @@ def ci_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _full_check(spark: SparkSession, sf: str) -> Check:
     """Scan, linter reports and model reviews over the same files, by file id."""
-    reports_by_file = fx.lint_reports(spark, sf, "ruff")
+    reports_by_file = fx.document_reports(spark, sf, "ruff")
     responses = fx.judge_responses(spark, sf)
     return check(fx.seeded_files(spark, sf), lint_reports=reports_by_file, judge_responses=responses)
 
@@ -267,6 +267,20 @@ def full_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scores.select("file_id", "errors", "warnings", "total", _rounded("code_quality"), _rounded("overall"))
 
 
+def unmatched_lint(spark: SparkSession, sf: str) -> DataFrame:
+    """Linter findings by whether their file is part of the check; reports are keyed by event, files by document."""
+    result = check(fx.seeded_files(spark, sf), lint_reports=fx.lint_reports(spark, sf, "ruff"))
+    matched = result.findings.where("category = 'lint'").select("code", "severity", F.lit(True).alias("has_file"))
+    others = result.unmatched_findings.select("code", "severity", F.lit(False).alias("has_file"))
+    return matched.unionByName(others).groupBy("has_file", "code", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def low_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that a review would start with; the filter must not scan any text again."""
+    scores = _seeded_check(spark, sf).scores.where("overall < 60 or security < 70")
+    return scores.select("file_id", "path", "total", _rounded("security"), _rounded("overall"))
+
+
 def sarif_results(spark: SparkSession, sf: str) -> DataFrame:
     return reports.sarif_results(_seeded_check(spark, sf).findings).drop("seq")
 
@@ -431,6 +445,8 @@ QUERIES: dict[str, Query] = {
     "ci_outputs": ci_outputs,
     "findings_union": findings_union,
     "full_scores": full_scores,
+    "unmatched_lint": unmatched_lint,
+    "low_scores": low_scores,
     "sarif_results": sarif_results,
     "sarif_rules": sarif_rules,
     "sarif_logs": sarif_logs,

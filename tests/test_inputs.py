@@ -118,13 +118,14 @@ def test_packs(spark, tmp_path, make_files):
     assert accepted == {name for name, _, valid in PACKS if valid} | {"_late.json"}
     assert packs.rejected_packs(loaded).count() == sum(not valid for _, _, valid in PACKS) + 1
     rules = packs.rules_of_packs(packs.valid_packs(loaded))
-    assert [r.code for r in rules] == ["LATE", "D1", "D1", "D1", "D1", "CUSTOM001"]
+    assert [r.code for r in rules] == ["LATE", "D1", "D1", "D1", "D1", "LOCAL001"]
     assert [r.severity for r in rules] == ["warning", "warning", "error", "info", "warning", "warning"]
     assert rules[2].languages == ("Go",) and rules[1].suggestion is None
     summary = {row.name: (row.version, row.rules) for row in packs.pack_summary(packs.valid_packs(loaded)).collect()}
     assert summary["empty"] == ("0.1.0", 0) and summary["y"] == ("1", 2)
-    found = scan(make_files([("src/a.js", "console.log(1)"), ("test/a.js", "console.log(1)"), ("a.py", "console.log(1)")]), builtin_rules() + rules)
-    assert [(f.file_id, f.code, f.rule_ord) for f in found.collect()] == [("0", "CUSTOM001", 19)]
+    texts = [("src/a.py", "breakpoint()"), ("test/a.py", "breakpoint()"), ("src/a.js", "breakpoint()")]
+    found = scan(make_files(texts), builtin_rules() + rules)
+    assert [(f.file_id, f.code, f.rule_ord) for f in found.collect()] == [("0", "LOCAL001", 19)]
 
 
 def test_pack_dirs():
@@ -136,11 +137,14 @@ CONFIG = JudgeConfig(provider="anthropic", model="m", max_input_chars=5)
 
 def test_prompts(make_files):
     files = make_files([("a.py", "😀éabcdef"), ("b", "x"), ("c.py", None)])
-    rows = {r.file_id: r.prompt for r in prompts(files, CONFIG).collect()}
+    rows = {r.file_id: r.prompt for r in prompts(files, CONFIG, head_only=True).collect()}
     assert set(rows) == {"0", "1"}
+    chunks = prompts(files, CONFIG).orderBy("file_id", "chunk").collect()
+    assert [(r.file_id, r.chunk) for r in chunks] == [("0", 0), ("0", 1), ("1", 0)]
+    assert chunks[0].prompt == rows["0"] and "issues:\n\ndef\n\n\nCheck" in chunks[1].prompt
     assert rows["0"].startswith("Review this python code for AI-generated code quality issues:\n\n😀éabc\n\n\nCheck for:\n- Overly")
     assert rows["1"].startswith("Review this unknown code")
-    body = json.loads(request_bodies(files, CONFIG).filter("file_id = '0'").collect()[0].body)
+    body = json.loads(request_bodies(files, CONFIG).filter("file_id = '0' and chunk = 0").collect()[0].body)
     assert body == {"model": "m", "max_tokens": 500, "messages": [{"role": "user", "content": rows["0"]}]}
 
 

@@ -49,6 +49,26 @@ def test_scores_of_a_scan_need_no_shuffle(stored):
     assert "Exchange" not in plan_of(check(files).scores)
 
 
+@pytest.mark.parametrize("condition", ["true", "total > 0", "security < 70", "overall < 60"])
+def test_filters_on_scores_do_not_scan_again(stored, condition):
+    files = files_from_table(stored, "id", "text", "path")
+    result = check(files)
+    unfiltered = plan_of(result.scores).count("innerhtml\\s*=")
+    assert plan_of(result.scores.where(condition)).count("innerhtml\\s*=") == unfiltered
+    hits = scan_hits(files, builtin_rules()).where("size(filter(lines, l -> l > 3)) > 0 and size(lines) > 1")
+    assert plan_of(hits).count("innerhtml\\s*=") == unfiltered
+
+
+def test_every_linter_finding_of_a_known_file_is_scored(spark, stored):
+    files = files_from_table(stored, "id", "text", "path")
+    raw = '{"diagnostics":[{"code":"E1","message":"m","location":{"row":2}}]}'
+    lint = spark.createDataFrame([("1", "other.py", "ruff", raw), ("gone", "b.py", "ruff", raw)], "file_id string, path string, tool string, raw string")
+    result = check(files, lint_reports=lint)
+    assert result.findings.count() == result.scores.agg(F.sum("total")).first()[0]
+    assert [r.path for r in result.findings.where("category = 'lint'").collect()] == ["a.py"]
+    assert [r.file_id for r in result.unmatched_findings.collect()] == ["gone"]
+
+
 def test_linter_findings_are_summed_before_they_are_joined(spark, stored):
     files = files_from_table(stored, "id", "text", "path")
     lint = spark.createDataFrame([("1", "a.py", "ruff", "{}")], "file_id string, path string, tool string, raw string")
