@@ -21,6 +21,8 @@ from siftlake.llm.components import components
 NEAREST = 6
 SHARED = 2
 MIN_PIVOTS, MAX_PIVOTS = 128, 4096
+# Vectors sampled per pivot, and the cosine from which on two of them are too close to be both pivots.
+SAMPLED, APART = 4, 0.7
 # Longer lists are cut into parts that are compared pairwise, in tasks of their own.
 PART_ROWS = 1024
 _PAIRS = np.array(list(combinations(range(NEAREST), SHARED)))
@@ -32,6 +34,21 @@ def pivot_count(vectors: int) -> int:
     return min(MAX_PIVOTS, max(MIN_PIVOTS, wanted))
 
 
+def spread_out(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Unit vectors of a sample in order, without those close to an earlier one.
+
+    Copies of one vector would make poor pivots: which of them are nearest is chance.
+    """
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    kept = np.empty((most, unit.shape[1]))
+    count = 0
+    for vector in unit:
+        if count < most and (not count or (kept[:count] @ vector).max() < APART):
+            kept[count] = vector
+            count += 1
+    return kept[:count]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
@@ -147,7 +164,7 @@ def _linked(table: pa.Table, width: int, cosine: float) -> tuple[np.ndarray, np.
     norms = np.linalg.norm(vectors, axis=1)
     unit = vectors / norms[:, None]
     left, right, ranges = _same_list(blocks)
-    lefts, rights = [], []
+    lefts, rights = [left[:0]], [right[:0]]
     for at in range(0, len(left), 1 << 16):
         one, two = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
         near = np.einsum("ij,ij->i", unit[one], unit[two]) >= cosine - 1e-9
@@ -194,8 +211,8 @@ def near_embeddings(
 
     Vectors of equal labels link if their cosine, in double precision, is at least ``cosine`` and
     they are found: that is, if they share SHARED of their NEAREST pivots. All vectors are indexed and compared;
-    only the pivots are a bounded sample, by a hash of the ids, and so are the only vectors that are
-    broadcast (MAX_PIVOTS at most for every dimension).
+    only the pivots come from a bounded sample, by a hash of the ids (SAMPLED * MAX_PIVOTS vectors at
+    most for every dimension pass through the driver).
 
     Long lists are cut into parts by a hash, and every two parts are compared in a task of their own. A block returns one row
     per linked entry, with its number of links and a connected entry, never the pairs.
@@ -215,9 +232,9 @@ def near_embeddings(
     sizes = {row["width"]: row["n"] for row in usable.groupBy("width").agg(F.count("*").alias("n")).collect()}
     pivots = {}
     for width, count in sizes.items():
-        rows = usable.where(F.col("width") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_count(count)).select("vector").collect()
-        found = np.array([row["vector"] for row in rows], float)
-        pivots[width] = found / np.linalg.norm(found, axis=1, keepdims=True)
+        rows = usable.where(F.col("width") == width).orderBy(F.xxhash64("vec_id"), "vec_id")
+        rows = rows.limit(SAMPLED * pivot_count(count)).select("vector").collect()
+        pivots[width] = spread_out(np.array([row["vector"] for row in rows], float), pivot_count(count))
     pivots = spark.sparkContext.broadcast(pivots)
     fields = usable.schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", pair long, tops array<int>"

@@ -147,6 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, sample_rows: i
     # Sorted, so that a rerun draws the same batches.
     features = features.repartition(1).sortWithinPartitions("label", F.xxhash64("columns"), F.xxhash64("values"))
     row = features.mapInArrow(_fit, "intercept double, machine binary").first()
+    if row is None:
+        return 20.0, np.zeros((FEATURES, RANK + 1), np.float32)
     intercept = row["intercept"]
     if 0 < share < 1:
         intercept += float(np.log(share / (1 - share)))

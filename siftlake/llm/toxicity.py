@@ -129,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, sample_rows: i
     # Sorted, so that a rerun adds up the same numbers in the same order.
     features = features.repartition(1).sortWithinPartitions("label", F.xxhash64("features"))
     row = features.mapInArrow(_fit, "weights binary, intercept double, share double").first()
+    if row is None:
+        return np.zeros(1 << BITS, np.float32), -20.0
     weights, intercept = np.frombuffer(row["weights"], "<f4"), row["intercept"]
     if 0 < share < 1 and 0 < row["share"] < 1:
         intercept += float(np.log(share / (1 - share)) - np.log(row["share"] / (1 - row["share"])))
