@@ -12,12 +12,16 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
-from re import _constants as sre
-from re import _parser as sre_parser
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    from re import _constants as sre
+    from re import _parser as sre_parser
+except ImportError:  # private modules: without them patterns are not analysed, only run
+    sre = sre_parser = None
+
 # ``d``: only a line feed ends a line. ``U``: Unicode classes and case folding.
 JAVA_FLAGS = "(?dU)"
 
@@ -252,7 +256,7 @@ def _escape(rest: str, depth: int, put) -> int:
 
 
 def _parse(probe: str | None):
-    if probe is None:
+    if probe is None or sre_parser is None:
         return None
     try:
         with warnings.catch_warnings():

@@ -33,11 +33,12 @@ def select_changed(existing: DataFrame, changes: DataFrame | None, full: DataFra
     ``existing`` are all files of the repository, whatever their language, one row per path;
     ``full`` is what a complete check would cover. Without any existing changed file, or without
     a change list, the check covers everything. Changes that are all in unsupported languages
-    do count: they leave nothing to check. Ignored names are not applied to changed files.
+    do count: they leave nothing to check. Which of the two it is, is decided when the plan runs. Ignored names are not applied to changed files.
     """
     if changes is None:
         return full
     changed = existing_changes(existing, changes, source)
-    if changed.isEmpty():
-        return full
-    return supported_files(changed).select(*full.columns)
+    # One row if nothing that exists was changed, else none; an empty side spares the full scan.
+    nothing = changed.select("path").limit(1).agg(F.count("*").alias("__changed")).where("__changed = 0")
+    everything = full.crossJoin(F.broadcast(nothing)).select(*full.columns)
+    return supported_files(changed).select(*full.columns).unionByName(everything)

@@ -63,12 +63,18 @@ def finder_failures(found: DataFrame) -> DataFrame:
 
 
 def register_finder(spark: SparkSession, name: str, finder: Finder) -> None:
-    """Make a finder callable from SQL: ``FROM files, LATERAL name(files.text, files.path)``."""
+    """Make a finder callable from SQL: ``FROM files, LATERAL name(files.text, files.path)``.
+
+    When the finder fails on a text, that text yields one row with only ``finder_error``.
+    """
 
     class Find:
         def eval(self, text: str, path: str):
-            for row in finder(text, path) if text is not None else ():
-                full = _DEFAULTS | dict(row)
-                yield tuple(full.get(column) for column in _RESULT_COLUMNS)
+            try:
+                rows = [_DEFAULTS | dict(row) for row in (finder(text, path) if text is not None else ())]
+            except Exception as problem:  # noqa: BLE001 - any failure concerns this text only
+                rows = [{"finder_error": str(problem) or type(problem).__name__}]
+            for row in rows:
+                yield tuple(row.get(column) for column in [*_RESULT_COLUMNS, "finder_error"])
 
-    spark.udtf.register(name, F.udtf(Find, returnType=_RESULT, useArrow=True))
+    spark.udtf.register(name, F.udtf(Find, returnType=_RESULT + ", finder_error string", useArrow=True))

@@ -137,3 +137,8 @@ def test_custom_finder(spark, make_files):
     files.createOrReplaceTempView("finder_files")
     rows = spark.sql("select f.path, x.severity, x.message from finder_files f, lateral find_x(f.text, f.path) x").collect()
     assert sorted(map(tuple, rows)) == [("a.py", "info", "5"), ("b.py", "info", "5"), ("d.py", "info", "0")]
+    register_finder(spark, "find_y", lambda text, path: 1 / (len(text) - 5) and [{"code": "N", "message": path}])
+    rows = spark.sql("select f.path, x.code, x.finder_error from finder_files f, lateral find_y(f.text, f.path) x").collect()
+    assert sorted(map(repr, map(tuple, rows))) == [
+        "('a.py', None, 'division by zero')", "('b.py', None, 'division by zero')", "('d.py', 'N', None)"
+    ]
