@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.session import shared_dir
+from siftlake.llm.scratch import Scratch
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -17,19 +17,19 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     round. Per-node minima are aggregated before their shuffle, and the joins contain no
     aggregation above them, so a node with very many links can be split.
     """
-    spark = links.sparkSession
+    scratch = Scratch(links.sparkSession)
     a, b = F.col(left), F.col(right)
     pairs = links.where(a.isNotNull() & b.isNotNull() & (a != b))
     pairs = pairs.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("parent")).distinct()
-    state = None
+    state = before = None
     while True:
-        target = shared_dir(spark, "links")
-        pairs.write.parquet(target)
-        pairs = spark.read.parquet(target)
+        pairs = scratch.write(pairs, "links")
+        if before is not None:
+            scratch.discard(before)
         seen = pairs.agg(F.count("*"), F.sum(F.xxhash64("node", "parent").cast("decimal(20,0)"))).first()
         if seen == state or not seen[0]:
             break
-        state = seen
+        state, before = seen, pairs
         pairs = _small_star(_large_star(pairs))
     own = pairs.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()
     return pairs.select("node", F.col("parent").alias("component")).unionByName(own)

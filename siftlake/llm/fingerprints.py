@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.llm.scratch import Scratch
+
 RUN = 5
 # Runs say little about a text of fewer words.
 SHORT = 16
@@ -86,38 +88,43 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     start of the text with the next larger id. Columns: ``doc_id``, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
 
-    Texts are shuffled once, by id; what travels on to the document before is the part of a
-    text that it needs, and the anchors. NULL texts are empty. If several rows share an id,
-    the one with the smallest text hash is what the document before continues with. Rows
-    without an id are followed by the first document.
+    Texts are shuffled once, by id, for both joins; what travels on to the document before is the
+    part of a text that it needs, and the anchors. NULL texts are empty. If several rows share an
+    id, the one with the smallest text hash is what the document before continues with. Rows
+    without an id have no next document: their last quarter is cut off, and ``near_next`` compares with nothing.
     """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    narrow = base.select("doc_id", F.char_length("text").alias("n"), F.xxhash64("text").alias("hash"))
-    ids = narrow.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("hash").alias("hash"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if (id_column, text_column) != ("doc_id", "text"):
+        docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    # A cast, even to the same type, would hide from Spark that both joins read the same.
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    base = docs.select("doc_id", text.alias("text"))
+    known = base.where("doc_id is not null")
+    ids = known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"), F.min(F.xxhash64("text")).alias("hash"))
+    ids = Scratch(docs.sparkSession).write(ids, "fingerprint-ids")
     order = next_ids(ids, "doc_id")
-    # Rows without an id need the start of the first text; its number is one bounded row.
-    first_id = order.agg(F.min("id").alias("first_id"))
-    lost = ids.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "n").crossJoin(F.broadcast(first_id))
-    wanted = ids.join(order, F.col("doc_id") == F.col("id")).select("doc_id", "n", "next_id")
-    wanted = wanted.unionByName(lost.select("doc_id", "n", F.col("first_id").alias("next_id")))
-    wanted = wanted.select(F.col("doc_id").alias("for_id"), F.floor(F.col("n") / 4).cast("int").alias("length"), "next_id")
-    chosen = ids.select(F.col("doc_id").alias("next_id"), "hash")
-    wanted = wanted.join(chosen, "next_id")
-
-    heads = base.join(wanted, (F.col("doc_id") == F.col("next_id")) & (F.xxhash64("text") == F.col("hash")))
+    wanted = ids.select("doc_id", "n").join(order, F.col("doc_id") == F.col("id"))
+    wanted = wanted.select(F.col("doc_id").alias("for_id"), F.expr("cast(n div 4 as int)").alias("length"), "next_id")
+    wanted = wanted.join(ids.select(F.col("doc_id").alias("next_id"), "hash"), "next_id")
+
+    # As a difference, the hash is no key of the join, and both joins share the texts' shuffle by id.
+    same = F.xxhash64("text").bitwiseXOR(F.col("hash")) == 0
+    heads = known.join(wanted, F.col("doc_id") == F.col("next_id")).where(same)
     heads = _with_anchors(heads.select("for_id", "length", "text"), "text", "next_anchors")
     heads = heads.select("for_id", F.expr("left(text, length)").alias("head"), "next_anchors")
     # Rows repeated in full bring the same head twice.
     once = Window.partitionBy("for_id").orderBy("for_id")
     heads = heads.withColumn("__once", F.row_number().over(once)).where("__once = 1").drop("__once")
 
-    full = base.join(heads, F.col("doc_id").eqNullSafe(F.col("for_id")), "left")
+    full = known.join(heads, F.col("doc_id") == F.col("for_id")).select("doc_id", "text", "head", "next_anchors")
+    none = F.array().cast("array<long>")
+    lost = base.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), none.alias("next_anchors"))
+    full = full.unionByName(lost)
     full = _with_anchors(full.withColumn("n_chars", F.char_length("text").cast("long")), "text", "anchors")
-    edited = F.expr("concat(left(text, cast(n_chars - n_chars div 4 as int)), left(coalesce(head, ''), cast(n_chars div 4 as int)))")
-    full = full.withColumn("edited", edited).drop("text", "head", "for_id")
+    edited = F.expr("concat(left(text, cast(n_chars - n_chars div 4 as int)), left(head, cast(n_chars div 4 as int)))")
+    full = full.withColumn("edited", edited).drop("text", "head")
     full = _with_anchors(full, "edited", "edited_anchors")
-    full = full.withColumn("next_anchors", F.coalesce("next_anchors", F.array().cast("array<long>")))
     return full.select(
         "doc_id",
         "n_chars",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
 from siftlake.llm.words import mix, pieces, runs_of, signed, split_words
-from siftlake.session import shared_dir
+from siftlake.llm.scratch import Scratch
 
 # Long lists known by name to every task: 16 bytes each, 4 MB in all. Which lists are named only
 # orders the work; results do not depend on it.
@@ -191,12 +191,6 @@ def _mixed_lists(shared: DataFrame, near: DataFrame) -> DataFrame:
     return placed.join(mixed, "shingle")
 
 
-def _written(table: DataFrame, name: str) -> DataFrame:
-    target = shared_dir(table.sparkSession, name)
-    table.write.parquet(target)
-    return table.sparkSession.read.parquet(target)
-
-
 def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -218,8 +212,9 @@ def jaccard_components(
     component is NULL. Repeated rows and ids are kept as they are. Other columns are ignored.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    survey = _written(
+    survey = scratch.write(
         base.mapInArrow(_survey(words), "kind int, doc_id long, hash long, n long"), "jaccard-survey"
     )
     members = survey.where("kind = 0").select("doc_id", F.col("hash").alias("class"), "n")
@@ -234,23 +229,23 @@ def jaccard_components(
     lists = Window.partitionBy("shingle", "part")
     shared = entries.withColumns({"least": F.min("class").over(lists), "most": F.max("class").over(lists)})
     shared = shared.where((F.col("least") < F.col("most")) | (F.col("part") != 0))
-    shared = _written(shared.select("shingle", "class", "n", "at").distinct(), "jaccard-lists")
+    shared = scratch.write(shared.select("shingle", "class", "n", "at").distinct(), "jaccard-lists")
 
     wanted = shared.select("class").distinct()
     chosen = members.join(wanted, "class", "left_semi").where("doc_id is not null")
     chosen = chosen.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     texts = base.where("text is not null").join(chosen, "doc_id")
     texts = texts.select("class", "text").mapInArrow(_of_class(words), "class long, text string")
-    texts = _written(texts, "jaccard-texts")
+    texts = scratch.write(texts, "jaccard-texts")
 
     hubs = shared.groupBy("shingle").agg(F.min(F.struct("class", "n", "at")).alias("hub"))
     star = shared.join(hubs, "shingle").where((F.col("class") != F.col("hub.class")) & _can_link("", "hub.", percent))
     star = star.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
-    star = _written(star, "jaccard-star")
-    near = _written(_verified(star, texts, words, percent), "jaccard-near")
+    star = scratch.write(star, "jaccard-star")
+    near = scratch.write(_verified(star, texts, words, percent), "jaccard-near")
 
     for turn in range(HUB_ROUNDS):
-        placed = _written(_mixed_lists(shared, near), f"jaccard-mixed-{turn}")
+        placed = scratch.write(_mixed_lists(shared, near), f"jaccard-mixed-{turn}")
         crowded = placed.where(F.col("outside") * F.col("size") >= CROWDED)
         if crowded.isEmpty():
             break
@@ -258,19 +253,20 @@ def jaccard_components(
         hubs = crowded.where("component = top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct("class", "n", "at")).alias("hub"))
         more = crowded.where("component <> top").join(hubs, "shingle").where(_can_link("", "hub.", percent))
         more = more.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
-        near = near.unionByName(_written(_verified(more, texts, words, percent), f"jaccard-near-{turn}"))
+        near = near.unionByName(scratch.write(_verified(more, texts, words, percent), f"jaccard-near-{turn}"))
 
-    placed = _written(_mixed_lists(shared, near), "jaccard-mixed")
+    placed = scratch.write(_mixed_lists(shared, near), "jaccard-mixed")
     outside = placed.where("component <> top").select("shingle", F.struct("class", "n", "at", "component").alias("other"))
     # Of two members that are both outside, one order is enough.
     cross = outside.join(placed, "shingle").where(
         F.expr("component <> other.component and (component = top or class < other.class)") & _can_link("", "other.", percent)
     )
     cross = cross.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
-    cross = _written(cross.join(star, ["a", "b"], "left_anti"), "jaccard-cross")
+    cross = scratch.write(cross.join(star, ["a", "b"], "left_anti"), "jaccard-cross")
     near = near.unionByName(_verified(cross, texts, words, percent))
 
     linked = components(near, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
+    scratch.discard(*(table for table, _ in scratch.folders if table is not survey))
     named_classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     named_classes = named_classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named_classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))

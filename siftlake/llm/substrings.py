@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.words import pieces, runs_of, signed, split_words, text_bytes
-from siftlake.session import shared_dir
+from siftlake.llm.scratch import Scratch
 
 # Words per anchor: a block's anchor is the least hash among its runs of so many words.
 ANCHOR_WORDS = 8
 
-FACTORS = "array<struct<start:int,length:int,ref_id:long,ref_start:int>>"
+FACTORS = "array<struct<start:int,length:int,ref_id:long>>"
 
 
 def block_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -35,8 +35,17 @@ def block_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(runs[: len(runs) - rest], runs[rest:]) if len(runs) > rest else runs[:0]
 
 
+def _key(digest: str) -> int:
+    """The first 64 bits of a digest."""
+    return int(digest[:16], 16) - (1 << 63)
+
+
+def _word_digest(text: str | None) -> str:
+    return hashlib.sha256(b" ".join((text or "").encode().split())).hexdigest()
+
+
 def _survey(window: int):
-    """Per document its word count and the digest of its words (kind 0); distinct anchors by digest (kind 1)."""
+    """Per document its word count and the digest of its words (kind 0); distinct anchors by key (kind 1)."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -56,17 +65,19 @@ def _survey(window: int):
                     seen.add(digest.digest())
                     own = np.unique(block_anchors(hashes[start:end], window))
                     anchors.append(own)
-                    owners += [names[-1]] * len(own)
+                    owners.append(np.full(len(own), _key(names[-1]), np.int64))
+            owners = np.concatenate([np.zeros(0, np.int64), *owners])
             rows, more = len(names), len(owners)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat([0, 1], [rows, more]).astype(np.int32)),
                     pa.concat_arrays([piece.column("doc_id"), pa.nulls(more, pa.int64())]),
-                    pa.array(names + owners, pa.string()),
+                    pa.concat_arrays([pa.array(names, pa.string()), pa.nulls(more, pa.string())]),
+                    pa.array(np.concatenate([[_key(name) for name in names], owners]).astype(np.int64)),
                     pa.array(np.concatenate([found.counts(), np.zeros(more, np.int64)])),
                     pa.array(np.concatenate([np.zeros(rows, np.int64), *map(signed, anchors)])),
                 ],
-                ["kind", "doc_id", "digest", "n", "anchor"],
+                ["kind", "doc_id", "digest", "key", "n", "anchor"],
             )
 
     return survey
@@ -94,51 +105,47 @@ def _blocks(window: int):
     return blocks
 
 
-def factors_of(starts: np.ndarray, ref_ids: np.ndarray, ref_starts: np.ndarray, window: int) -> list[tuple]:
-    """Greedy factors from the blocks that have a reference, in order of their starts."""
+def factors_of(starts: np.ndarray, ref_ids: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (start, length, reference) from the blocks that have a reference, in order of their starts."""
     if not len(starts):
         return []
-    same = (np.diff(starts) == 1) & (np.diff(ref_starts) == 1) & (np.diff(ref_ids) == 0)
+    same = (np.diff(starts) == 1) & (np.diff(ref_ids) == 0)
     begin = np.concatenate([[0], np.flatnonzero(~same) + 1])
     size = np.diff(np.concatenate([begin, [len(starts)]])) + window - 1
-    return list(zip(starts[begin].tolist(), size.tolist(), ref_ids[begin].tolist(), ref_starts[begin].tolist()))
+    return list(zip(starts[begin].tolist(), size.tolist(), ref_ids[begin].tolist()))
 
 
 def _parse(window: int):
     """Factors, the number of covered words and the remaining words of each candidate document."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64())]))
         for piece in pieces(batches):
             factors, removed, kept, digests = [], [], [], []
             for text, hits in zip(piece.column("text").to_pylist(), piece.column("hits")):
-                fields = hits.values
-                starts, ids, refs = (fields.field(n).to_numpy(zero_copy_only=False) for n in ("start", "ref_id", "ref_start"))
+                starts, ids = (hits.values.field(n).to_numpy(zero_copy_only=False) for n in ("start", "ref_id"))
                 order = np.argsort(starts, kind="stable")
-                found = factors_of(starts[order], ids[order], refs[order], window)
+                found = factors_of(starts[order], ids[order], window)
                 words = text.encode().split()
                 left = np.ones(len(words), bool)
-                for start, length, _, _ in found:
+                for start, length, _ in found:
                     left[start : start + length] = False
                 rest = b" ".join([words[at] for at in np.flatnonzero(left).tolist()])
-                factors.append([dict(zip(("start", "length", "ref_id", "ref_start"), f)) for f in found])
+                factors.append([dict(zip(("start", "length", "ref_id"), factor)) for factor in found])
                 removed.append(int(len(words) - left.sum()))
                 kept.append(rest.decode())
                 digests.append(hashlib.sha256(rest).hexdigest())
-            kind = pa.list_(
-                pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64()), ("ref_start", pa.int32())])
-            )
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("digest"), pa.array(factors, kind), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
-                ["digest", "factors", "n_removed", "kept", "kept_sha256"],
-            )
+            columns = [pa.array(factors, kind), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([piece.column("digest"), *columns], ["digest", "factors", "n_removed", "kept", "kept_sha256"])
 
     return parse
 
 
-def _written(table: DataFrame, name: str) -> DataFrame:
-    target = shared_dir(table.sparkSession, name)
-    table.write.parquet(target)
-    return table.sparkSession.read.parquet(target)
+def _of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only texts with the digest they were fetched for: a repeated id may bring another one."""
+    for batch in batches:
+        pairs = zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist())
+        yield batch.filter(pa.array([_word_digest(text) == digest for text, digest in pairs], pa.bool_()))
 
 
 def repeated_passages(
@@ -157,44 +164,40 @@ def repeated_passages(
       becomes an anchor, and a block can only recur where its anchor does. Documents are first
       matched by anchors; the blocks themselves are hashed and compared only where anchors
       recur, in the texts that hold them.
-    * The reference of a block is its place in the smallest document that has it. Counting is
+    * The reference of a block is the smallest document that has it. Counting is
       partial before every shuffle, so a passage in very many documents is one row per task.
 
     NULL and empty texts have no words. Documents with a NULL id are never parsed nor used as
     references. Rows that repeat an id do not refer to each other, as neither id is smaller.
     """
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    survey = _written(
-        base.mapInArrow(_survey(window), "kind int, doc_id long, digest string, n long, anchor long"), "passages-survey"
-    )
-    members = survey.where("kind = 0").select("doc_id", "digest", F.col("n").alias("n_words"))
-    firsts = members.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    anchors = survey.where("kind = 1").select("digest", "anchor").distinct()
-    shared = anchors.groupBy("anchor").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    schema = "kind int, doc_id long, digest string, key long, n long, anchor long"
+    survey = scratch.write(base.mapInArrow(_survey(window), schema), "passages-survey")
+    members = survey.where("kind = 0").select("doc_id", "digest", "key", F.col("n").alias("n_words"))
+    members = scratch.write(members, "passages-documents")
+    firsts = members.where("doc_id is not null").groupBy("key", "digest").agg(F.min("doc_id").alias("first_id"))
+    anchors = survey.where("kind = 1").select("key", "anchor")
+    shared = anchors.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     shared = shared.where("least < most").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("digest").agg(F.collect_list("anchor").alias("anchors"))
-    wanted = wanted.join(firsts, "digest").select(F.col("first_id").alias("doc_id"), "digest", "anchors")
-    texts = base.where("text is not null").join(wanted, "doc_id")
-    # A repeated id may bring another text; only the text with this digest is meant.
-    joined_words = F.array_join(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda word: word != ""), " ")
-    texts = texts.where(F.sha2(joined_words, 256) == F.col("digest"))
-    texts = _written(texts.select("doc_id", "digest", "text", "anchors"), "passages-texts")
+    wanted = anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = wanted.join(firsts, "key").select(F.col("first_id").alias("doc_id"), "digest", "anchors")
+    texts = base.where("text is not null").join(wanted, "doc_id").select("doc_id", "digest", "text", "anchors")
+    texts = scratch.write(texts.mapInArrow(_of_digest, texts.schema), "passages-texts")
 
     blocks = texts.select("doc_id", "text", "anchors").mapInArrow(_blocks(window), "block long, doc_id long, start int")
-    refs = blocks.groupBy("block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    refs = refs.where("least < most").select("block", F.col("least").alias("ref_id"))
-    matched = blocks.join(refs, "block")
-    matched = _written(matched.select("block", "doc_id", "start", "ref_id"), "passages-matched")
-    places = matched.where("doc_id = ref_id").groupBy("block").agg(F.min("start").alias("ref_start"))
-    hits = matched.where("doc_id > ref_id").join(places, "block")
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ref_id", "ref_start")).alias("hits"))
+    refs = blocks.groupBy("block").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("most"))
+    refs = refs.where("ref_id < most").select("block", "ref_id")
+    hits = blocks.join(refs, "block").where("doc_id > ref_id")
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ref_id")).alias("hits"))
     parsed = texts.drop("anchors").join(hits, "doc_id").select("digest", "text", "hits")
     parsed = parsed.mapInArrow(
         _parse(window), f"digest string, factors {FACTORS}, n_removed long, kept string, kept_sha256 string"
     )
-    parsed = parsed.dropDuplicates(["digest"])
+    parsed = scratch.write(parsed.dropDuplicates(["digest"]), "passages-parsed")
+    scratch.discard(survey, texts)
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
-    documents = members.join(firsts, "digest", "left").withColumn("copy", F.coalesce(copy, F.lit(False)))
+    documents = members.join(firsts.select("digest", "first_id"), "digest", "left").withColumn("copy", F.coalesce(copy, F.lit(False)))
     return documents.select("doc_id", "digest", "n_words", "copy"), parsed
 
 
