@@ -26,11 +26,6 @@ LONG_LISTS = 1 << 18
 LONG_LIST = 8
 # A long list is merged in this many parts.
 PARTS = 64
-# Lists in which at least so many pairs are left to compare are first linked through more hubs of
-# their largest component, which connects most members without comparing all of them.
-CROWDED = 2048
-HUBS = 8
-HUB_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -176,18 +171,15 @@ def _can_link(one: str, other: str, percent: int) -> Column:
 def _mixed_lists(shared: DataFrame, near: DataFrame) -> DataFrame:
     """Entries of the lists whose members are not all connected yet.
 
-    Every entry has the ``component`` of its class and, of its list, the largest component
-    (``top``), the number of members (``size``) and of those in other components (``outside``).
+    Every entry has the ``component`` of its class and the largest component of its list, ``top``.
     """
     joined = components(near, "a", "b").select(F.col("node").alias("class"), "component")
     placed = shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = placed.groupBy("shingle", "component").agg(F.count("*").alias("part"))
     lists = parts.groupBy("shingle").agg(
-        F.max(F.struct("part", "component")).alias("top"), F.sum("part").alias("size"), F.count("*").alias("kinds")
-    )
-    mixed = lists.where("kinds > 1").select(
-        "shingle", F.col("top.component").alias("top"), "size", (F.col("size") - F.col("top.part")).alias("outside")
+        F.max(F.struct("part", "component")).alias("top"), F.count("*").alias("kinds")
     )
+    mixed = lists.where("kinds > 1").select("shingle", F.col("top.component").alias("top"))
     return placed.join(mixed, "shingle")
 
 
@@ -201,12 +193,13 @@ def jaccard_components(
     result is exact up to collisions of 64-bit hashes.
 
     * Documents with equal sets are one class. Only classes are compared, so copies cost nothing.
-    * A class's shortest lists are merged by shingle; pairs are dropped that meet too late to reach T. Lists that recur often are named first
-      (a bounded list, counted over all documents) and rank last in the common order.
-    * Each list links its members to its smallest one, if probing confirms it, and crowded lists then to some more. Members
-      that are still in different components are compared with all those outside their own. Any two linked
-      classes share a list, so either they are already connected or they are compared; near
-      copies in thousands cost a few comparisons each.
+    * A class's shortest lists are merged by shingle; pairs are dropped that meet too late to
+      reach T. Lists that recur often are named first (a bounded list, counted over all
+      documents) and rank last in the common order.
+    * Each list links its members to one of them, if probing confirms it. Members of
+      a list that are still in different components are then compared. Any two linked classes
+      share a list, so either they are already connected or they are compared; near copies in
+      thousands cost a few comparisons each.
 
     NULL or empty texts have no shingles and link with nothing, nor do NULL ids, whose
     component is NULL. Repeated rows and ids are kept as they are. Other columns are ignored.
@@ -238,23 +231,13 @@ def jaccard_components(
     texts = texts.select("class", "text").mapInArrow(_of_class(words), "class long, text string")
     texts = scratch.write(texts, "jaccard-texts")
 
-    hubs = shared.groupBy("shingle").agg(F.min(F.struct("class", "n", "at")).alias("hub"))
+    # The member that has the shingle earliest has the fewest rare ones, so it is close to most others.
+    hubs = shared.groupBy("shingle").agg(F.min(F.struct("at", "class", "n")).alias("hub"))
     star = shared.join(hubs, "shingle").where((F.col("class") != F.col("hub.class")) & _can_link("", "hub.", percent))
     star = star.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
     star = scratch.write(star, "jaccard-star")
     near = scratch.write(_verified(star, texts, words, percent), "jaccard-near")
 
-    for turn in range(HUB_ROUNDS):
-        placed = scratch.write(_mixed_lists(shared, near), f"jaccard-mixed-{turn}")
-        crowded = placed.where(F.col("outside") * F.col("size") >= CROWDED)
-        if crowded.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(HUBS))
-        hubs = crowded.where("component = top").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct("class", "n", "at")).alias("hub"))
-        more = crowded.where("component <> top").join(hubs, "shingle").where(_can_link("", "hub.", percent))
-        more = more.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
-        near = near.unionByName(scratch.write(_verified(more, texts, words, percent), f"jaccard-near-{turn}"))
-
     placed = scratch.write(_mixed_lists(shared, near), "jaccard-mixed")
     outside = placed.where("component <> top").select("shingle", F.struct("class", "n", "at", "component").alias("other"))
     # Of two members that are both outside, one order is enough.

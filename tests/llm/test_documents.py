@@ -89,9 +89,7 @@ def test_jaccard_components(docs, rows):
     assert found == brute_components(rows)
 
 
-def test_jaccard_of_many_borderline_copies(spark, monkeypatch):
-    # Lists count as crowded early, so that all ways of linking their members are taken.
-    monkeypatch.setattr(jaccard, "CROWDED", 4)
+def test_jaccard_of_many_borderline_copies(spark):
     draw = random.Random(3)
     base = [f"b{n}" for n in range(60)]
     rows = []
