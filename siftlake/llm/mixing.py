@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,47 +57,41 @@ def source_targets(sizes: DataFrame, max_epochs: int = 3, weight=default_weight)
     )
 
 
-def mix_plan(
+def _planned(
     docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
-    max_epochs: int = 3,
-    seed: int = 0,
-    weight=default_weight,
+    id_column: str,
+    text_column: str,
+    source_column: str,
+    max_epochs: int,
+    seed: int,
+    weight,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """How much of every document the mix takes: one row per document.
-
-    Columns: ``doc_id``, ``size`` (words; NULL text: 0), ``source_size``, ``target``, ``taken``,
-    ``repeats`` (whole repetitions) and ``part`` (words of one more, partial repetition).
-
-    Every document of a source is repeated floor(target / source size) times. The rest of the
-    target is filled with documents in the order of a seeded hash of their ids; the last of them is cut,
-    so a source's ``taken`` add up to its rounded target. The order's running sum is
-    built from per-slice totals, so no source, however large, is sorted in one task. Only sizes, ids
-    and sources are shuffled, never texts.
-
-    NULL is a source of its own. Empty documents, and sources of only empty documents, take
-    nothing. Rows that repeat an id follow each other by size.
-    """
+    """The rows of ``mix_plan``, each with the columns ``carried`` of its own row as the struct ``row``."""
+    number, text = F.col(id_column).cast("string"), F.col(text_column)
+    # Rows without an id are placed by their texts, so that they do not all lie in one slice.
+    own = F.coalesce(number, F.concat(F.lit("text:"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
     rows = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
-        word_count(F.col(text_column)).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string"))).alias("place"),
+        # Never NULL, so that the window and the join below deal rows by the same keys and shuffle them once.
+        F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("origin"),
+        word_count(text).alias("size"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), own)).alias("place"),
+        *([F.struct(*(F.col(f"`{name}`") for name in carried)).alias("row")] if carried else []),
     )
     rows = rows.withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
     targets = source_targets(rows.select("source", "size"), max_epochs, weight)
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    slices = rows.groupBy("source", "origin", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("base", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     plan = slices.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = plan.select("s.source", "slice", "base", "source_size", "target", whole.cast("long").alias("repeats"))
+    plan = plan.select("origin", "slice", "base", "source_size", "target", whole.cast("long").alias("repeats"))
     plan = plan.withColumn("rest", F.round(F.col("target") - F.col("repeats") * F.col("source_size")).cast("long"))
-    within = Window.partitionBy("source", "slice").orderBy("place", "doc_id", "size")
+    within = Window.partitionBy("origin", "slice").orderBy("place", "doc_id", "size")
     placed = rows.withColumn("inner", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)))
-    full = placed.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source and r.slice = p.slice"))
+    full = placed.join(plan, ["origin", "slice"])
     start = F.col("base") + F.coalesce("inner", F.lit(0))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - start))
     return full.select(
@@ -106,24 +102,50 @@ def mix_plan(
         (F.col("repeats") * F.col("size") + part).alias("taken"),
         "repeats",
         part.alias("part"),
+        *(["row"] if carried else []),
     )
 
 
+def mix_plan(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    max_epochs: int = 3,
+    seed: int = 0,
+    weight=default_weight,
+) -> DataFrame:
+    """How much of every document the mix takes: one row per document.
+
+    Columns: ``doc_id``, ``size`` (words; NULL text: 0), ``source_size``, ``target``, ``taken``,
+    ``repeats`` (whole repetitions) and ``part`` (words of one more, partial repetition).
+
+    Every document of a source is repeated floor(target / source size) times. The rest of the
+    target is filled with documents in the order of a seeded hash of their ids; the last of them is cut,
+    so a source's ``taken`` add up to its rounded target. The order's running sum is
+    built from per-slice totals, so no source, however large, is sorted in one task. Only sizes, ids
+    and sources are shuffled, never texts.
+
+    NULL is a source of its own. Empty documents, and sources of only empty documents, take
+    nothing. Rows that repeat an id follow each other by size; rows without an id are placed by a
+    seeded hash of their texts.
+    """
+    return _planned(docs, id_column, text_column, source_column, max_epochs, seed, weight)
+
+
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
     """The mixed corpus: every document in its repetitions, with the columns of ``docs``.
 
-    A partial repetition is a row with the document's first words, joined by one space. Rows that
-    repeat an id all follow the first plan made for it; rows without an id are repeated
-    whole as often as their source allows.
+    A partial repetition is a row with the document's first words, joined by one space. Every row
+    follows its own row of ``mix_plan``, whether its id is repeated or NULL: rows travel through the plan with
+    their texts, which are shuffled once.
     """
-    plan = mix_plan(docs, max_epochs=max_epochs, seed=seed).where((F.col("taken") > 0) & F.col("doc_id").isNotNull())
-    plan = plan.groupBy("doc_id").agg(F.min(F.struct("repeats", "part")).alias("__plan"))
-    joined = docs.join(plan, "doc_id")
-    whole = F.when(F.col("__plan.repeats") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("__plan.repeats").cast("int")))
-    part = F.when(F.col("__plan.part") > 0, F.array(F.col("__plan.part")))
+    plan = _planned(docs, "doc_id", "text", "source", max_epochs, seed, default_weight, docs.columns).where("taken > 0")
+    whole = F.when(F.col("repeats") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("repeats").cast("int")))
+    part = F.when(F.col("part") > 0, F.array(F.col("part")))
     none = F.array().cast("array<long>")
     copies = F.concat(F.coalesce(whole, none), F.coalesce(part, none))
-    rows = joined.withColumn("__words", F.explode(copies))
+    rows = plan.select("row", F.explode(copies).alias("__words")).select("row.*", "__words")
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda word: word != "")
     cut = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")
     return rows.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)

@@ -201,6 +201,21 @@ def test_mix(spark, docs, rows, empty):
     assert {(r.size, r.target, r.taken) for r in nothing} == {(0, 0.0, 0)}
 
 
+def test_mix_of_rows_without_an_id(spark):
+    columns = "doc_id long, text string, source string"
+    rows = [(None, f"n{n} " + "x " * (n % 7), "b") for n in range(60)] + [(n, "y " * 30, "a") for n in range(60)]
+    rows += [(None, "no source at all", None), (None, None, "b"), (None, "n1 again", "c")]
+    docs = spark.createDataFrame(rows, columns).repartition(3)
+    plan, mixed = mixing.mix_plan(docs).collect(), mixing.mix(docs).collect()
+    expected = sum(r.taken for r in plan if r.doc_id is None)
+    assert sum(len(words_of(r.text)) for r in mixed if r.doc_id is None) == expected > 0
+    whole = defaultdict(int)
+    for row in mixed:
+        whole[row.source, row.text] += 1
+    # Source b is short of its target, so every row of it comes out three times; so do the other small sources.
+    assert all(whole[source, text] == 3 for number, text, source in rows if number is None and text)
+
+
 def test_shards(spark, docs, rows, empty):
     found = sharding.byte_shards(docs, shards=4).collect()
     texts = dict(rows)
