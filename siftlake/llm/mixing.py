@@ -78,6 +78,7 @@ def _planned(
         F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("origin"),
         word_count(text).alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), own)).alias("place"),
+        F.xxhash64(text).alias("tie"),
         *([F.struct(*(F.col(f"`{name}`") for name in carried)).alias("row")] if carried else []),
     )
     rows = rows.withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
@@ -89,7 +90,7 @@ def _planned(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = plan.select("origin", "slice", "base", "source_size", "target", whole.cast("long").alias("repeats"))
     plan = plan.withColumn("rest", F.round(F.col("target") - F.col("repeats") * F.col("source_size")).cast("long"))
-    within = Window.partitionBy("origin", "slice").orderBy("place", "doc_id", "size")
+    within = Window.partitionBy("origin", "slice").orderBy("place", "doc_id", "size", "tie")
     placed = rows.withColumn("inner", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)))
     full = placed.join(plan, ["origin", "slice"])
     start = F.col("base") + F.coalesce("inner", F.lit(0))
@@ -127,7 +128,7 @@ def mix_plan(
     and sources are shuffled, never texts.
 
     NULL is a source of its own. Empty documents, and sources of only empty documents, take
-    nothing. Rows that repeat an id follow each other by size; rows without an id are placed by a
+    nothing. Rows that repeat an id follow each other by size and a hash of their texts; rows without an id are placed by a
     seeded hash of their texts.
     """
     return _planned(docs, id_column, text_column, source_column, max_epochs, seed, weight)

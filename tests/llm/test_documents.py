@@ -216,6 +216,23 @@ def test_mix_of_rows_without_an_id(spark):
     assert all(whole[source, text] == 3 for number, text, source in rows if number is None and text)
 
 
+def test_mix_of_repeated_ids_sums_up_to_the_plan(spark):
+    draw = random.Random(2)
+    rows = [(5, "p " * draw.randint(1, 9), "a") for _ in range(200)] + [(5, "q " * 4, "b") for _ in range(5)]
+    rows += [(6, f"r{n} " * 50, "c") for n in range(20)] + [(n % 3, "s " * 6, None) for n in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    targets = {(r.source_size, r.target) for r in mixing.mix_plan(docs).collect()}
+    planned, sizes, counted = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in mixing.mix_plan(docs).collect():
+        planned[r.source_size] += r.taken
+    for _, text, source in rows:
+        sizes[source] += len(words_of(text))
+    for row in mixing.mix(docs).collect():
+        counted[sizes[row.source]] += len(words_of(row.text))
+    assert len(set(sizes.values())) == 4 and counted == {size: taken for size, taken in planned.items() if taken}
+    assert all(abs(counted[size] - target) <= 0.5 for size, target in targets)
+
+
 def test_shards(spark, docs, rows, empty):
     found = sharding.byte_shards(docs, shards=4).collect()
     texts = dict(rows)
