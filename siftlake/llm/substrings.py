@@ -84,22 +84,23 @@ def _survey(window: int):
 
 
 def _blocks(window: int):
-    """The blocks of each document whose anchors recur elsewhere: (block, doc_id, start)."""
+    """The blocks of each document whose anchors recur elsewhere: (block, doc_id, key of the text, start)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             found = split_words(piece.column("text"))
             hashes = found.hashes()
-            columns = [[], [], []]
+            columns = [[], [], [], []]
             for at, (start, end) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist())):
                 wanted = piece.column("anchors")[at].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 own = hashes[start:end]
                 starts = np.flatnonzero(np.isin(block_anchors(own, window), wanted))
                 columns[0].append(signed(runs_of(own, window)[starts]))
                 columns[1].append(np.full(len(starts), piece.column("doc_id")[at].as_py(), np.int64))
-                columns[2].append(starts.astype(np.int32))
+                columns[2].append(np.full(len(starts), piece.column("key")[at].as_py(), np.int64))
+                columns[3].append(starts.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(column)) for column in columns], ["block", "doc_id", "start"]
+                [pa.array(np.concatenate(column)) for column in columns], ["block", "doc_id", "key", "start"]
             )
 
     return blocks
@@ -124,8 +125,9 @@ def _parse(window: int):
             factors, removed, kept, digests = [], [], [], []
             for text, hits in zip(piece.column("text").to_pylist(), piece.column("hits")):
                 starts, ids = (hits.values.field(n).to_numpy(zero_copy_only=False) for n in ("start", "ref_id"))
-                order = np.argsort(starts, kind="stable")
-                found = factors_of(starts[order], ids[order], window)
+                # Distinct, as rows that repeat an id and a text bring each of its blocks again.
+                starts, order = np.unique(starts, return_index=True)
+                found = factors_of(starts, ids[order], window)
                 words = text.encode().split()
                 left = np.ones(len(words), bool)
                 for start, length, _ in found:
@@ -168,7 +170,8 @@ def repeated_passages(
       partial before every shuffle, so a passage in very many documents is one row per task.
 
     NULL and empty texts have no words. Documents with a NULL id are never parsed nor used as
-    references. Rows that repeat an id do not refer to each other, as neither id is smaller.
+    references. Rows that repeat an id do not refer to each other, as neither id is smaller; each of
+    their texts is parsed on its own.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -181,16 +184,18 @@ def repeated_passages(
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     shared = shared.where("least < most").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = wanted.join(firsts, "key").select(F.col("first_id").alias("doc_id"), "digest", "anchors")
-    texts = base.where("text is not null").join(wanted, "doc_id").select("doc_id", "digest", "text", "anchors")
+    wanted = wanted.join(firsts, "key").select(F.col("first_id").alias("doc_id"), "key", "digest", "anchors")
+    texts = base.where("text is not null").join(wanted, "doc_id").select("doc_id", "key", "digest", "text", "anchors")
     texts = scratch.write(texts.mapInArrow(_of_digest, texts.schema), "passages-texts")
 
-    blocks = texts.select("doc_id", "text", "anchors").mapInArrow(_blocks(window), "block long, doc_id long, start int")
+    # An id may have several texts, so block starts go by the key of the text they were found in.
+    blocks = texts.select("doc_id", "key", "text", "anchors")
+    blocks = blocks.mapInArrow(_blocks(window), "block long, doc_id long, key long, start int")
     refs = blocks.groupBy("block").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("most"))
     refs = refs.where("ref_id < most").select("block", "ref_id")
     hits = blocks.join(refs, "block").where("doc_id > ref_id")
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "ref_id")).alias("hits"))
-    parsed = texts.drop("anchors").join(hits, "doc_id").select("digest", "text", "hits")
+    hits = hits.groupBy("key").agg(F.collect_list(F.struct("start", "ref_id")).alias("hits"))
+    parsed = texts.drop("anchors").join(hits, "key").select("digest", "text", "hits")
     parsed = parsed.mapInArrow(
         _parse(window), f"digest string, factors {FACTORS}, n_removed long, kept string, kept_sha256 string"
     )
@@ -221,8 +226,10 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     documents, parsed = repeated_passages(docs, window=window)
     found = documents.join(parsed.select("digest", "kept"), "digest", "left")
     found = found.where("copy or kept is not null").select(
-        "doc_id", F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("__kept")
+        "doc_id", F.col("digest").alias("__digest"), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("__kept")
     )
-    found = found.groupBy("doc_id").agg(F.min("__kept").alias("__kept"))
-    full = docs.join(found, "doc_id", "left")
+    # Rows of one id may have different texts; each takes what was kept of its own.
+    found = found.groupBy("doc_id", "__digest").agg(F.min("__kept").alias("__kept"))
+    words = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    full = docs.withColumn("__digest", F.sha2(words, 256)).join(found, ["doc_id", "__digest"], "left")
     return full.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)

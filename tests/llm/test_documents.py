@@ -163,6 +163,40 @@ def test_documents_without_repeats(spark, docs, rows, empty):
     assert [r.n_removed for r in substrings.removal_digests(frame(spark, twice)).collect()] == [0, 0]
 
 
+def test_repeats_of_one_id_with_different_texts(spark):
+    draw = random.Random(9)
+
+    def text(name, size):
+        return " ".join(f"{name}{draw.randint(0, 10**6)}" for _ in range(size))
+
+    passage, copied, unique, other = text("p", 60), text("c", 80), text("u", 90), text("o", 70)
+    rows = [
+        (3, text("x", 10) + " " + passage), (3, copied),
+        (5, text("y", 20) + " " + passage + " " + text("z", 5)), (5, unique), (5, copied), (5, unique),
+        (5, text("v", 40) + " " + other), (8, other + " " + text("w", 7) + " " + passage), (8, unique), (8, "short"), (None, unique),
+    ]
+    first, expected = {}, defaultdict(int)
+    for number, t in rows:
+        words = words_of(t)
+        for at in range(len(words) - 49):
+            block = tuple(words[at : at + 50])
+            first[block] = min(first.get(block, number or 10**9), number or 10**9)
+    for number, t in rows:
+        words = words_of(t)
+        gone = set()
+        for at in range(len(words) - 49):
+            if number is not None and first[tuple(words[at : at + 50])] < number:
+                gone.update(range(at, at + 50))
+        kept = b" ".join(w for at, w in enumerate(words) if at not in gone)
+        expected[number, len(words), len(gone), kept] += 1
+    found = defaultdict(int)
+    for r in substrings.removal_digests(frame(spark, rows)).collect():
+        found[r.doc_id, r.n_words, r.n_removed, r.kept_sha256] += 1
+    assert found == {(i, n, g, hashlib.sha256(k).hexdigest()): c for (i, n, g, k), c in expected.items()}
+    left = sorted((r.doc_id or 0, r.text) for r in substrings.without_repeats(frame(spark, rows)).collect())
+    assert left == sorted((i or 0, k.decode()) for (i, _, _, k), c in expected.items() for _ in range(c))
+
+
 def test_mix(spark, docs, rows, empty):
     plan = mixing.mix_plan(docs).collect()
     assert sorted(r.doc_id for r in plan) == [number for number, _ in rows]
