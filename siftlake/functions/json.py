@@ -25,6 +25,29 @@ def json_document_sql(raw: str) -> str:
     return f"get(get(filter(array({listed}), a -> size(a) = 1), 0), 0)"
 
 
+# from_json is laxer than a JSON parser unless told otherwise.
+_STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+
+
+def json_list_sql(raw: str, key: str) -> str:
+    """A struct with the list under a key (``items``) of the one JSON object a text holds; NULL for any other text.
+
+    A text that cannot be read as one value may exceed the engine's limit of a value. It is split by its outer
+    object, and only its elements are read as variants. ``items`` is NULL when the key is missing or holds no list.
+    """
+    read = f"from_json(concat('[', {raw}, ']'), 'array<struct<`{key}`: array<variant>>>', {_STRICT})"
+    named = f"transform({read}, o -> if(o is null, null, named_struct('items', o.`{key}`)))"
+    split = f"if({key_count_sql(raw, key)} <= 1, get(get(filter(array({named}), n -> size(n) = 1), 0), 0), null)"
+    listed = f"named_struct('items', try_variant_get(r, '$.{key}', 'array<variant>'))"
+    # One mention of the document, so that a text within the limit is parsed once.
+    return f"get(transform(array({json_document_sql(raw)}), r -> if(r is not null, {listed}, {split})), 0)"
+
+
+def key_count_sql(raw: str, key: str) -> str:
+    """How often the outer object of a JSON text names a key; NULL when it holds no object."""
+    return f"size(filter(json_object_keys({raw}), k -> k = '{key}'))"
+
+
 def type_at(value: str, path: str) -> str:
     """The JSON type at a path; ``VOID`` for null and missing alike."""
     return f"coalesce(schema_of_variant(try_variant_get({value}, '{path}', 'variant')), 'VOID')"

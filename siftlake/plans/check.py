@@ -16,7 +16,7 @@ from siftlake.operators.scan import findings_of_hits, scan_hits, totals_of_hits
 from siftlake.operators.scoring import add_totals, score_totals, totals_of_findings
 from siftlake.session import shared_dir
 from siftlake.sources.builtin import builtin_rules
-from siftlake.sources.lint import parse_lint
+from siftlake.sources.lint import parse_lint, rejected_reports
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,7 @@ class Check:
     scores: DataFrame
     stages: list[str]
     unmatched_findings: DataFrame | None = None
+    rejected_reports: DataFrame | None = None
 
     def outcome(self, thresholds: Thresholds | None = None) -> DataFrame:
         return gate.gate_outcome(self.scores, thresholds)
@@ -55,7 +56,8 @@ def check(
     than scan the texts again, and lost executors cost no rescan. Scores of the scan need no
     shuffle: only lint and review findings, which arrive separately, are joined by file.
     A linter finding belongs to the file of its report and takes its path; those of reports on files that
-    are not part of the check are kept apart as ``unmatched_findings``, so every finding has a score.
+    are not part of the check are kept apart as ``unmatched_findings``, so every finding has a score. Reports
+    that are void, and why, are listed as ``rejected_reports``.
     Without ``security_scan`` no rules are run and files are scored by the other findings alone.
     """
     rules = [] if not security_scan else builtin_rules() if rules is None else rules
@@ -66,12 +68,13 @@ def check(
         hits.write.parquet(target)
         hits = spark.read.parquet(target)
     found = findings_of_hits(hits, rules)
-    stages, others, unmatched = ["Preprocess"], [], None
+    stages, others, unmatched, rejected = ["Preprocess"], [], None, None
     if lint_reports is not None:
         stages.append("Lint")
         lint = parse_lint(lint_reports)
         others.append(of_known_files(lint, hits))
         unmatched = lint.join(hits.select("file_id"), "file_id", "left_anti")
+        rejected = rejected_reports(lint_reports)
     if security_scan:
         stages.append("Security")
     if judge_responses is not None:
@@ -81,4 +84,4 @@ def check(
     totals = totals_of_hits(hits, rules)
     if others:
         totals = add_totals(totals, totals_of_findings(reduce(DataFrame.unionByName, others)))
-    return Check(hits, findings, score_totals(totals), [*stages, "Aggregate"], unmatched)
+    return Check(hits, findings, score_totals(totals), [*stages, "Aggregate"], unmatched, rejected)

@@ -1,8 +1,10 @@
 """Linter reports as findings.
 
-Each report row holds the raw output of one linter for one file. JSON is read as ``variant``
-because types matter: one diagnostic with a missing, null or wrongly typed field voids its
-whole report, and plain JSON decoding would silently convert or drop such a field.
+Each report row holds the raw output of one linter for one file. Diagnostics are read as ``variant``
+because types matter: one with a missing, null or wrongly typed field voids its
+whole report, and plain JSON decoding would silently convert or drop such a field. Reports above the
+engine's limit of one value are split, and each diagnostic is a value of its own. ``rejected_reports``
+lists the reports that are void.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions.paths import extension
 from siftlake.functions.json import is_object as _is_object
-from siftlake.functions.json import computed_once, json_document_sql, type_at
+from siftlake.functions.json import computed_once, json_document_sql, json_list_sql, key_count_sql, type_at
 from siftlake.functions.json import text_at as _text
 from siftlake.functions.json import whole_number_at as _count
 from siftlake.functions.severity import clippy_severity, report_severity, ruff_severity
@@ -121,17 +123,50 @@ def parse_lint(reports: DataFrame, tool: str | None = None) -> DataFrame:
     )
 
 
+def _is_sound(tool: str) -> str:
+    """SQL for whether all diagnostics of a report are sound; NULL when it has no list of them."""
+    return f"forall(report.items, d -> {' and '.join(['d is not null', _is_object('d', '$'), *_CHECKS[tool]])})"
+
+
 def _items_sql(tool: str) -> str:
     """SQL for a report's diagnostics as structs; NULL when any of them is not sound."""
-    items = f"try_variant_get(report, '$.{_ARRAYS[tool]}', 'array<variant>')"
     fields = {**_FIELDS[tool], "severity": "cast(null as string)" if tool == "ruff" else _text("d", "$.severity")}
     struct = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
-    checks = " and ".join(["d is not null", _is_object("d", "$"), *_CHECKS[tool]])
-    return f"case when forall({items}, d -> {checks}) then transform({items}, d -> named_struct({struct})) end"
+    return f"case when {_is_sound(tool)} then transform(report.items, d -> named_struct({struct})) end"
+
+
+def _opened(reports: DataFrame, tools: list[str]) -> DataFrame:
+    """Each report with its list of diagnostics as ``report``."""
+    lists = " ".join(f"when '{tool}' then {json_list_sql('raw', _ARRAYS[tool])}" for tool in tools)
+    return reports.selectExpr("file_id", "path", "tool", "raw", f"case tool {lists} end as report")
+
+
+def rejected_reports(reports: DataFrame, tool: str | None = None) -> DataFrame:
+    """Reports that give no findings because they are void: ``file_id``, ``tool``, ``reason``.
+
+    Of the linters with one JSON document a report; clippy's unreadable lines are skipped one by one.
+    """
+    if tool is not None:
+        reports = reports.withColumn("tool", F.lit(tool))
+    tools = [name for name in _ARRAYS if tool in (None, name)]
+    parsed = _opened(reports.filter(F.col("tool").isin(*tools)), tools)
+    reasons = []
+    for name in tools:
+        keys = key_count_sql("raw", _ARRAYS[name])
+        # Only golangci-lint may leave out its list, or give null for it.
+        may_miss = f"get_json_object(raw, '$.{_ARRAYS[name]}') is null" if name == "golangci-lint" else "false"
+        reasons.append(
+            f"when '{name}' then case when report is null and {keys} > 1 then 'repeated key {_ARRAYS[name]}' "
+            f"when report is null or {keys} is null then 'not one JSON object' "
+            f"when report.items is null then if({may_miss}, null, 'no list {_ARRAYS[name]}') "
+            f"when not {_is_sound(name)} then 'unsound diagnostic' end"
+        )
+    reason = computed_once(F.expr(f"case tool {' '.join(reasons)} end"))
+    return parsed.select("file_id", "tool", reason.alias("reason")).filter("reason is not null")
 
 
 def _document_diagnostics(reports: DataFrame, tools: list[str]) -> DataFrame:
-    parsed = reports.select("file_id", "path", "tool", F.expr(json_document_sql("raw")).alias("report"))
+    parsed = _opened(reports, tools)
     by_tool = " ".join(f"when '{tool}' then {_items_sql(tool)}" for tool in tools)
     items = parsed.selectExpr("file_id", "path", "tool", f"posexplode(case tool {by_tool} end) as (seq, d)")
     severity = ruff_severity(F.col("d.code"))

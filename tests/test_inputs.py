@@ -9,7 +9,7 @@ from siftlake.operators.judge import judge_findings, prompts, request_bodies
 from siftlake.operators.scan import scan
 from siftlake.sources import packs
 from siftlake.sources.builtin import builtin_rules
-from siftlake.sources.lint import parse_lint
+from siftlake.sources.lint import parse_lint, rejected_reports
 from siftlake.streaming import on_save
 
 RUFF = {"code": "E501", "message": "m", "location": {"row": 3}}
@@ -61,6 +61,35 @@ def test_one_bad_diagnostic_voids_the_report(spark):
     assert [f.file_id for f in parse_lint(reports(spark, rows)).collect()] == []
 
 
+def test_large_reports_and_rejected_ones(spark):
+    item = "concat('{\"code\":\"E1\",\"message\":\"', repeat('m', 10000), '\",\"location\":{\"row\":', n, '}}')"
+    raw = f"concat('{{\"diagnostics\":[', array_join(transform(sequence(1, 14001 + id), n -> {item}), ','), ']}}')"
+    large = spark.range(1).selectExpr("'big' as file_id", "'a.py' as path", "'ruff' as tool", f"{raw} as raw")
+    assert large.selectExpr("octet_length(raw) > 140000000").first()[0]
+    found = parse_lint(large).agg(F.count("seq"), F.max("line"), F.min("code")).first()
+    assert tuple(found) == (14001, 14001, "E1") and rejected_reports(large).collect() == []
+    more = [
+        ("ruff", json.dumps({"diagnostics": [json.dumps(RUFF)]}), "unsound diagnostic"),
+        ("ruff", '{"diagnostics": [], "diagnostics": [%s]}' % json.dumps(RUFF), "repeated key diagnostics"),
+        ("ruff", "{'diagnostics': []}", "not one JSON object"),
+        ("ruff", json.dumps({"diagnostics": [RUFF]})[:-3], "not one JSON object"),
+        ("ruff", json.dumps({"diagnostics": [RUFF]}) + " {}", "not one JSON object"),
+        ("ruff", None, "not one JSON object"),
+        ("oxlint", json.dumps({"results": {}}), "no list results"),
+        ("golangci-lint", json.dumps({"issues": {}}), "no list issues"),
+    ]
+    rows = [(f"m{n}", "a.py", tool, raw) for n, (tool, raw, _) in enumerate(more)]
+    rows += [(f"s{n}", "a.py", tool, json.dumps(report)) for n, (tool, report, _) in enumerate(SOUND)]
+    # A misspelt list is as good as none, which golangci-lint may leave out.
+    rows += [(f"b{n}", "a.py", tool, json.dumps(report)) for n, (tool, report) in enumerate(BROKEN) if "Issues" not in report]
+    table = reports(spark, rows)
+    reasons = {(r.file_id, r.tool): r.reason for r in rejected_reports(table).collect()}
+    assert set(reasons) == {(row[0], row[2]) for row in rows if row[0][0] != "s"}
+    assert {n: reasons[f"m{n}", tool] for n, (tool, _, _) in enumerate(more)} == {n: reason for n, (*_, reason) in enumerate(more)}
+    assert {f.file_id[0] for f in parse_lint(table).collect()} == {"s"}
+    assert {r.file_id for r in rejected_reports(table, "ruff").collect()} >= {f"m{n}" for n in range(6)}
+
+
 def clippy(spans, **message):
     return json.dumps({"reason": "compiler-message", "message": {"message": "t", "spans": spans} | message})
 
