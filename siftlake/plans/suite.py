@@ -175,7 +175,7 @@ def changed_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_tree_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as a file tree to the shared folder, then found and scanned there."""
-    root = shared_dir(spark, "tree").removeprefix("file:")
+    root = tree.local_path(shared_dir(spark, "tree"))
     files = fx.seeded_files(spark, sf).select("path", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

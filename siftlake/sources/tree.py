@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -26,6 +27,15 @@ _BATCH_BYTES = 32 << 20
 FILE, OWN_FILES, TREE = "file", "own files", "tree"
 
 
+def local_path(root: str) -> str:
+    """The path of a root that plain file calls reach; other stores raise, as their trees would seem empty."""
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):/", root)
+    if scheme and scheme[1].lower() != "file":
+        raise ValueError(f"{root}: source trees are read from a shared file system, not from {scheme[1]}:")
+    # file:/a, file:///a and file://host/a name the same path on a shared file system.
+    return re.sub("^//[^/]*", "", root[len(scheme[1]) + 1 :]) if scheme else root.removeprefix("file:")
+
+
 class Walk(InputPartition):
     """One task's share of the listing: files, the files right inside a directory, or whole trees."""
 
@@ -106,10 +116,13 @@ class SourceTree(DataSource):
 def list_tree(
     spark: SparkSession, targets: Sequence[str], ignore: Sequence[str] = tuple(DEFAULT_IGNORE), tasks: int = 0
 ) -> DataFrame:
-    """Every regular file below the targets, one row per target that reaches it."""
+    """Every regular file below the targets, one row per target that reaches it.
+
+    Targets lie on a file system that the driver and all executors share; one in another store raises.
+    """
     spark.dataSource.register(SourceTree)
     reader = spark.read.format("source_tree")
-    reader = reader.option("targets", json.dumps([str(t) for t in targets]))
+    reader = reader.option("targets", json.dumps([local_path(str(t)) for t in targets]))
     reader = reader.option("ignore", json.dumps(list(ignore)))
     return reader.option("tasks", tasks or 4 * spark.sparkContext.defaultParallelism).load()
 

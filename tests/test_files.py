@@ -7,6 +7,7 @@ from siftlake.functions.paths import any_glob_sql, is_ignored, language_field, l
 from siftlake.functions.text import decode_text, fold_case, whole_number
 from siftlake.operators.changes import select_changed
 from siftlake.operators.finder import finder_failures, finder_findings, register_finder, run_finder
+from siftlake.plans.suite import source_tree_scan
 from siftlake.sources.changes import parse_changed_paths
 from siftlake.sources.tables import files_from_table, supported_files
 from siftlake.sources.tree import list_tree, source_tree
@@ -142,3 +143,15 @@ def test_custom_finder(spark, make_files):
     assert sorted(map(repr, map(tuple, rows))) == [
         "('a.py', None, 'division by zero')", "('b.py', None, 'division by zero')", "('d.py', 'N', None)"
     ]
+
+
+def test_trees_outside_the_shared_file_system_raise(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.py").write_text("x")
+    for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert [r.path for r in list_tree(spark, [root]).collect()] == [f"{tmp_path}/a.py"]
+    for root in ("hdfs://host/tree", "s3a://bucket/tree", "viewfs:/tree"):
+        with pytest.raises(ValueError, match="shared file system"):
+            list_tree(spark, [root])
+    monkeypatch.setattr("siftlake.plans.suite.shared_dir", lambda spark, name: f"hdfs://host/shared/{name}")
+    with pytest.raises(ValueError, match="shared file system"):
+        source_tree_scan(spark, "/root/testdata/sf0.001")
