@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import (
+    conversations,
     fingerprints,
     jaccard,
     licenses,
@@ -74,6 +75,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 # Words by the bytes that separate them. DuckDB's regular expressions know \x escapes.
@@ -190,5 +196,85 @@ r(doc_id, reached) as (
 )
 select doc_id, any_value(n) as n_shingles, min(reached) as component_id
 from r join n using (doc_id) group by doc_id
+""",
+    "op13_conversation_repair": r"""
+with recursive bits as (
+  select list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as steps
+),
+named as (
+  select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations
+),
+coded as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::bigint),
+           lambda c, x: xor(steps[xor(c & 255, x) + 1], c >> 8), 4294967295), 4294967295) % 20 as kind
+  from named, bits
+),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from coded
+),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(role || chr(0) || text), copy) as pos from damaged
+),
+marked as (
+  select *, left(role, 1) as initial,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b'
+              when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'd'
+              when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault
+  from placed
+),
+stats as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated
+  from marked group by conv_id
+),
+pairs as (
+  select conv_id, initial || lead(initial) over (partition by conv_id order by pos) as pair from marked
+),
+wrong as (select conv_id, count(*) as illegal from pairs where pair not in ('su', 'ua', 'au') group by conv_id),
+-- The cheapest repair of the rows from ``pos`` on, by state of the grammar: cost, edits, lines.
+costs(conv_id, pos, s, o, u, a) as (
+  select conv_id, n + 1, {'c': 0, 'e': '', 't': ''}, {'c': 4, 'e': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)},
+         {'c': 2, 'e': 'I', 't': 'assistant:' || chr(10)}, {'c': 0, 'e': '', 't': ''}
+  from stats
+  union all
+  select conv_id, pos,
+         least(s, {'c': 2 + u2.c, 'e': 'I' || u2.e, 't': 'user:' || chr(10) || u2.t}),
+         least(o, {'c': 2 + u2.c, 'e': 'I' || u2.e, 't': 'user:' || chr(10) || u2.t}), u2,
+         least(a, {'c': 2 + u.c, 'e': 'I' || u.e, 't': 'user:' || chr(10) || u.t})
+  from (
+    select *, least(u, {'c': 2 + a.c, 'e': 'I' || a.e, 't': 'assistant:' || chr(10) || a.t}) as u2 from (
+      select m.conv_id, m.pos,
+        least({'c': 3 + c.s.c, 'e': 'D' || c.s.e, 't': c.s.t},
+          case when gone then never when initial = 's' then {'c': late + c.o.c, 'e': 'K' || c.o.e, 't': line || c.o.t}
+               when initial = 'u' then {'c': late + c.u.c, 'e': 'K' || c.u.e, 't': line || c.u.t} else never end,
+          case when gone then never else {'c': 2 + late + c.u.c, 'e': 'R' || c.u.e, 't': 'user:' || text || chr(10) || c.u.t} end) as s,
+        least({'c': 3 + c.o.c, 'e': 'D' || c.o.e, 't': c.o.t},
+          case when gone then never when initial = 'u' then {'c': late + c.u.c, 'e': 'K' || c.u.e, 't': line || c.u.t} else never end,
+          case when gone then never else {'c': 2 + late + c.u.c, 'e': 'R' || c.u.e, 't': 'user:' || text || chr(10) || c.u.t} end) as o,
+        least({'c': 3 + c.u.c, 'e': 'D' || c.u.e, 't': c.u.t},
+          case when gone then never when initial = 'a' then {'c': late + c.a.c, 'e': 'K' || c.a.e, 't': line || c.a.t} else never end,
+          case when gone then never else {'c': 2 + late + c.a.c, 'e': 'R' || c.a.e, 't': 'assistant:' || text || chr(10) || c.a.t} end) as u,
+        least({'c': 3 + c.a.c, 'e': 'D' || c.a.e, 't': c.a.t},
+          case when gone then never when initial = 'u' then {'c': late + c.u.c, 'e': 'K' || c.u.e, 't': line || c.u.t} else never end,
+          case when gone then never else {'c': 2 + late + c.u.c, 'e': 'R' || c.u.e, 't': 'user:' || text || chr(10) || c.u.t} end) as a
+      from costs c join (
+        select *, fault in ('b', 'd') as gone, (fault = 't')::int as late, role || ':' || text || chr(10) as line,
+               {'c': 1000000000, 'e': '', 't': ''} as never from marked
+      ) m on m.conv_id is not distinct from c.conv_id and m.pos = c.pos - 1
+    )
+  )
+)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(c.s.c, 0) as bigint) as cost,
+       coalesce(c.s.e, '') as audit, sha256(coalesce(left(c.s.t, length(c.s.t) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join stats on stats.conv_id is not distinct from i.conv_id
+left join wrong on wrong.conv_id is not distinct from i.conv_id
+left join costs c on c.conv_id is not distinct from i.conv_id and c.pos = 1
 """,
 }
