@@ -11,6 +11,7 @@ from siftlake.llm import (
     jaccard,
     licenses,
     mixing,
+    phrases,
     pivots,
     quality,
     sentencepieces,
@@ -75,6 +76,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
 
@@ -90,12 +95,14 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_decontamination": op12_decontamination,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 # Words by the bytes that separate them. DuckDB's regular expressions know \x escapes.
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x09-\x0D\x20]+'), lambda w: w <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
     "op3_mixing": r"""
@@ -196,6 +203,25 @@ r(doc_id, reached) as (
 )
 select doc_id, any_value(n) as n_shingles, min(reached) as component_id
 from r join n using (doc_id) group by doc_id
+""",
+    "op12_decontamination": rf"""
+with i as (select item_id, {_TERMS} as words from benchmark),
+j as (select item_id, words, least(10, len(words)) as n from i where len(words) > 0),
+w as (
+  select distinct item_id, n, array_to_string(words[pos:pos + n - 1], ' ') as phrase
+  from (select *, unnest(range(1, len(words) - n + 2)) as pos from j)
+),
+d as (select doc_id, {_TERMS} as words from documents),
+p as (
+  select doc_id, n, pos, array_to_string(words[pos:pos + n - 1], ' ') as phrase
+  from (select doc_id, words, n, unnest(range(1, len(words) - n + 2)) as pos from d, (select distinct n from w))
+),
+m as (select doc_id, pos, n, item_id from p join w using (n, phrase)),
+h as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as place from m) group by doc_id),
+s as (select doc_id, list_sort(list(distinct item_id::varchar)) as names from m group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(names), 0) as bigint) as n_items,
+       sha256(coalesce(array_to_string(names, ','), '')) as items_sha256, n_hit is not null as contaminated
+from d left join h using (doc_id) left join s using (doc_id)
 """,
     "op13_conversation_repair": r"""
 with recursive bits as (

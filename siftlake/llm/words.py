@@ -81,13 +81,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + upper.astype(np.uint8) * np.uint8(32)
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, inside: np.ndarray | None = None) -> Words:
+    """Words of bytes other than white space, or of those that ``inside``, a mask of 256 entries, names."""
     data, offsets = text_bytes(texts)
-    return _split(lower_ascii(data) if lower else data, offsets)
+    return _split(lower_ascii(data) if lower else data, offsets, ~_SPACE if inside is None else inside)
 
 
-def _split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~_SPACE[data]
+def _split(data: np.ndarray, offsets: np.ndarray, of_words: np.ndarray) -> Words:
+    inside = of_words[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(data) else inside
