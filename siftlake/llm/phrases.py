@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.words import pieces, split_words
+from siftlake.llm.words import packed, pieces, split_words
 
 # Every so many positions of a shard one suffix keeps its place; others step to it.
 SAMPLE_STEP = 8
@@ -270,9 +270,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     spark = docs.sparkSession
     names = ["n_words", "spans", "items"]
     keep = [name for name in (docs.columns if keep is None else keep) if name not in names]
-    base = F.struct(F.lit(True).alias("__row"), *(F.col(f"`{name}`") for name in keep))
     table = docs.select(
-        base.alias("row"),
+        packed(keep).alias("row"),
         F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("__n_words"),
         F.array().cast("array<struct<start:long,stop:long>>").alias("__spans"),
@@ -309,9 +308,9 @@ def without_spans(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
     What stands before a span's first word and after its last one is joined by one space.
     """
-    found = contamination(docs, items, size=size)
-    schema = found.select(*docs.columns).schema
-    packed = found.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns if name != "text"), F.lit(True).alias("__row")).alias("row"), "text", "spans")
+    rest = [name for name in docs.columns if name != "text"]
+    table = docs.select(packed(rest).alias("row"), F.col("text").cast("string").alias("text"))
+    found = contamination(table, items, size=size).select("row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -324,10 +323,10 @@ def without_spans(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
                     first, parts, place = words.first[at], [], 0
                     for span in spans:
                         parts.append(data[place : words.starts[first + span["start"]] - before].rstrip())
-                        place = words.stops[first + span["stop"] - 1] - before
+                        place = words.ends[first + span["stop"] - 1] - before
                     texts[at] = b" ".join(p for p in [*parts, data[place:].lstrip()] if p).decode()
                 before += len(data)
             yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    result = packed.mapInArrow(cut, f"row {packed.schema['row'].dataType.simpleString()}, text string")
-    return result.select(*(F.col("text") if n == "text" else F.col(f"row.`{n}`") for n in schema.names))
+    result = found.mapInArrow(cut, f"row {found.schema['row'].dataType.simpleString()}, text string")
+    return result.select(*(F.col("text") if name == "text" else F.col(f"row.`{name}`") for name in docs.columns))

@@ -14,6 +14,7 @@ from siftlake.llm import (
     phrases,
     pivots,
     quality,
+    ranking,
     sentencepieces,
     sharding,
     substrings,
@@ -76,6 +77,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_ranked_search": op11_ranked_search,
     "op12_decontamination": op12_decontamination,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -203,6 +209,21 @@ r(doc_id, reached) as (
 )
 select doc_id, any_value(n) as n_shingles, min(reached) as component_id
 from r join n using (doc_id) group by doc_id
+""",
+    "op11_ranked_search": f"""
+with t as (select doc_id, unnest({_TERMS}) as term from documents),
+f as (select doc_id, term, count(*) as tf from t group by all),
+n as (select doc_id, count(*) as n from t group by doc_id),
+a as (select count(*) as n_all, cast(sum(n) as bigint) as l_all from n),
+w as (select term, cast(floor(1000 * ln((2 * n_all + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from f, a group by term, n_all),
+q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+s as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_all) // l_all))))) as bigint) as score
+  from q join f using (term) join w using (term) join n using (doc_id), a group by item_id, doc_id
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
 """,
     "op12_decontamination": rf"""
 with i as (select item_id, {_TERMS} as words from benchmark),

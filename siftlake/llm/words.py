@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,14 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def packed(names: list[str]) -> Column:
+    """The named columns as one struct, which is never empty: a marker with a name of its own comes first."""
+    marker = "__row"
+    while marker.lower() in {name.lower() for name in names}:
+        marker += "_"
+    return F.struct(F.lit(True).alias(marker), *(F.col(f"`{name}`") for name in names))
+
+
 def map_texts(docs: DataFrame, results, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of ``docs`` and those that ``results`` makes of each text.
 
@@ -138,8 +146,8 @@ def map_texts(docs: DataFrame, results, fields: list[T.StructField], keep: list[
     """
     names = [field.name for field in fields]
     keep = [name for name in (docs.columns if keep is None else keep) if name not in names]
-    rest = [F.col(f"`{name}`") for name in keep if name != "text"]
-    packed = docs.select(F.struct(F.lit(True).alias("__row"), *rest).alias("row"), F.col("text").cast("string").alias("text"))
+    rest = packed([name for name in keep if name != "text"])
+    table = docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"))
     with_text = "text" in keep
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +155,6 @@ def map_texts(docs: DataFrame, results, fields: list[T.StructField], keep: list[
             columns = [piece.column("row"), *([piece.column("text")] if with_text else []), *results(piece.column("text"))]
             yield pa.RecordBatch.from_arrays(columns, ["row", *(["text"] if with_text else []), *names])
 
-    schema = T.StructType([packed.schema["row"], *([packed.schema["text"]] if with_text else []), *fields])
-    mapped = packed.mapInArrow(step, schema)
+    schema = T.StructType([table.schema["row"], *([table.schema["text"]] if with_text else []), *fields])
+    mapped = table.mapInArrow(step, schema)
     return mapped.select(*(F.col("text") if n == "text" else F.col(f"row.`{n}`") for n in keep), *names)
