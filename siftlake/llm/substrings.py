@@ -2,8 +2,9 @@
 
 Every block of ``window`` consecutive words of every document can serve as a reference. A
 document is parsed greedily, left to right: where a block also starts in a document with a smaller
-id, a factor begins, and it grows as long as the next block continues the same reference. Both
-of its ends are thus checked word by word. Factors are at least a window long and are removed.
+id, a factor begins, and it grows as long as the next block stands one word further in the same reference.
+A factor is thus one passage of its reference; it is at least a window long and is removed. Words are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.words import pieces, runs_of, signed, split_words, text_bytes
+from siftlake.llm.words import packed, pieces, runs_of, signed, split_words, text_bytes
 from siftlake.llm.scratch import Scratch
 
 # Words per anchor: a block's anchor is the least hash among its runs of so many words.
 ANCHOR_WORDS = 8
 
-FACTORS = "array<struct<start:int,length:int,ref_id:long>>"
+FACTORS = "array<struct<start:int,length:int,ref_id:long,ref_start:int>>"
+_FACTOR = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64()), ("ref_start", pa.int32())]))
+
+# A block with more than this share of all blocks' rows is joined by broadcast; there can be no more than its inverse.
+HOT_BLOCKS = 4096
 
 
 def block_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -106,48 +111,74 @@ def _blocks(window: int):
     return blocks
 
 
-def factors_of(starts: np.ndarray, ref_ids: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, reference) from the blocks that have a reference, in order of their starts."""
+def factors_of(hits: dict[str, np.ndarray], window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, reference, start there) from the blocks with a reference, in order of ``start``.
+
+    A factor goes on while block and reference both move on by one word of the same reference text.
+    """
+    starts, places = hits["start"], hits["ref_start"]
     if not len(starts):
         return []
-    same = (np.diff(starts) == 1) & (np.diff(ref_ids) == 0)
+    same = (np.diff(starts) == 1) & (np.diff(places) == 1) & (np.diff(hits["ref_id"]) == 0) & (np.diff(hits["ref_key"]) == 0)
     begin = np.concatenate([[0], np.flatnonzero(~same) + 1])
     size = np.diff(np.concatenate([begin, [len(starts)]])) + window - 1
-    return list(zip(starts[begin].tolist(), size.tolist(), ref_ids[begin].tolist()))
+    return list(zip(starts[begin].tolist(), size.tolist(), hits["ref_id"][begin].tolist(), places[begin].tolist()))
 
 
 def _parse(window: int):
     """Factors, the number of covered words and the remaining words of each candidate document."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_id", pa.int64())]))
         for piece in pieces(batches):
             factors, removed, kept, digests = [], [], [], []
             for text, hits in zip(piece.column("text").to_pylist(), piece.column("hits")):
-                starts, ids = (hits.values.field(n).to_numpy(zero_copy_only=False) for n in ("start", "ref_id"))
-                # Distinct, as rows that repeat an id and a text bring each of its blocks again.
-                starts, order = np.unique(starts, return_index=True)
-                found = factors_of(starts, ids[order], window)
+                own = {n: hits.values.field(n).to_numpy(zero_copy_only=False) for n in ("start", "ref_id", "ref_key", "ref_start")}
+                order = np.argsort(own["start"])
+                found = factors_of({name: values[order] for name, values in own.items()}, window)
                 words = text.encode().split()
                 left = np.ones(len(words), bool)
-                for start, length, _ in found:
+                for start, length, *_ in found:
                     left[start : start + length] = False
                 rest = b" ".join([words[at] for at in np.flatnonzero(left).tolist()])
-                factors.append([dict(zip(("start", "length", "ref_id"), factor)) for factor in found])
+                factors.append([dict(zip(("start", "length", "ref_id", "ref_start"), factor)) for factor in found])
                 removed.append(int(len(words) - left.sum()))
                 kept.append(rest.decode())
                 digests.append(hashlib.sha256(rest).hexdigest())
-            columns = [pa.array(factors, kind), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
+            columns = [pa.array(factors, _FACTOR), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([piece.column("digest"), *columns], ["digest", "factors", "n_removed", "kept", "kept_sha256"])
 
     return parse
 
 
 def _of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only texts with the digest they were fetched for: a repeated id may bring another one."""
+    """Only texts with the digest they were fetched for, once: a repeated id may bring others, and the same again."""
+    seen: set[str] = set()
     for batch in batches:
-        pairs = zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist())
-        yield batch.filter(pa.array([_word_digest(text) == digest for text, digest in pairs], pa.bool_()))
+        kept = []
+        for text, digest in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist()):
+            kept.append(digest not in seen and _word_digest(text) == digest)
+            if kept[-1]:
+                seen.add(digest)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
+def _block_hits(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, start, ref) of the blocks that also start in a document with a smaller id.
+
+    The reference of a block is its first place in the smallest document that has it. Blocks are counted before their
+    shuffle. One that makes up over 1 / HOT_BLOCKS of all rows would fill its task in the join; there can be at most
+    HOT_BLOCKS of these, so they are broadcast instead (some 200 kB).
+    """
+    ref = F.struct(F.col("doc_id").alias("ref_id"), F.col("key").alias("ref_key"), F.col("start").alias("ref_start"))
+    refs = blocks.groupBy("block").agg(F.min(ref).alias("ref"), F.max("doc_id").alias("most"), F.count("*").alias("rows"))
+    refs = scratch.write(refs.where("ref.ref_id < most").select("block", "ref", "rows"), "passages-refs")
+    limit = blocks.count() // HOT_BLOCKS
+    hot, rest = refs.where(F.col("rows") > limit), refs.where(F.col("rows") <= limit)
+    common = F.broadcast(hot.select("block", "ref"))
+    found = blocks.join(common, "block").unionByName(blocks.join(common.select("block"), "block", "left_anti").join(rest.select("block", "ref"), "block"))
+    return found.where("doc_id > ref.ref_id").select("key", "start", "ref")
 
 
 def repeated_passages(
@@ -166,8 +197,8 @@ def repeated_passages(
       becomes an anchor, and a block can only recur where its anchor does. Documents are first
       matched by anchors; the blocks themselves are hashed and compared only where anchors
       recur, in the texts that hold them.
-    * The reference of a block is the smallest document that has it. Counting is
-      partial before every shuffle, so a passage in very many documents is one row per task.
+    * A text is parsed once, however many rows have it, and a block that very many texts
+      share is matched by broadcast.
 
     NULL and empty texts have no words. Documents with a NULL id are never parsed nor used as
     references. Rows that repeat an id do not refer to each other, as neither id is smaller; each of
@@ -190,17 +221,15 @@ def repeated_passages(
 
     # An id may have several texts, so block starts go by the key of the text they were found in.
     blocks = texts.select("doc_id", "key", "text", "anchors")
-    blocks = blocks.mapInArrow(_blocks(window), "block long, doc_id long, key long, start int")
-    refs = blocks.groupBy("block").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("most"))
-    refs = refs.where("ref_id < most").select("block", "ref_id")
-    hits = blocks.join(refs, "block").where("doc_id > ref_id")
-    hits = hits.groupBy("key").agg(F.collect_list(F.struct("start", "ref_id")).alias("hits"))
+    blocks = scratch.write(blocks.mapInArrow(_blocks(window), "block long, doc_id long, key long, start int"), "passages-blocks")
+    # A set, as a text met in several tasks brings its blocks from each; it holds one row per word of one text.
+    hits = _block_hits(blocks, scratch).groupBy("key").agg(F.collect_set(F.struct("start", "ref.*")).alias("hits"))
     parsed = texts.drop("anchors").join(hits, "key").select("digest", "text", "hits")
     parsed = parsed.mapInArrow(
         _parse(window), f"digest string, factors {FACTORS}, n_removed long, kept string, kept_sha256 string"
     )
     parsed = scratch.write(parsed.dropDuplicates(["digest"]), "passages-parsed")
-    scratch.discard(survey, texts)
+    scratch.discard(*(table for table, _ in scratch.folders if table is not members and table is not parsed))
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     documents = members.join(firsts.select("digest", "first_id"), "digest", "left").withColumn("copy", F.coalesce(copy, F.lit(False)))
     return documents.select("doc_id", "digest", "n_words", "copy"), parsed
@@ -224,12 +253,13 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A text of which something was removed becomes its remaining words joined by one space.
     """
     documents, parsed = repeated_passages(docs, window=window)
-    found = documents.join(parsed.select("digest", "kept"), "digest", "left")
-    found = found.where("copy or kept is not null").select(
-        "doc_id", F.col("digest").alias("__digest"), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("__kept")
-    )
+    found = documents.join(parsed.select("digest", "kept"), "digest", "left").where("copy or kept is not null")
+    found = found.select("doc_id", "digest", F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"))
     # Rows of one id may have different texts; each takes what was kept of its own.
-    found = found.groupBy("doc_id", "__digest").agg(F.min("__kept").alias("__kept"))
-    words = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
-    full = docs.withColumn("__digest", F.sha2(words, 256)).join(found, ["doc_id", "__digest"], "left")
-    return full.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
+    found = found.groupBy("doc_id", "digest").agg(F.min("kept").alias("kept"))
+    text = F.col("text").cast("string")
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    rest = [name for name in docs.columns if name != "text"]
+    full = docs.select("doc_id", packed(rest).alias("row"), "text", F.sha2(words, 256).alias("digest"))
+    full = full.join(found, ["doc_id", "digest"], "left").withColumn("text", F.coalesce("kept", "text"))
+    return full.select(*(F.col("text") if name == "text" else F.col(f"row.`{name}`") for name in docs.columns))

@@ -14,6 +14,8 @@ from siftlake.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, digest string, row string, score int"
 
+SCHEMA_NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
+
 
 def words_of(text, lower=False):
     data = (text or "").encode()
@@ -144,8 +146,41 @@ def test_factors_refer_to_equal_words(docs, rows):
     for number, factor in factors:
         words, reference = texts[number][factor.start : factor.start + factor.length], texts[factor.ref_id]
         assert len(words) == factor.length >= 50 and factor.ref_id < number
-        # A factor is a chain of blocks of one reference document.
-        assert all(any(reference[at : at + 50] == words[s : s + 50] for at in range(len(reference))) for s in (0, factor.length - 50))
+        assert reference[factor.ref_start : factor.ref_start + factor.length] == words
+
+
+def test_a_factor_is_one_passage_of_its_reference():
+    hits = {
+        "start": np.array([0, 1, 2, 3, 4, 9]),
+        "ref_id": np.array([1, 1, 1, 1, 2, 2]),
+        "ref_key": np.array([7, 7, 7, 7, 8, 8]),
+        "ref_start": np.array([5, 6, 40, 41, 42, 47]),
+    }
+    assert substrings.factors_of(hits, 50) == [(0, 51, 1, 5), (2, 51, 1, 40), (4, 50, 2, 42), (9, 50, 2, 47)]
+
+
+@pytest.mark.parametrize("repeats", [800, 10_000])
+def test_removal_from_repeated_rows(spark, repeats):
+    draw = random.Random(6)
+    passage = " ".join(f"p{draw.randint(0, 10**6)}" for _ in range(120))
+    text = " ".join(f"t{n}" for n in range(500)) + " " + passage + " end"
+    rows = [(2, passage)] + [(5, text)] * repeats + [(6, "x " + passage)]
+    found = defaultdict(int)
+    for r in substrings.removal_digests(frame(spark, rows)).collect():
+        found[r.doc_id, r.n_words, r.n_removed] += 1
+    assert found == {(2, 120, 0): 1, (5, 621, 120): repeats, (6, 121, 120): 1}
+    left = substrings.without_repeats(frame(spark, rows))
+    assert left.where("doc_id = 5 and length(text) < 4000").count() == repeats and left.columns == SCHEMA_NAMES
+
+
+def test_removal_of_a_block_that_most_rows_hold(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_BLOCKS", 8)
+    draw = random.Random(7)
+    passage = " ".join(f"p{n}" for n in range(55))
+    rows = [(n, f"a{n} " + passage + f" b{draw.randint(0, 9)}") for n in range(300)]
+    rows += [(1000 + n, " ".join(f"r{(n // 2 * 100) + m}" for m in range(60)) + f" e{n}") for n in range(40)]
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removal_digests(frame(spark, rows)).collect()}
+    assert found == brute_removal(rows)
 
 
 def test_documents_without_repeats(spark, docs, rows, empty):
