@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
@@ -26,6 +26,8 @@ LONG_LISTS = 1 << 18
 LONG_LIST = 8
 # A long list is merged in this many parts.
 PARTS = 64
+# Longs of 64 bits in the parity of a set.
+PARITY_LONGS = 16
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -119,13 +121,34 @@ def _short_lists(words: int, percent: int, long_lists):
     return entries
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit string in which each shingle flips one bit.
+
+    What two sets have in common cancels out, so their strings differ in at most as many bits as the sets
+    differ in shingles.
+    """
+    bits = 64 * PARITY_LONGS
+    counts = np.bincount((mix(shingles) >> np.uint64(20)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _of_class(words: int):
-    """Only texts of the class they were fetched for: a repeated id may bring another one."""
+    """Only texts of the class they were fetched for, once each: a repeated id may bring another one, and the same again."""
 
     def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for piece in pieces(batches):
-            found = np.array([set_class(s) for s in shingle_sets(piece.column("text"), words)], np.int64)
-            yield piece.filter(pa.array(found == piece.column("class").to_numpy(zero_copy_only=False)))
+            kept, strings = [], []
+            for at, (shingles, name) in enumerate(zip(shingle_sets(piece.column("text"), words), piece.column("class").to_pylist())):
+                if name not in seen and set_class(shingles) == name:
+                    seen.add(name)
+                    kept.append(at)
+                    strings.append(parity(shingles))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            found = pa.array([row.tolist() for row in strings], pa.list_(pa.int64()))
+            kept_rows = piece.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept_rows.column(n) for n in ("class", "n", "text")), found], ["class", "n", "text", "parity"])
 
     return of_class
 
@@ -157,30 +180,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(_probe(words, percent), "a long, b long")
 
 
-def _can_link(one: str, other: str, percent: int) -> Column:
-    """Whether two entries of a list can be the first shingle that two linked sets have in common.
+def _needed(one: str, other: str, percent: int) -> str:
+    """SQL for T: how many shingles linked sets of n and m share at least, ceil((n + m) * p / (100 + p))."""
+    both = 100 + percent
+    return f"(({percent} * ({one}n + {other}n) + {both - 1}) div {both})"
+
+
+def _can_link(one: str, other: str, percent: int) -> str:
+    """SQL for whether two entries of a list can be the first shingle that two linked sets have in common.
 
-    Linked sets of n and m shingles share T = ceil((n + m) * p / (100 + p)) of them, and the first of
-    those, in the common order, has T - 1 more after it in either set.
+    The first of the T common shingles, in the common order, has T - 1 more after it in either set.
     """
-    both = 100 + percent
-    needed = f"({percent} * ({one}n + {other}n) + {both - 1}) div {both}"
-    return F.expr(f"{one}at <= {one}n - {needed} + 1 and {other}at <= {other}n - {needed} + 1")
+    needed = _needed(one, other, percent)
+    return f"({one}at <= {one}n - {needed} + 1 and {other}at <= {other}n - {needed} + 1)"
+
+
+def _parities_allow(one: str, other: str, percent: int) -> str:
+    """SQL for whether two sets may differ in no more shingles than linked sets of their sizes do."""
+    bits = f"aggregate(zip_with({one}parity, {other}parity, (x, y) -> bit_count(x ^ y)), 0, (sum, bits) -> sum + bits)"
+    return f"({bits} <= {one}n + {other}n - 2 * {_needed(one, other, percent)})"
+
 
+def _reaching(pairs: DataFrame, shared: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that meet in enough of the merged lists to reach T by the lists left to probe.
 
-def _mixed_lists(shared: DataFrame, near: DataFrame) -> DataFrame:
+    A set's merged lists are the first n - ceil(n * p / 100) + 1 in the common order. Of two sets, all that the one
+    whose merged lists end first has in common with the other lies in lists merged for both, or in its
+    ceil(n * p / 100) - 1 others; so T minus these is how often the pair has to occur.
+    """
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    merged = shared.join(sides, "class", "left_semi").groupBy("class").agg(F.collect_set("shingle").alias("lists"))
+    profiles = texts.select("class", "n", "parity").join(merged, "class")
+    one, other = (profiles.select(F.col("class").alias(name), F.struct("n", "parity", "lists").alias(f"of_{name}")) for name in "ab")
+    others = f"((greatest(of_a.n, of_b.n) * {percent} + 99) div 100 - 1)"
+    occurs = f"size(array_intersect(of_a.lists, of_b.lists)) >= {_needed('of_a.', 'of_b.', percent)} - {others}"
+    found = pairs.join(one, "a").join(other, "b")
+    return found.where(f"{_parities_allow('of_a.', 'of_b.', percent)} and {occurs}").select("a", "b")
+
+
+def _mixed_lists(shared: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Entries of the lists whose members are not all connected yet.
 
-    Every entry has the ``component`` of its class and the largest component of its list, ``top``.
+    Every entry has the ``component`` of its class and the largest component of its list, ``top``. Entries too
+    late in their set to be the first common one with any member of the list are left out.
     """
     joined = components(near, "a", "b").select(F.col("node").alias("class"), "component")
     placed = shared.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    parts = placed.groupBy("shingle", "component").agg(F.count("*").alias("part"))
+    parts = placed.groupBy("shingle", "component").agg(F.count("*").alias("part"), F.min("n").alias("least"), F.max("n").alias("most"))
     lists = parts.groupBy("shingle").agg(
-        F.max(F.struct("part", "component")).alias("top"), F.count("*").alias("kinds")
+        F.max(F.struct("part", "component")).alias("top"),
+        *(F.expr(e) for e in ("min(least) as least", "max(most) as most", "sum(part) as entries", "count(*) as kinds")),
     )
-    mixed = lists.where("kinds > 1").select("shingle", F.col("top.component").alias("top"))
-    return placed.join(mixed, "shingle")
+    # Two sets whose sizes differ too much for a link need no comparison.
+    mixed = lists.where(f"kinds > 1 and (entries > 2 or 100 * least >= {percent} * most)").select("shingle", F.col("top.component").alias("top"), F.struct(F.col("least").alias("n")).alias("smallest"))
+    placed = placed.join(mixed, "shingle").where(f"at <= n - {_needed('', 'smallest.', percent)} + 1")
+    return placed.drop("smallest")
 
 
 def jaccard_components(
@@ -198,8 +252,9 @@ def jaccard_components(
       documents) and rank last in the common order.
     * Each list links its members to one of them, if probing confirms it. Members of
       a list that are still in different components are then compared. Any two linked classes
-      share a list, so either they are already connected or they are compared; near copies in
-      thousands cost a few comparisons each.
+      share a list, so either they are already connected or they are compared.
+    * A pair is only made if the parities of both sets, 1,024 bits in which common shingles cancel out, leave room for it,
+      and only probed if it occurs in enough merged lists to reach T with those left over.
 
     NULL or empty texts have no shingles and link with nothing, nor do NULL ids, whose
     component is NULL. Repeated rows and ids are kept as they are. Other columns are ignored.
@@ -226,27 +281,30 @@ def jaccard_components(
 
     wanted = shared.select("class").distinct()
     chosen = members.join(wanted, "class", "left_semi").where("doc_id is not null")
-    chosen = chosen.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = base.where("text is not null").join(chosen, "doc_id")
-    texts = texts.select("class", "text").mapInArrow(_of_class(words), "class long, text string")
-    texts = scratch.write(texts, "jaccard-texts")
+    chosen = chosen.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").cast("int").alias("n"))
+    # Rows of one id meet in one task, where those with equal texts are merged.
+    texts = base.where("text is not null").join(chosen.hint("merge"), "doc_id").select("class", "n", "text")
+    texts = scratch.write(texts.mapInArrow(_of_class(words), "class long, n int, text string, parity array<long>"), "jaccard-texts")
 
     # The member that has the shingle earliest has the fewest rare ones, so it is close to most others.
     hubs = shared.groupBy("shingle").agg(F.min(F.struct("at", "class", "n")).alias("hub"))
-    star = shared.join(hubs, "shingle").where((F.col("class") != F.col("hub.class")) & _can_link("", "hub.", percent))
+    star = shared.join(hubs, "shingle").where("class <> hub.class").where(_can_link("", "hub.", percent))
     star = star.select(F.col("hub.class").alias("a"), F.col("class").alias("b")).distinct()
     star = scratch.write(star, "jaccard-star")
-    near = scratch.write(_verified(star, texts, words, percent), "jaccard-near")
+    near = _verified(_reaching(star, shared, texts, percent), texts, words, percent)
+    near = scratch.write(near, "jaccard-near")
 
-    placed = scratch.write(_mixed_lists(shared, near), "jaccard-mixed")
-    outside = placed.where("component <> top").select("shingle", F.struct("class", "n", "at", "component").alias("other"))
+    placed = _mixed_lists(shared, near, percent).join(texts.select("class", "parity"), "class")
+    placed = scratch.write(placed, "jaccard-mixed")
+    outside = placed.where("component <> top")
+    outside = outside.select("shingle", F.struct("class", "n", "at", "component", "parity").alias("other"))
     # Of two members that are both outside, one order is enough.
-    cross = outside.join(placed, "shingle").where(
-        F.expr("component <> other.component and (component = top or class < other.class)") & _can_link("", "other.", percent)
-    )
+    apart = "component <> other.component and (component = top or class < other.class)"
+    possible = f"{_can_link('', 'other.', percent)} and {_parities_allow('', 'other.', percent)}"
+    cross = outside.join(placed, "shingle").where(f"{apart} and {possible}")
     cross = cross.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
     cross = scratch.write(cross.join(star, ["a", "b"], "left_anti"), "jaccard-cross")
-    near = near.unionByName(_verified(cross, texts, words, percent))
+    near = near.unionByName(_verified(_reaching(cross, shared, texts, percent), texts, words, percent))
 
     linked = components(near, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
     scratch.discard(*(table for table, _ in scratch.folders if table is not survey))

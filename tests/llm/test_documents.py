@@ -112,6 +112,25 @@ def test_jaccard_of_null_and_repeated_ids(spark, empty):
     assert found == [(0, 3, None), (5, 1, 5), (5, 3, 5), (5, 3, 5), (9, 3, 5)]
 
 
+def test_jaccard_of_repeated_rows(spark):
+    words = [f"w{n}" for n in range(100)]
+    near, far = [*words[:96], "x"], [*words[:90], *"abcdefghij"]
+    rows = [(1, " ".join(words))] * 2000 + [(2, " ".join(near))] * 2000 + [(2, " ".join(far)), (3, "lone one")]
+    found = defaultdict(int)
+    for r in jaccard.jaccard_components(frame(spark, rows)).collect():
+        found[r.doc_id, r.n_shingles, r.component_id] += 1
+    assert found == {(1, 96, 1): 2000, (2, 93, 1): 2000, (2, 96, 1): 1, (3, 1, 3): 1}
+
+
+def test_parities_never_differ_more_than_their_sets():
+    draw = np.random.default_rng(3)
+    for size in (1, 5, 80, 900):
+        one = np.unique(draw.integers(0, 1 << 63, size)).astype(np.uint64)
+        two = np.unique(np.concatenate([one[: size * 3 // 4], draw.integers(0, 1 << 63, size // 5).astype(np.uint64)]))
+        bits = np.unpackbits((jaccard.parity(one) ^ jaccard.parity(two)).view(np.uint8)).sum()
+        assert bits <= len(np.setxor1d(one, two)) and (size > 300 or bits >= 0.7 * len(np.setxor1d(one, two)))
+
+
 def brute_removal(rows, window=50):
     first = {}
     for number, text in sorted(rows):
