@@ -23,6 +23,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 # What an unknown character costs more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+# Places of a long segment whose scores are held at once, and below how many rows segments are taken one at a time.
+WINDOW, FEW_ROWS = 1 << 16, 64
 _WIDTHS = np.ones(256, np.int64)
 _WIDTHS[0xC0:0xE0], _WIDTHS[0xE0:0xF0], _WIDTHS[0xF0:] = 2, 3, 4
 
@@ -208,6 +210,72 @@ def _viterbi(block: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.n
     return np.concatenate(ids)[order].astype(np.int32), np.bincount(owner, minlength=rows)
 
 
+def _matches(data: np.ndarray, count: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, id) of all pieces at the first ``count`` places, by start; all places step through the trie at once."""
+    at, state, length = np.arange(count), np.zeros(count, np.int32), 0
+    starts, lengths, ids = [], [], []
+    while len(at):
+        inside = at + length < len(data)
+        at, state = at[inside], state[inside]
+        after = model.base[state] + data[at + length] + 1
+        known = model.check[after] == state
+        at, state = at[known], after[known]
+        length += 1
+        found = model.piece[state]
+        ends = np.flatnonzero(found >= 0)
+        starts.append(at[ends])
+        lengths.append(np.full(len(ends), length))
+        ids.append(found[ends])
+    starts, lengths, ids = (np.concatenate(column) for column in (starts, lengths, ids))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], lengths[order], ids[order]
+
+
+def _viterbi_of_one(data: np.ndarray, model: Model) -> np.ndarray:
+    """The best pieces of one long segment, with the same choices as :func:`_viterbi`; linear in its length.
+
+    Scores are kept for one window of places at a time, and a piece and its length for every place.
+    """
+    size = len(data)
+    taken, step = np.full(size + 1, -1, np.int32), np.ones(size + 1, np.int32)
+    reach = max(len(text) for text in model.texts) + 4
+    best = [0.0] + [-np.inf] * (WINDOW + reach)
+    for begin in range(0, size, WINDOW):
+        count = min(WINDOW, size - begin)
+        part = data[begin : begin + count + reach]
+        starts, lengths, ids = _matches(part, count, model)
+        first = np.searchsorted(starts, np.arange(count + 1)).tolist()
+        scores = model.scores[ids].tolist()
+        lengths, ids, spans = lengths.tolist(), ids.tolist(), _WIDTHS[part[:count]].tolist()
+        own, steps = taken[begin : begin + count + reach + 1].tolist(), step[begin : begin + count + reach + 1].tolist()
+        for start in range(count):
+            origin = best[start]
+            if origin == -np.inf:
+                continue
+            whole = False
+            for match in range(first[start], first[start + 1]):
+                length = lengths[match]
+                whole = whole or length == spans[start]
+                total = origin + scores[match]
+                if total > best[start + length]:
+                    best[start + length], own[start + length], steps[start + length] = total, ids[match], length
+            end = min(start + spans[start], size - begin)
+            if not whole and origin + model.unknown_score > best[end]:
+                best[end] = origin + model.unknown_score
+                if model.bytes_from < 0:
+                    own[end], steps[end] = model.unknown, end - start
+                else:
+                    for place in range(start + 1, end + 1):
+                        own[place], steps[place] = -1, 1
+        taken[begin : begin + len(own)], step[begin : begin + len(steps)] = own, steps
+        best = best[count:] + [-np.inf] * count
+    found, place = [], size
+    while place > 0:
+        found.append(taken[place] if taken[place] >= 0 else model.bytes_from + data[place - 1])
+        place -= step[place]
+    return np.array(found[::-1], np.int32)
+
+
 def _best_pieces(words: Words, chosen: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids and their counts for the chosen segments, in blocks of similar length."""
     lengths = (words.ends - words.starts)[chosen]
@@ -223,7 +291,12 @@ def _best_pieces(words: Words, chosen: np.ndarray, model: Model) -> tuple[np.nda
         width = int(lengths[rows].max())
         spread = words.starts[chosen[rows]][:, None] + np.arange(width)
         block = words.data[np.minimum(spread, len(words.data) - 1)]
-        found, number = _viterbi(block, lengths[rows], model)
+        if len(rows) < FEW_ROWS and width > 8 * FEW_ROWS:
+            # For a few long segments the steps over all rows at once would be longer than over one at a time.
+            each = [_viterbi_of_one(block[at, : lengths[row]], model) for at, row in enumerate(rows)]
+            found, number = np.concatenate(each), np.array([len(ids) for ids in each])
+        else:
+            found, number = _viterbi(block, lengths[rows], model)
         counts[rows] = number
         parts.append((rows, found))
         at = stop

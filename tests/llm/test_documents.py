@@ -416,6 +416,12 @@ def test_licenses(spark, empty):
     assert licenses.license_report(empty).collect() == []
 
 
+def test_a_phrase_repeated_a_hundred_thousand_times(spark):
+    table = frame(spark, [(1, "under the mit license " * 100_000), (2, "all rights reserved")])
+    found = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.license_report(table).collect()}
+    assert found == {1: (400_000, 100_000, 0, 399_996, "mit"), 2: (3, 0, None, None, "all-rights-reserved")}
+
+
 def test_components(spark):
     draw = random.Random(5)
     links = [(n, n + 1) for n in range(0, 300)] + [(1000, 1000 + n) for n in range(1, 200)] + [(5000, 5000), (None, 3)]

@@ -1,6 +1,7 @@
 """Classifiers, the tokenizer and the embedding index."""
 
 import random
+import time
 import zlib
 from dataclasses import replace
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftlake.llm.sampling import labelled_sample
 from siftlake.llm import pivots, quality, sentencepieces, toxicity
 from siftlake.llm.sentencepieces import decode_ids, encode_texts, load_model
 
@@ -72,6 +74,29 @@ def test_best_segmentation_and_round_trip():
         assert score_of(own.tolist(), model) == pytest.approx(best_score(text, model))
 
 
+def test_long_segments_get_the_same_pieces(monkeypatch):
+    model = load_model()
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdefghéö日☃xyzw") for _ in range(n)) for n in (1, 30, 700, 3000)] + ["the" * 900, "\x01" * 600, "日" * 400]
+    rows = [np.frombuffer((" " + text).encode(), np.uint8) for text in texts]
+    for window in (64, 1 << 16):
+        monkeypatch.setattr(sentencepieces, "WINDOW", window)
+        for row in rows:
+            expected, _ = sentencepieces._viterbi(row[None, :], np.array([len(row)]), model)
+            assert sentencepieces._viterbi_of_one(row, model).tolist() == expected.tolist()
+
+
+def test_an_unspaced_text_of_ten_megabytes():
+    model = load_model()
+    draw = np.random.default_rng(5)
+    text = draw.integers(97, 123, 10_000_000).astype(np.uint8).tobytes().decode()
+    began = time.process_time()
+    ids, offsets = encode_texts([text, "a b"], model)
+    assert decode_ids(ids[: offsets[1]], model) == text
+    # Linear: about two microseconds a byte. A step over all rows for each byte would take half an hour.
+    assert time.process_time() - began < 120
+
+
 def test_same_ids_as_the_unigram_library():
     sentencepiece = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
@@ -222,3 +247,14 @@ def test_embeddings(spark, monkeypatch):
 def test_pivot_counts():
     assert pivots.pivot_count(0) == pivots.pivot_count(10_000) == 128
     assert pivots.pivot_count(1_000_000) == 512 and pivots.pivot_count(10**12) == 4096
+
+
+def test_sample_is_drawn_from_the_documents_at_hand(spark):
+    docs = spark.createDataFrame([(n, f"text {n}", "x") for n in range(200)] + [(3, "another", "x")] * 500, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(200)] + [(n, 0) for n in range(10_000, 40_000)], "doc_id long, toxic int")
+    sample, share = labelled_sample(docs, labels, "toxic", F.lit(True), 60)
+    rows = sample.collect()
+    assert sorted(r.label for r in rows) == [0] * 60 + [1] * 60 and share == 100 / 30_200
+    assert len({r.text for r in rows}) == 120
+    everything, _ = labelled_sample(docs, labels, "toxic", F.lit(True), 1000)
+    assert everything.count() == 200
