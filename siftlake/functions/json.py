@@ -26,7 +26,7 @@ def json_document_sql(raw: str) -> str:
 
 
 # from_json is laxer than a JSON parser unless told otherwise.
-_STRICT = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
+STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 
 
 def json_list_sql(raw: str, key: str) -> str:
@@ -35,7 +35,7 @@ def json_list_sql(raw: str, key: str) -> str:
     A text that cannot be read as one value may exceed the engine's limit of a value. It is split by its outer
     object, and only its elements are read as variants. ``items`` is NULL when the key is missing or holds no list.
     """
-    read = f"from_json(concat('[', {raw}, ']'), 'array<struct<`{key}`: array<variant>>>', {_STRICT})"
+    read = f"from_json(concat('[', {raw}, ']'), 'array<struct<`{key}`: array<variant>>>', {STRICT_JSON})"
     named = f"transform({read}, o -> if(o is null, null, named_struct('items', o.`{key}`)))"
     split = f"if({key_count_sql(raw, key)} <= 1, get(get(filter(array({named}), n -> size(n) = 1), 0), 0), null)"
     listed = f"named_struct('items', try_variant_get(r, '$.{key}', 'array<variant>'))"

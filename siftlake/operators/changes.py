@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siftlake.sources.tables import supported_files
 
-BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 SOURCES = {"staged": ["staged"], "working": ["working"], "all": ["staged", "working"]}
 
 
@@ -19,12 +18,10 @@ def changed_paths(changes: DataFrame, source: str = "all") -> DataFrame:
 def existing_changes(existing: DataFrame, changes: DataFrame, source: str = "all") -> DataFrame:
     """Those of the existing files that are named in the changes.
 
-    A list of changes is nearly always small, and then it is broadcast so that the texts stay
-    where they are. Its size is measured first; a longer list is joined by shuffling.
+    How they are joined is left to the engine, which knows sizes when the plan runs: a short list is broadcast, and
+    for a longer one files that a Bloom filter of the list rules out are dropped before the shuffle.
     """
-    paths = changed_paths(changes, source)
-    size = paths.agg(F.sum(F.octet_length("path") + ROW_BYTES).alias("bytes")).collect()[0].bytes or 0
-    return existing.join(F.broadcast(paths) if size <= BROADCAST_BYTES else paths, "path", "left_semi")
+    return existing.join(changed_paths(changes, source), "path", "left_semi")
 
 
 def select_changed(existing: DataFrame, changes: DataFrame | None, full: DataFrame, source: str = "all") -> DataFrame:

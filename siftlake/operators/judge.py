@@ -5,10 +5,12 @@ Sending the requests is left to a batch inference service that reads and writes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.json import computed_once, json_document_sql, text_at
+from siftlake.functions.json import STRICT_JSON, computed_once, json_document_sql, text_at
 from siftlake.model import STAGE_SEMANTIC, JudgeConfig
 
 # The prompt around the language name and the code.
@@ -26,6 +28,10 @@ PROMPT_END = (
 )
 
 
+# Bodies from this size on may exceed the engine's limit of one value once they are read.
+LARGE_BODY = 16 << 20
+
+
 def prompt_of(language: Column, snippet: Column) -> Column:
     name = F.coalesce(language, F.lit("unknown"))
     return F.concat(F.lit(PROMPT_START), name, F.lit(PROMPT_MIDDLE), snippet, F.lit(PROMPT_END))
@@ -55,19 +61,52 @@ def request_bodies(files: DataFrame, config: JudgeConfig, head_only: bool = Fals
     return prompts(files, config, head_only).select("file_id", "chunk", provider, F.to_json(body).alias("body"))
 
 
-def response_texts(responses: DataFrame) -> DataFrame:
-    """The answer of each successful response; failed or unreadable ones are dropped."""
+# Where each provider puts its answer, and the schema that leads there through the outer objects alone.
+_ANSWERS = {
+    "anthropic": ("$.content[0].text", "struct<content: array<struct<text: variant>>>", "get(o.content, 0).text"),
+    "openai": ("$.choices[0].message.content", "struct<choices: array<struct<message: struct<content: variant>>>>", "get(o.choices, 0).message.content"),
+}
+
+
+def _read_responses(responses: DataFrame) -> DataFrame:
+    """The successful responses with the ``answer`` they hold, if any, and whether the body was read as ``one`` value.
+
+    A body that cannot be read as one value may exceed the engine's limit of a value. It is then read along its
+    outer objects, so that only the answer itself has to keep to the limit.
+    """
     succeeded = responses.filter(F.col("status").between(200, 299))
-    parsed = succeeded.select("file_id", "provider", computed_once(F.expr(json_document_sql("body"))).alias("answer"))
-    text = F.when(F.col("provider") == "anthropic", F.expr(text_at("answer", "$.content[0].text"))).otherwise(
-        F.expr(text_at("answer", "$.choices[0].message.content"))
-    )
-    return parsed.select("file_id", computed_once(text).alias("explanation")).filter(F.col("explanation").isNotNull())
+    parsed = succeeded.select("file_id", "provider", "body", computed_once(F.expr(json_document_sql("body"))).alias("one"))
+
+    def answer(name: str) -> str:
+        path, schema, value = _ANSWERS[name]
+        read = f"from_json(concat('[', body, ']'), 'array<{schema}>', {STRICT_JSON})"
+        own = f"get(transform(filter(array({read}), n -> size(n) = 1), n -> get(transform(n, o -> {value}), 0)), 0)"
+        large = f"if(octet_length(body) > {LARGE_BODY}, {text_at(own, '$')}, null)"
+        return f"if(one is not null, {text_at('one', path)}, {large})"
+
+    # Providers other than the first use the form of the second.
+    text = F.expr(f"case provider when 'anthropic' then {answer('anthropic')} else {answer('openai')} end")
+    return parsed.select("file_id", "provider", F.col("one").isNotNull().alias("one"), F.octet_length("body").alias("bytes"), computed_once(text).alias("answer"))
+
+
+def response_texts(responses: DataFrame) -> DataFrame:
+    """The answer of each successful response; failed or unreadable ones are dropped, see ``rejected_responses``."""
+    read = _read_responses(responses)
+    return read.filter(F.col("answer").isNotNull()).select("file_id", F.col("answer").alias("explanation"))
+
+
+def rejected_responses(responses: DataFrame) -> DataFrame:
+    """Responses that give no finding, and why: ``file_id``, ``provider``, ``reason``."""
+    failed = responses.filter(~F.coalesce(F.col("status").between(200, 299), F.lit(False)))
+    failed = failed.select("file_id", "provider", F.concat(F.lit("status "), F.coalesce(F.col("status").cast("string"), F.lit("missing"))).alias("reason"))
+    unread = _read_responses(responses).filter("answer is null")
+    reason = F.when(F.col("one"), "no answer text").when(F.col("bytes") > LARGE_BODY, "larger than one value may be, or no answer text")
+    return failed.unionByName(unread.select("file_id", "provider", reason.otherwise("not one JSON value").alias("reason")))
 
 
-def judge_findings(files: DataFrame, responses: DataFrame) -> DataFrame:
-    """One informational finding per file with an answer."""
-    answered = files.select("file_id", "path").join(response_texts(responses), "file_id")
+def judge_findings(files: DataFrame, responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One informational finding per file with an answer; ``keep`` names columns of the files to add."""
+    answered = files.select("file_id", "path", *keep).join(response_texts(responses), "file_id")
     return answered.select(
         "file_id",
         "path",
@@ -82,4 +121,5 @@ def judge_findings(files: DataFrame, responses: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("column"),
         F.lit(None).cast("string").alias("suggestion"),
         F.col("explanation").alias("ai_explanation"),
+        *keep,
     )

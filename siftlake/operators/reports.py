@@ -6,21 +6,25 @@ the driver, and no document grows without bound: large groups are split into par
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.paths import language_field
 from siftlake.functions.severity import diagnostic_severity, is_error, sarif_level
 from siftlake.functions.text import whole_number
-from siftlake.model import FINDING_COLUMNS
+from siftlake.model import FINDING_COLUMNS, FINDINGS, Rule
 from siftlake.operators.gate import corpus_summary, critical_failures
 from siftlake.operators.grouping import in_parts
+from siftlake.operators.scan import items_of_hits
+from siftlake.session import shared_dir
 
 TOOL_NAME, TOOL_VERSION = "siftlake", "0.1.0"
 TITLE = "Code audit report"
 FINDINGS_PER_DOCUMENT = 10_000
+SARIF_SHARDS = 16
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 _ORDER = ["stage_ord", "rule_ord", "seq"]
@@ -56,18 +60,46 @@ def json_report(scores: DataFrame, findings: DataFrame, per_document: int = FIND
     ordered = findings.select("file_id", F.struct(*_ORDER, _finding_json().alias("finding")).alias("item"))
     parts = in_parts(ordered, "file_id", per_document, ["item"])
     grouped = parts.groupBy("file_id", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    findings_of_file = F.coalesce(F.col("items.finding"), F.array().cast(_ITEMS))
+    joined = scores.join(grouped, "file_id", "left")
+    part = F.coalesce("part", F.lit(0).cast("bigint"))
+    return joined.select("file_id", "ord", part.alias("part"), _json_document(findings_of_file).alias("json"))
+
+
+def _json_document(findings: Column) -> Column:
     score_struct = F.struct("security", "code_quality", "performance", "test_coverage", "ai_risk", "overall")
-    document = F.to_json(
-        F.struct(
-            _location().alias("path"),
-            language_field(F.col("language"), "wire").alias("language"),
-            F.coalesce(F.col("items.finding"), F.array().cast(_ITEMS)).alias("findings"),
-            score_struct.alias("scores"),
-        ),
-        _KEEP_NULLS,
+    document = F.struct(
+        _location().alias("path"),
+        language_field(F.col("language"), "wire").alias("language"),
+        findings.alias("findings"),
+        score_struct.alias("scores"),
     )
-    joined = scores.join(grouped, "file_id", "left")
-    return joined.select("file_id", "ord", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), document.alias("json"))
+    return F.to_json(document, _KEEP_NULLS)
+
+
+def json_report_of_hits(
+    scored: DataFrame, rules: Sequence[Rule], others: DataFrame | None = None, per_document: int = FINDINGS_PER_DOCUMENT
+) -> DataFrame:
+    """:func:`json_report` for files that carry the ``lines`` of their hits next to their scores.
+
+    The scan's findings, one per rule at most, are a projection of the file's row. ``others`` are findings that come from
+    elsewhere; only they are grouped, and the two ordered arrays are merged in the first document of each file.
+    """
+    own = items_of_hits(rules)
+    files = scored.withColumn("part", F.lit(0).cast("bigint"))
+    if others is not None:
+        item = F.struct(*[name for name in FINDING_COLUMNS if name not in ("file_id", "path")]).alias("item")
+        parts = in_parts(others.select("file_id", item), "file_id", per_document, ["item"])
+        grouped = parts.groupBy("file_id", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        files = scored.join(grouped, "file_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+        more = F.coalesce("items", F.slice(own, 1, 0))
+        own = F.when(F.col("part") == 0, F.sort_array(F.concat(own, more))).otherwise(more)
+    location = "coalesce(path, file_id)"
+    names = [name for name in FINDING_COLUMNS if name not in ("file_id", "path", *_ORDER)]
+    fields = ", ".join(f"'{name}', i.{name}" for name in names).replace("'line',", f"'file', {location}, 'line',")
+    files = files.withColumn("__items", own)
+    document = _json_document(F.expr(f"transform(__items, i -> named_struct({fields}))"))
+    return files.select("file_id", "ord", "part", document.alias("json"))
 
 
 _ITEMS = (
@@ -122,13 +154,19 @@ def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(text)), r"(?s)\A\[(.*)\]\z", 1)
 
 
-def sarif_logs(
-    findings: DataFrame, log: Column | None = None, per_document: int = FINDINGS_PER_DOCUMENT
-) -> DataFrame:
-    """SARIF documents, one per value of ``log`` (all findings if not given) and part.
+def _shard(shards: int) -> Column:
+    """A number below ``shards`` that follows from the file and the place of a finding in it alone."""
+    key = F.concat("file_id", F.lit(":"), F.expr("seq div 10000"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % shards
+
 
-    A log with more results than ``per_document`` is split into parts, each a valid document
-    that lists the rules of its own results.
+def sarif_logs(findings: DataFrame, log: Column | None = None, shards: int = SARIF_SHARDS) -> DataFrame:
+    """SARIF documents, one per value of ``log`` (all findings if not given) and shard that has results.
+
+    A log's results are dealt to ``shards`` documents by a stable hash of their file, and of every ten thousand results of it,
+    so a rerun gives the same documents, and the plan is the same at any size: one shuffle, before which each
+    task gathers its results of a document. Choose as many shards as keep a document at the size that its readers take; each
+    is valid by itself and lists the rules of its own results.
     """
     region = F.coalesce(_sarif_region(), F.lit("null"))
     result = F.concat(
@@ -144,11 +182,11 @@ def sarif_logs(
     )
     rows = findings.select(
         (F.lit(0) if log is None else log).cast("bigint").alias("log"),
+        _shard(shards).alias("part"),
         F.struct("file_id", *_ORDER, result.alias("json")).alias("result"),
         rule.alias("rule"),
     )
-    grouped = in_parts(rows, "log", per_document, ["result", "rule"]).groupBy("log", "part")
-    documents = grouped.agg(
+    documents = rows.groupBy("log", "part").agg(
         F.sort_array(F.collect_list("result")).alias("results"), F.sort_array(F.collect_set("rule")).alias("rules")
     )
     driver = F.lit(f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL_NAME}","version":"{TOOL_VERSION}","rules":[')
@@ -216,7 +254,7 @@ def _finding_lines(scores: DataFrame, findings: DataFrame) -> DataFrame:
     place = F.concat(_location(), F.coalesce(F.concat(F.lit(":"), F.col("line")), F.lit("")))
     text = F.concat(*[F.lit("  "), place, F.lit(" ["), mark, F.lit("] "), F.col("code"), F.lit(" "), F.col("message")])
     lines = F.array(text, F.concat(F.lit("    → "), F.col("suggestion")))
-    placed = findings.join(scores.select("file_id", "ord"), "file_id")
+    placed = findings if "ord" in findings.columns else findings.join(scores.select("file_id", "ord"), "file_id")
     body = placed.select(
         F.lit(2).alias("section"), "ord", _finding_order().alias("item"), F.posexplode(lines).alias("number", "text")
     )
@@ -224,7 +262,10 @@ def _finding_lines(scores: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def text_report(scores: DataFrame, findings: DataFrame) -> DataFrame:
-    """The lines of the text report with their sort key; see ``ordered_lines``."""
+    """The lines of the text report with their sort key; see ``ordered_lines``.
+
+    Findings that bring the ``ord`` of their file need no join.
+    """
     return reduce(
         DataFrame.unionByName, [_summary_lines(scores), _score_lines(scores), _finding_lines(scores, findings)]
     )
@@ -235,6 +276,25 @@ def ordered_lines(report: DataFrame) -> DataFrame:
     return report.orderBy("section", "ord", "item", "number").select("text")
 
 
+def numbered_lines(report: DataFrame) -> DataFrame:
+    """Report lines in order with their number in the whole report, from 1.
+
+    Lines are sorted into ranges and written once; the number of a line is its place in its range plus the sizes of
+    the ranges before, of which there is one small row per task. No task sees more than its own range.
+    """
+    spark = report.sparkSession
+    order = ["section", "ord", "item", "number"]
+    ranges = report.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # The id holds the number of the partition above its 33 lower bits, and the place in it below.
+    place = F.monotonically_increasing_id()
+    target = shared_dir(spark, "report-lines")
+    ranges.select(F.shiftright(place, 33).alias("range"), place.bitwiseAND((1 << 33) - 1).alias("at"), "text").write.parquet(target)
+    lines = spark.read.parquet(target)
+    before = F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = lines.groupBy("range").agg(F.count(F.lit(1)).alias("size")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(sizes), "range").select((F.col("before") + F.col("at") + 1).alias("line"), "text")
+
+
 # ---- Editor ---------------------------------------------------------------------------------
 
 
@@ -261,6 +321,34 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.select(*FINDING_COLUMNS).write.mode("overwrite").parquet(path)
 
 
+def replace_findings(findings: DataFrame, scanned: DataFrame, path: str, buckets: int = 64) -> None:
+    """Put the findings of the ``scanned`` files (file_id) in the place of those a findings table has of them.
+
+    The table is partitioned by a hash of the file; only the partitions of scanned files are rewritten, first to the shared
+    folder and then by dynamic overwrite, so a run that failed or is repeated leaves the same rows. A row without a
+    file stands in every partition that was written, so that one left without findings is rewritten too.
+    """
+    spark = findings.sparkSession
+    bucket = F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int").alias("bucket")
+    files = scanned.select("file_id").where("file_id is not null").distinct()
+    touched = files.select(bucket).distinct()
+    marker = spark.createDataFrame([], FINDINGS)
+    marker.write.mode("ignore").parquet(f"{path}/bucket=0")
+    old = spark.read.schema(f"{FINDINGS}, bucket int").parquet(path).where("file_id is not null")
+    kept = old.join(touched, "bucket", "left_semi").join(files, "file_id", "left_anti").select(*FINDING_COLUMNS, "bucket")
+    new = findings.select(*FINDING_COLUMNS, bucket).join(files, "file_id", "left_semi").select(*FINDING_COLUMNS, "bucket")
+    rows = kept.unionByName(new).unionByName(touched, allowMissingColumns=True)
+    staged = shared_dir(spark, "findings")
+    rows.write.parquet(staged)
+    written = spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+    written.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """What ``replace_findings`` keeps."""
+    return spark.read.schema(f"{FINDINGS}, bucket int").parquet(path).where("file_id is not null").select(*FINDING_COLUMNS)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").parquet(path)
 

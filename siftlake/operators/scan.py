@@ -11,11 +11,9 @@ from __future__ import annotations
 import warnings
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +22,14 @@ from siftlake.functions.paths import any_glob_sql
 from siftlake.functions.patterns import CompiledPattern, PatternError, compile_rule, is_sign_group
 from siftlake.functions.text import first_match_line_sql, fold_case, sql_string
 from siftlake.model import PENALTIES, STAGE_SECURITY, TOTAL_COLUMNS, Rule
+from siftlake.operators.rule_index import Needles, candidate_rules, first_match_lines, matched_sql
 
-# Rules per projection: more would exceed what Spark compiles into one stage. Larger sets are
-# scanned in blocks; by then the patterns cost far more than reading the texts again.
-RULES_PER_BLOCK = 250
+# Rules written out as expressions: more would exceed what Spark compiles into one stage. Larger sets
+# are matched through an index of their literals, with the same findings and again in one pass.
+LITERAL_RULES = 250
 
 _SLOW = "__slow_lines"
+_CANDIDATES = "__candidate_rules"
 _FOLDED = "__folded_text"
 
 
@@ -91,13 +91,9 @@ def _slow_rule_lines(patterns: list[str]):
         found = np.zeros((len(texts), len(patterns)), np.int64)
         missing = np.ones(found.shape, bool)
         for at, pattern in enumerate(patterns):
-            matched = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
-            rows = np.flatnonzero(matched.to_numpy(zero_copy_only=False))
-            if len(rows):
-                split = pc.extract_regex(texts.filter(matched), rf"(?P<lead>(?s:\A.*?))(?:{pattern})")
-                breaks = pc.count_substring(pc.struct_field(split, "lead"), "\n")
-                found[rows, at] = breaks.to_numpy(zero_copy_only=False) + 1
-                missing[rows, at] = False
+            rows, lines_of_rows = first_match_lines(texts, pattern)
+            found[rows, at] = lines_of_rows
+            missing[rows, at] = False
         offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(patterns)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel(), mask=missing.ravel()))
 
@@ -106,6 +102,10 @@ def _slow_rule_lines(patterns: list[str]):
 
 def _prepared(files: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]]) -> tuple[DataFrame, str]:
     """The files with what the rules need, and SQL for the array of first-match lines by rule."""
+    if len(rules) > LITERAL_RULES:
+        files, matched = _indexed(files, rules)
+        lines = f"map_from_entries({matched})"
+        return files, f"transform(sequence(0, {len(rules) - 1}), at -> try_element_at({lines}, at))"
     if any(compiled.folded for _, _, compiled in rules):
         files = files.withColumn(_FOLDED, fold_case(F.col("text")))
     shared = _shared_tests(rules)
@@ -130,17 +130,28 @@ def _prepared(files: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]])
     return files, f"cast(array({', '.join(lines)}) as array<bigint>)"
 
 
+def _indexed(files: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]]) -> tuple[DataFrame, str]:
+    """The files with the rules that may match each, and SQL for those that do, as (at, line)."""
+    compiled = [compiled for _, _, compiled in rules]
+    if any(one.folded for one in compiled):
+        files = files.withColumn(_FOLDED, fold_case(F.col("text")))
+    # Every broadcast rule takes a few hundred bytes.
+    index = candidate_rules(files.sparkSession.sparkContext.broadcast(Needles.of(compiled)))
+    files = files.withColumn(_CANDIDATES, index("text"))
+    return files, matched_sql([(rule, one) for _, rule, one in rules], _CANDIDATES, _FOLDED)
+
+
 def scan(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings of all rules over all files: one pass, no shuffle."""
     compiled = usable_rules(rules)
-    blocks = [compiled[at : at + RULES_PER_BLOCK] for at in range(0, len(compiled), RULES_PER_BLOCK)] or [[]]
-    found = []
-    for block in blocks:
-        prepared, lines = _prepared(files, block)
-        # Exploding the expression itself, not a column, keeps Spark from evaluating it twice.
-        hits = prepared.select("file_id", "path", F.posexplode(F.expr(lines)).alias("at", "line"))
-        found.append(_as_findings(hits.filter(F.col("line").isNotNull()), block))
-    return reduce(DataFrame.unionByName, found)
+    if len(compiled) > LITERAL_RULES:
+        prepared, matched = _indexed(files, compiled)
+        hits = prepared.select("file_id", "path", F.inline(F.expr(matched)))
+        return _as_findings(hits, compiled)
+    prepared, lines = _prepared(files, compiled)
+    # Exploding the expression itself, not a column, keeps Spark from evaluating it twice.
+    hits = prepared.select("file_id", "path", F.posexplode(F.expr(lines)).alias("at", "line"))
+    return _as_findings(hits.filter(F.col("line").isNotNull()), compiled)
 
 
 def scan_hits(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
@@ -154,13 +165,24 @@ def scan_hits(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ())
     return prepared.select("file_id", "path", "language", "ord", *keep, computed_once(F.expr(lines)).alias("lines"))
 
 
-def findings_of_hits(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    exploded = hits.select("file_id", "path", F.posexplode("lines").alias("at", "line"))
-    return _as_findings(exploded.filter(F.col("line").isNotNull()), usable_rules(rules))
+def findings_of_hits(hits: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """The findings of all files; ``keep`` names columns of the hits to add to each."""
+    exploded = hits.select("file_id", "path", *keep, F.posexplode("lines").alias("at", "line"))
+    return _as_findings(exploded.filter(F.col("line").isNotNull()), usable_rules(rules), keep)
+
 
+def items_of_hits(rules: Sequence[Rule]) -> Column:
+    """A file's findings as an array in report order, from its lines: a projection of the hits."""
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in _finding_fields(usable_rules(rules), "h.at", "h.line").items())
+    hits = "filter(transform(lines, (line, at) -> named_struct('at', at, 'line', line)), h -> h.line is not null)"
+    return F.expr(f"transform({hits}, h -> named_struct({fields}))")
 
-def totals_of_hits(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Per-file counts and penalties straight from the hits: still one row per file, no shuffle."""
+
+def totals_of_hits(hits: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """Per-file counts and penalties straight from the hits: still one row per file, no shuffle.
+
+    ``keep`` names further columns of the hits to pass through.
+    """
     severities = _array_sql([rule.severity for _, rule, _ in usable_rules(rules)], "string")
 
     def count(severity: str) -> Column:
@@ -172,6 +194,7 @@ def totals_of_hits(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         "path",
         "language",
         "ord",
+        *keep,
         count("error").cast("bigint").alias("errors"),
         count("warning").cast("bigint").alias("warnings"),
         count("info").cast("bigint").alias("infos"),
@@ -188,7 +211,7 @@ def totals_of_hits(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             "ai_count": F.lit(0).cast("bigint"),
             "ai_penalty": F.lit(0.0),
         }
-    ).select("file_id", "path", "language", "ord", *TOTAL_COLUMNS)
+    ).select("file_id", "path", "language", "ord", *keep, *TOTAL_COLUMNS)
 
 
 def _array_sql(values: list, type_name: str) -> str:
@@ -196,24 +219,30 @@ def _array_sql(values: list, type_name: str) -> str:
     return f"cast(array({', '.join(literals)}) as array<{type_name}>)"
 
 
-def _as_findings(hits: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]]) -> DataFrame:
-    """Look up the rule of each hit by its position."""
+def _finding_fields(rules: list[tuple[int, Rule, CompiledPattern]], at: str, line: str) -> dict[str, str]:
+    """SQL for the fields of a finding but for its file, by the position of its rule."""
 
-    def of_rule(values: list, type_name: str, name: str) -> str:
-        return f"get({_array_sql(values, type_name)}, at) as {name}"
+    def of_rule(values: list, type_name: str) -> str:
+        return f"get({_array_sql(values, type_name)}, {at})"
 
-    return hits.selectExpr(
-        "file_id",
-        "path",
-        f"{STAGE_SECURITY} as stage_ord",
-        of_rule([number for number, _, _ in rules], "int", "rule_ord"),
-        "0L as seq",
-        "'security' as category",
-        of_rule([rule.severity for _, rule, _ in rules], "string", "severity"),
-        of_rule([rule.code for _, rule, _ in rules], "string", "code"),
-        of_rule([rule.message for _, rule, _ in rules], "string", "message"),
-        "line",
-        "cast(null as bigint) as column",
-        of_rule([rule.suggestion for _, rule, _ in rules], "string", "suggestion"),
-        "cast(null as string) as ai_explanation",
-    )
+    return {
+        "stage_ord": str(STAGE_SECURITY),
+        "rule_ord": of_rule([number for number, _, _ in rules], "int"),
+        "seq": "0L",
+        "category": "'security'",
+        "severity": of_rule([rule.severity for _, rule, _ in rules], "string"),
+        "code": of_rule([rule.code for _, rule, _ in rules], "string"),
+        "message": of_rule([rule.message for _, rule, _ in rules], "string"),
+        "line": line,
+        "column": "cast(null as bigint)",
+        "suggestion": of_rule([rule.suggestion for _, rule, _ in rules], "string"),
+        "ai_explanation": "cast(null as string)",
+    }
+
+
+def _as_findings(
+    hits: DataFrame, rules: list[tuple[int, Rule, CompiledPattern]], keep: Sequence[str] = ()
+) -> DataFrame:
+    """Look up the rule of each hit by its position."""
+    fields = [f"{sql} as {name}" for name, sql in _finding_fields(rules, "at", "line").items()]
+    return hits.selectExpr("file_id", "path", *fields, *keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
@@ -55,13 +56,13 @@ def with_totals(files: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.select("file_id", "path", "language", "ord", *filled)
 
 
-def add_totals(known: DataFrame, more: DataFrame) -> DataFrame:
+def add_totals(known: DataFrame, more: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Add further totals to files whose totals are known; both have one row per file at most."""
     renamed = more.select("file_id", *[F.col(name).alias(f"more_{name}") for name in TOTAL_COLUMNS])
     sums = [
         (F.col(name) + F.coalesce(F.col(f"more_{name}"), _zero(name))).alias(name) for name in TOTAL_COLUMNS
     ]
-    return known.join(renamed, "file_id", "left").select("file_id", "path", "language", "ord", *sums)
+    return known.join(renamed, "file_id", "left").select("file_id", "path", "language", "ord", *keep, *sums)
 
 
 def _zero(name: str) -> Column:
@@ -93,8 +94,8 @@ def overall_score(scores: dict[str, Column]) -> Column:
     return reduce(add, [F.lit(weight) * scores[name] for name, weight in WEIGHTS])
 
 
-def score_totals(totals: DataFrame) -> DataFrame:
-    """Scores of files whose totals are known: a plain projection."""
+def score_totals(totals: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Scores of files whose totals are known: a plain projection. ``keep`` names columns to pass through."""
     dimensions = {
         "security": penalty_score("security", F.col("security_count"), F.col("security_penalty")),
         "code_quality": code_quality_score(F.col("errors"), F.col("warnings"), F.col("total")),
@@ -103,7 +104,7 @@ def score_totals(totals: DataFrame) -> DataFrame:
         "ai_risk": penalty_score("ai_semantic", F.col("ai_count"), F.col("ai_penalty")),
     }
     scored = totals.select(
-        *["file_id", "path", "language", "ord", "errors", "warnings", "total"],
+        *["file_id", "path", "language", "ord", *keep, "errors", "warnings", "total"],
         *[value.alias(name) for name, value in dimensions.items()],
     )
     return scored.withColumn("overall", overall_score({name: F.col(name) for name in dimensions}))

@@ -14,25 +14,26 @@ from siftlake.sources.tables import files_from_table, spread_small
 
 # Lines with planted issues; one is appended to every document, by its id.
 SNIPPETS = [
-    """db.execute("SELECT * FROM users WHERE name = '" + username + "'")""",
-    "db.execute(f'SELECT 1')",
-    "element.innerHTML = userInput",
-    "document.write(html)",
-    'password = "super_secret_password_123"',
-    'api_key = "sk-abc123def456ghi789jkl012mno345"',
-    "hashlib.md5(data)",
-    "cipher = DES.new(key)",
-    "print(f'password: {password}')",
-    "result = eval(user_input)",
-    "subprocess.run('echo ' + user_input, shell=True)",
-    'open("../../etc/passwd")',
-    'fetch("https://h/$user")',
-    "print('done')",
-    "x = 1",
+    """conn.query("select total from bills where region = '" + region + "'")""",
+    'cursor.exec(f"drop {name}")',
+    "panel.innerHTML = note.body",
+    "document.write(banner)",
+    'secret_key = "tulip_garden_4711"',
+    'access = "sk-qwertyuiopasdfghjklz9876"',
+    "digest = md5(chunk)",
+    "box = DESede.new(seed)",
+    'print("login with token", value)',
+    "total = eval(formula)",
+    'os.system("ls " + folder)',
+    'load("../shared/settings.ini")',
+    'get("http://mirror.test/$name")',
+    'print("ready")',
+    "y = 2",
 ]
 DIRECTORIES = ["src", "src/test", "node_modules/x", ".git", "pkg/__pycache__", "lib"]
 STEMS = ["main", "test_util", "latest", "mod"]
 EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".txt", ".PY", ""]
+FIRST_FILE = f"{DIRECTORIES[0]}/{STEMS[0]}_0{EXTENSIONS[0]}"
 
 # Rules that hit the given texts, with filters of every kind.
 TEXT_PACK = [
@@ -116,19 +117,20 @@ def change_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.filter(F.col("source").isNotNull())
 
 
-def with_document(spark: SparkSession, sf_dir: str, rows: DataFrame, files: int | None = None) -> DataFrame:
-    """Give every event a document in turn, as ``doc_id``: any of them, or one of the first ``files``.
+def with_document(spark: SparkSession, sf_dir: str, rows: DataFrame, skewed: bool = False) -> DataFrame:
+    """Give every event a document, as ``doc_id``: each in turn, or every second one a document near the first.
 
     The ids of the given documents run from 0 without gaps, so their number is one bounded row.
     """
     number = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n_documents"))
-    some = F.col("n_documents") if files is None else F.least(F.lit(files).cast("bigint"), "n_documents")
-    return rows.crossJoin(F.broadcast(number)).withColumn("doc_id", F.col("event_id") % some).drop("n_documents")
+    turn = F.col("event_id") % F.col("n_documents")
+    near = F.when(F.col("event_id") % 2 == 0, turn).otherwise(F.expr("(event_id % n_documents) * (event_id % n_documents) div n_documents"))
+    return rows.crossJoin(F.broadcast(number)).withColumn("doc_id", near if skewed else turn).drop("n_documents")
 
 
-def event_findings(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+def event_findings(spark: SparkSession, sf_dir: str, skewed: bool = False) -> DataFrame:
     """Events as findings of all categories and severities, spread over the documents."""
-    events = with_document(spark, sf_dir, table(spark, sf_dir, "events").select("event_id", "event_type"), files)
+    events = with_document(spark, sf_dir, table(spark, sf_dir, "events").select("event_id", "event_type"), skewed)
     category = (
         F.when(F.col("event_type") == "view", "performance")
         .when(F.col("event_type") == "error", "security")
@@ -272,11 +274,27 @@ def word_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.selectExpr("0 as dir_ord", "concat(source, '.json') as path", f"{RAW_WORD_PACK} as raw")
 
 
-def file_versions(documents: DataFrame) -> DataFrame:
-    """Documents as successive versions of 97 files; every version has a time of its own."""
+# One pack per benchmark item with a rule for each of its long words, as SQL: hundreds of rules in all.
+RAW_ITEM_PACK = (
+    "concat('{\"name\":\"item-', item_id, '\",\"rules\":[', array_join(transform(array_distinct(regexp_extract_all(text, '[a-z]{7,}', 0)), "
+    "word -> concat('{\"code\":\"', item_id, '-', word, '\",\"name\":\"n\",\"pattern\":\"[^a-z]', word, '[^a-z]\",\"message\":\"', word, '\"}')), ','), ']}')"
+)
+
+
+def item_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.selectExpr("0 as dir_ord", "concat(item_id, '.json') as path", f"{RAW_ITEM_PACK} as raw")
+
+
+def file_versions(documents: DataFrame, moving: bool = False) -> DataFrame:
+    """Documents as successive versions of 97 files; every version has a time of its own.
+
+    ``moving`` turns to other files after every 400 versions, so that earlier ones are not saved any more.
+    """
     doc_id = F.col("doc_id")
     text = F.concat("text", F.lit("\n"), _pick(SNIPPETS, doc_id % 15))
-    path = F.concat(F.lit("src/file_"), (doc_id % 97).cast("string"), F.lit(".py"))
+    number = doc_id % 97 + (F.expr("doc_id div 400 * 97") if moving else F.lit(0))
+    path = F.concat(F.lit("src/file_"), number.cast("string"), F.lit(".py"))
     files = documents.select(doc_id.cast("string").alias("file_id"), path.alias("path"), text.alias("text"), "doc_id")
     return files.select(
         "file_id",

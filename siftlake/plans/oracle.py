@@ -294,9 +294,9 @@ def _sarif() -> str:
     return _scan(
         _SEEDED,
         _BUILTIN,
-        f", rendered AS (SELECT {_RULE_ID} AS log, file_id, rule_ord, {result} AS result, {rule} AS rule FROM found) "
-        f"SELECT log, CAST(0 AS BIGINT) AS part, {_quote(start)} || string_agg(DISTINCT rule, ',' ORDER BY rule) || ']}}}},\"results\":[' "
-        "|| string_agg(result, ',' ORDER BY file_id, rule_ord) || ']}]}' AS sarif FROM rendered GROUP BY log",
+        f", rendered AS (SELECT {_RULE_ID} AS log, ('0x' || substr(md5(file_id || ':0'), 1, 8))::BIGINT % 16 AS part, file_id, rule_ord, {result} AS result, {rule} AS rule FROM found) "
+        f"SELECT log, part, {_quote(start)} || string_agg(DISTINCT rule, ',' ORDER BY rule) || ']}}}},\"results\":[' "
+        "|| string_agg(result, ',' ORDER BY file_id, rule_ord) || ']}]}' AS sarif FROM rendered GROUP BY log, part",
     ).replace("]}}}},", "]}},")
 
 
@@ -316,6 +316,16 @@ _TEXT = _SEEDED_SCORES + (
     "UNION ALL SELECT 2, ord, 1, '    → ' || suggestion FROM found WHERE suggestion IS NOT NULL"
 )
 
+# The same lines with the place of their finding, to be numbered in order.
+_ORDERED = (
+    _TEXT.replace(") SELECT 0 AS section, CAST(0 AS BIGINT) AS ord,", "), report AS (SELECT 0 AS section, CAST(0 AS BIGINT) AS ord, -1 AS item,")
+    .replace("SELECT 1, ord, 0,", "SELECT 1, ord, -1, 0,")
+    .replace("SELECT 2, ord, 0, '  ' || path || ':' FROM", "SELECT 2, ord, -1, 0, '  ' || path || ':' FROM")
+    .replace("SELECT 2, ord, 0, '  ' || path || ':' || line", "SELECT 2, ord, rule_ord, 0, '  ' || path || ':' || line")
+    .replace("SELECT 2, ord, 1,", "SELECT 2, ord, rule_ord, 1,")
+    + ") SELECT row_number() OVER (ORDER BY section, ord, item, number) AS line, text FROM report"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "scan_documents": _scan(_DOCS, _BUILTIN, f"SELECT {_FINDING} FROM found"),
     "scan_pages_pack": _scan(_PAGES, _PAGE_RULES, f"SELECT path, {_FINDING} FROM found"),
@@ -336,6 +346,14 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT file_id, code, severity, line FROM found UNION ALL SELECT file_id, code, 'info', "
         "CAST(1 + length(lead) - length(replace(lead, chr(10), '')) AS BIGINT) FROM numbered",
     ),
+    "scan_many_rules": _scan(
+        _DOCS,
+        _BUILTIN + ", words AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '[a-z]{7,}'))) AS word FROM benchmark)",
+        ", worded AS (SELECT f.file_id, w.item_id || '-' || w.word AS code, regexp_extract(f.text, '(?s:^(.*?))(?:[^a-z]' || w.word || '[^a-z])', 1) "
+        "AS lead FROM files f JOIN words w ON contains(f.text, w.word) AND regexp_matches(f.text, '[^a-z]' || w.word || '[^a-z]')) "
+        "SELECT file_id, code, severity, line FROM found UNION ALL SELECT file_id, code, 'warning', "
+        "CAST(1 + length(lead) - length(replace(lead, chr(10), '')) AS BIGINT) FROM worded",
+    ),
     "rule_filters": _scan(_SEEDED, _FILTER_RULES, f"SELECT {_FINDING} FROM found", _RULE_WHERE),
     "decode_texts": f"WITH {_DOCS}, {_BUILTIN}, {_HITS.format(where=' WHERE f.ord % 10 <> 0')}, {_FOUND} "
     "SELECT f.file_id, f.ord % 10 <> 0 AS readable, count(g.file_id) AS total FROM files f "
@@ -376,6 +394,10 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT path, rule_ord, line FROM found WHERE NOT ({_IGNORED})",
         " WHERE f.language IS NOT NULL",
     ),
+    "tree_targets": f"WITH {_SEEDED}, supported AS (SELECT path, language, length(text) AS chars FROM files WHERE language IS NOT NULL) "
+    f"SELECT 0 AS target, * FROM supported WHERE NOT ({_IGNORED}) "
+    f"UNION ALL SELECT unnest([1, 2]), * FROM supported WHERE starts_with(path, '{fx.DIRECTORIES[0]}/') "
+    f"UNION ALL SELECT 3, * FROM supported WHERE path = '{fx.FIRST_FILE}'",
     "file_counts": _SEEDED_SCORES + "SELECT file_id, errors, warnings, total FROM scores",
     "event_counts": _EVENT_SCORES + "SELECT file_id, errors, warnings, total FROM scores",
     "score_quality": _EVENT_SCORES + f"SELECT file_id, {_r('code_quality')} FROM scores",
@@ -386,7 +408,11 @@ ORACLE_SQL: dict[str, str] = {
     "score_overall": _EVENT_SCORES + f"SELECT file_id, {_r('overall')} FROM scores",
     "score_seeded": _SEEDED_SCORES + f"SELECT file_id, {_ROUNDED} FROM scores",
     "worst_file": _EVENT_SCORES + f"SELECT file_id, path, {_r('overall')} FROM scores ORDER BY scores.overall, ord LIMIT 1",
-    "critical_threshold": _EVENT_SCORES.replace(_DOCUMENT_OF_EVENT, "event_id % (SELECT least(150, max(doc_id) + 1) FROM documents)")
+    "critical_threshold": _EVENT_SCORES.replace(
+        _DOCUMENT_OF_EVENT,
+        f"CASE WHEN event_id % 2 = 0 THEN {_DOCUMENT_OF_EVENT} ELSE ({_DOCUMENT_OF_EVENT}) * ({_DOCUMENT_OF_EVENT}) "
+        "// (SELECT max(doc_id) + 1 FROM documents) END",
+    )
     + f"SELECT file_id, path, security, 'security score ' || {_display('security')} || ' below critical threshold' AS message "
     "FROM (SELECT * FROM scores ORDER BY overall, ord LIMIT 1) WHERE security < 50",
     "threshold_violations": _SEEDED_SCORES
@@ -422,6 +448,9 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "sarif_rules": _scan(_SEEDED, _BUILTIN, "SELECT DISTINCT code AS id, message AS description FROM found"),
     "sarif_logs": _sarif(),
+    "findings_table": _scan(
+        _SEEDED, _BUILTIN, "SELECT file_id, path, code, severity, line FROM found WHERE CAST(file_id AS BIGINT) % 5 <> 0 OR severity = 'error'"
+    ),
     "diagnostics": _scan(
         _SEEDED,
         _BUILTIN,
@@ -442,6 +471,7 @@ ORACLE_SQL: dict[str, str] = {
     + _display("security")
     + " || ' below critical threshold\"' ELSE '' END FROM worst) || '],\"exit_code\":0}' AS json",
     "text_report": _TEXT,
+    "ordered_report": _ORDERED,
     "score_bands": _EVENT_SCORES
     + "SELECT file_id, CASE WHEN overall >= 80 THEN 'green' WHEN overall >= 60 THEN 'yellow' ELSE 'red' END AS band, "
     "security < 70 AS security_flag FROM scores",
@@ -463,6 +493,11 @@ ORACLE_SQL: dict[str, str] = {
     "CAST(coalesce(json_array_length(d, '$.languages'), 0) AS INTEGER) AS n_languages FROM flat",
     "pack_totals": f"WITH {_PACK_STATE} SELECT count(*) AS packs, CAST(sum(CASE WHEN p_partkey % 13 = 0 THEN 0 WHEN p_partkey % 5 = 0 THEN 2 "
     "ELSE 1 END) AS BIGINT) AS rules FROM packs WHERE NOT bad_format AND NOT bad_pattern",
+    "pack_dirs": f"WITH {_PACK_STATE}, placed AS (SELECT *, CASE dir_ord WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 3 END AS place FROM packs) "
+    "SELECT place AS dir_ord, path, unnest(json_extract_string(raw, '$.rules[*].code')) AS code, CAST(NULL AS BOOLEAN) AS bad_format "
+    "FROM placed WHERE NOT bad_format AND NOT bad_pattern "
+    "UNION ALL SELECT place, path, NULL, bad_format FROM placed WHERE bad_format OR bad_pattern "
+    "UNION ALL SELECT 0, 'example-rules.json', NULL, false",
     "pack_rejected": f"WITH {_PACK_STATE} SELECT path, bad_format FROM packs WHERE bad_format OR bad_pattern",
     **{
         name: f"WITH {_lint_items(tool)} SELECT file_id, path, seq, severity, code, message, line FROM lint"
@@ -479,6 +514,9 @@ ORACLE_SQL: dict[str, str] = {
     f"\"messages\":[{{\"content\":' || to_json({_PROMPT}) || ',\"role\":\"user\"}}],\"model\":{json.dumps(JUDGE.model)}}}' AS body FROM chunks",
     "judge_findings": f"WITH {_ANSWERS} SELECT file_id, path, 'info' AS severity, 'SEM001' AS code, 'AI semantic review completed' AS message, "
     "ai_explanation FROM answers WHERE ai_explanation IS NOT NULL",
+    "rejected_responses": f"SELECT CAST(doc_id AS VARCHAR) AS file_id, {fx.RESPONSE_PROVIDER} AS provider, CASE WHEN doc_id % 10 = 3 THEN 'status 429' "
+    "WHEN doc_id % 9 = 0 THEN 'not one JSON value' ELSE 'no answer text' END AS reason FROM documents "
+    "WHERE doc_id % 10 = 3 OR doc_id % 9 = 0 OR NOT CASE WHEN doc_id % 4 < 2 THEN doc_id % 2 = 0 AND doc_id % 8 <> 0 ELSE doc_id % 2 = 1 END",
     "custom_finder": "WITH counted AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, contains(text, 'system') AS refused, "
     "length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents) "
     "SELECT file_id, CASE WHEN NOT refused THEN 'warning' END AS severity, CASE WHEN NOT refused THEN 'LONG' END AS code, "
@@ -490,4 +528,11 @@ ORACLE_SQL: dict[str, str] = {
         _BUILTIN,
         "SELECT path, file_id, rule_ord, line FROM found",
     ),
+    "stream_expiring": _scan(
+        _VERSION_HITS.replace("(doc_id % 97)", "(doc_id % 97 + doc_id // 400 * 97)").replace(
+            "newest", "doc_id = (SELECT max(doc_id) FROM versions w WHERE w.path = v.path) AND doc_id >= (SELECT max(doc_id) - 600 FROM versions)"
+        ),
+        _BUILTIN,
+        "SELECT path, file_id, rule_ord, line FROM found",
+    ),
 }

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +31,7 @@ from siftlake.streaming import on_save
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+EXPIRY = "10 minutes"
 JUDGE = JudgeConfig(provider="anthropic", model="judge-1")
 _FINDING = ["file_id", "rule_ord", "severity", "code", "message", "line", "suggestion"]
 _LINT = ["file_id", "path", "seq", "severity", "code", "message", "line"]
@@ -46,9 +45,9 @@ def _seeded_check(spark: SparkSession, sf: str, materialize: bool = False) -> Ch
     return check(fx.seeded_files(spark, sf), materialize=materialize)
 
 
-def _event_scores(spark: SparkSession, sf: str, n_files: int | None = None) -> DataFrame:
+def _event_scores(spark: SparkSession, sf: str, skewed: bool = False) -> DataFrame:
     files = fx.paths_only(spark, sf).withColumn("language", language_of(F.col("path")))
-    return scoring.score(files.withColumn("ord", F.col("file_id").cast("bigint")), fx.event_findings(spark, sf, n_files))
+    return scoring.score(files.withColumn("ord", F.col("file_id").cast("bigint")), fx.event_findings(spark, sf, skewed))
 
 
 # ---- Scans ----------------------------------------------------------------------------------
@@ -92,6 +91,12 @@ def scan_loaded_packs(spark: SparkSession, sf: str) -> DataFrame:
     return scan.scan(fx.document_files(spark, sf), rules).select("file_id", "code", "severity", "line")
 
 
+def scan_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Built-in rules, then hundreds of pack rules, in one pass over the documents."""
+    loaded = packs.rules_of_packs(packs.valid_packs(packs.parse_rule_packs(fx.item_packs(spark, sf))))
+    return scan.scan(fx.document_files(spark, sf), builtin_rules() + loaded).select("file_id", "code", "severity", "line")
+
+
 def rule_filters(spark: SparkSession, sf: str) -> DataFrame:
     return scan.scan(fx.seeded_files(spark, sf), fx.FILTER_PACK).select(*_FINDING)
 
@@ -173,25 +178,29 @@ def changed_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _changed_scan(spark, sf, gone)
 
 
+def _written_tree(spark: SparkSession, sf: str) -> str:
+    root = tree.store_of(shared_dir(spark, "tree")).root
+    tree.write_tree(fx.seeded_files(spark, sf), root)
+    return root
+
+
 def source_tree_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as a file tree to the shared folder, then found and scanned there."""
-    root = tree.local_path(shared_dir(spark, "tree"))
-    files = fx.seeded_files(spark, sf).select("path", "text")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                target = os.path.join(root, row["path"])
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "w", encoding="utf-8", newline="") as file:
-                    file.write(row["text"])
-            yield pa.RecordBatch.from_pydict({"written": [batch.num_rows]})
-
-    files.mapInArrow(write, "written bigint").agg(F.sum("written")).collect()
+    root = _written_tree(spark, sf)
     found = scan.scan(tree.source_tree(spark, [root]), builtin_rules())
     return found.select(F.substr("path", F.lit(len(root) + 2)).alias("path"), "rule_ord", "line")
 
 
+def tree_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Supported files by target: a tree, one nested in it twice, a file of it, a missing folder."""
+    root = _written_tree(spark, sf)
+    targets = [root, f"{root}/{fx.DIRECTORIES[0]}", f"{root}/{fx.DIRECTORIES[0]}/", f"{root}/{fx.FIRST_FILE}", f"{root}/gone"]
+    files = tree.source_tree(spark, targets)
+    target = F.substring_index("file_id", ":", 1).cast("int").alias("target")
+    path = F.substr("path", F.lit(len(root) + 2)).alias("path")
+    return files.select(target, path, "language", F.length("text").cast("bigint").alias("chars"))
+
+
 # ---- Scores -------------------------------------------------------------------------------------
 
 
@@ -220,7 +229,7 @@ def worst_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def critical_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return gate.critical_failures(_event_scores(spark, sf, 150))
+    return gate.critical_failures(_event_scores(spark, sf, skewed=True))
 
 
 def threshold_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,15 +303,26 @@ def sarif_logs(spark: SparkSession, sf: str) -> DataFrame:
     return reports.sarif_logs(_seeded_check(spark, sf).findings, by_rules)
 
 
+def findings_table(spark: SparkSession, sf: str) -> DataFrame:
+    """All findings, then a second look at every fifth file that leaves its errors only, written twice."""
+    target = shared_dir(spark, "findings-table")
+    result = _seeded_check(spark, sf, materialize=True)
+    again = result.findings.where("cast(file_id as bigint) % 5 = 0 and severity = 'error'")
+    reports.replace_findings(result.findings, result.files, target)
+    for _ in range(2):
+        reports.replace_findings(again, result.files.where("cast(file_id as bigint) % 5 = 0"), target)
+    return reports.read_findings(spark, target).select("file_id", "path", "code", "severity", "line")
+
+
 def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return reports.diagnostics(_seeded_check(spark, sf).findings).drop("seq")
 
 
 def json_report(spark: SparkSession, sf: str) -> DataFrame:
-    result = _seeded_check(spark, sf, materialize=True)
+    result = _seeded_check(spark, sf)
     dimensions = ["security", "code_quality", "performance", "test_coverage", "ai_risk", "overall"]
-    scores = result.scores.withColumns({name: F.round(name, 6) for name in dimensions})
-    return reports.json_report(scores, result.findings).select("file_id", "part", "json")
+    scored = result.scored.withColumns({name: F.round(name, 6) for name in dimensions})
+    return reports.json_report_of_hits(scored, result.rules).select("file_id", "part", "json")
 
 
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,7 +333,12 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
     result = _seeded_check(spark, sf, materialize=True)
-    return reports.text_report(result.scores, result.findings).select("section", "ord", "number", "text")
+    return result.text_report().select("section", "ord", "number", "text")
+
+
+def ordered_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the text report, numbered."""
+    return reports.numbered_lines(_seeded_check(spark, sf, materialize=True).text_report())
 
 
 def score_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,6 +374,24 @@ def pack_rejected(spark: SparkSession, sf: str) -> DataFrame:
     return rejected.select("path", (F.col("reason") == "not a rule pack").alias("bad_format"))
 
 
+def pack_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw packs written to ordered folders, among other files, and loaded from there: rules, or why there are none."""
+    root = tree.store_of(shared_dir(spark, "packs")).root
+    raw = fx.raw_packs(spark, sf).withColumn("folder", F.concat(F.lit("dir-"), F.col("dir_ord")))
+    listed = F.array(F.concat("folder", F.lit("/"), "path"), F.concat("folder", F.lit("/below/"), "path"), F.concat("folder", F.lit("/"), "path", F.lit(".bak")))
+    example = packs.example_pack(spark).select(F.concat(F.lit("dir-1/"), "path").alias("path"), F.col("raw").alias("text"))
+    tree.write_tree(raw.select(F.explode(listed).alias("path"), F.col("raw").alias("text")).unionByName(example), root)
+    # The second folder is loaded first, and one does not exist.
+    loaded = packs.load_rule_packs(spark, [f"{root}/dir-{at}" for at in (1, 7, 0, 2)])
+    rules = packs.pack_rules(packs.valid_packs(loaded)).select("dir_ord", "path", "code", F.lit(None).cast("boolean").alias("bad_format"))
+    rejected = packs.rejected_packs(loaded).select("dir_ord", "path", F.lit(None).cast("string").alias("code"), (F.col("reason") == "not a rule pack").alias("bad_format"))
+    return rules.unionByName(rejected).withColumn("path", F.substring_index("path", "/", -1))
+
+
+def rejected_responses(spark: SparkSession, sf: str) -> DataFrame:
+    return judge.rejected_responses(fx.judge_responses(spark, sf))
+
+
 def _lint(tool: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         return parse_lint(fx.lint_reports(spark, sf, tool), tool).select(*_LINT)
@@ -407,6 +450,14 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     return on_save.read_latest(spark, target, builtin_rules()).select("path", "file_id", "rule_ord", "line")
 
 
+def stream_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest findings of paths saved within ten minutes of the newest save."""
+    target = shared_dir(spark, "stream-expiring")
+    versions = fx.file_versions(_document_stream(spark, sf), moving=True)
+    on_save.start_latest(versions, builtin_rules(), target, target + "-progress", EXPIRY).awaitTermination()
+    return on_save.read_latest(spark, target, builtin_rules(), EXPIRY).select("path", "file_id", "rule_ord", "line")
+
+
 QUERIES: dict[str, Query] = {
     "scan_documents": scan_documents,
     "scan_pages_pack": scan_pages_pack,
@@ -415,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "scan_seeded": scan_seeded,
     "scan_lines": scan_lines,
     "scan_loaded_packs": scan_loaded_packs,
+    "scan_many_rules": scan_many_rules,
     "rule_filters": rule_filters,
     "decode_texts": decode_texts,
     "language_detect": language_detect,
@@ -428,6 +480,7 @@ QUERIES: dict[str, Query] = {
     "changed_scan": changed_scan,
     "changed_fallback": changed_fallback,
     "source_tree_scan": source_tree_scan,
+    "tree_targets": tree_targets,
     "file_counts": file_counts,
     "event_counts": event_counts,
     "score_quality": _event_score("code_quality"),
@@ -450,16 +503,19 @@ QUERIES: dict[str, Query] = {
     "sarif_results": sarif_results,
     "sarif_rules": sarif_rules,
     "sarif_logs": sarif_logs,
+    "findings_table": findings_table,
     "diagnostics": diagnostics,
     "json_report": json_report,
     "run_summary": run_summary,
     "text_report": text_report,
+    "ordered_report": ordered_report,
     "score_bands": score_bands,
     "rule_listing": rule_listing,
     "pack_summary": pack_summary,
     "pack_rules": pack_rules,
     "pack_totals": pack_totals,
     "pack_rejected": pack_rejected,
+    "pack_dirs": pack_dirs,
     "lint_ruff": _lint("ruff"),
     "lint_biome": _lint("biome"),
     "lint_oxlint": _lint("oxlint"),
@@ -468,7 +524,9 @@ QUERIES: dict[str, Query] = {
     "prompts": prompts,
     "request_bodies": request_bodies,
     "judge_findings": judge_findings,
+    "rejected_responses": rejected_responses,
     "custom_finder": custom_finder,
     "stream_scan": stream_scan,
     "stream_latest": stream_latest,
+    "stream_expiring": stream_expiring,
 }

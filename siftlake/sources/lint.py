@@ -4,11 +4,15 @@ Each report row holds the raw output of one linter for one file. Diagnostics are
 because types matter: one with a missing, null or wrongly typed field voids its
 whole report, and plain JSON decoding would silently convert or drop such a field. Reports above the
 engine's limit of one value are split, and each diagnostic is a value of its own. ``rejected_reports``
-lists the reports that are void.
+lists the reports that are void, ``rejected_lines`` the unreadable ones of line-wise reports.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,11 @@ from siftlake.functions.json import whole_number_at as _count
 from siftlake.functions.severity import clippy_severity, report_severity, ruff_severity
 from siftlake.model import LINTERS, STAGE_LINT
 
+# Lines and bytes of a report handed on at once; only a single longer line exceeds them.
+LINES_PER_BATCH, BATCH_BYTES = 2000, 4 << 20
+# The engine's limit of one value read from JSON.
+VALUE_BYTES = 128 << 20
+
 
 def _needs_text(path: str) -> str:
     return f"{type_at('d', path)} = 'STRING'"
@@ -175,17 +184,58 @@ def _document_diagnostics(reports: DataFrame, tools: list[str]) -> DataFrame:
     return items.select("file_id", "path", "tool", "seq", severity.alias("severity"), "d.code", "d.message", "d.line")
 
 
+def _report_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of reports in bounded batches, found one after the other: a report is never held as a list of lines."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            if not batch.column("raw")[at].is_valid:
+                continue
+            data, owner = batch.column("raw")[at].as_buffer().to_pybytes(), batch.slice(at, 1)
+            seq, place = 0, 0
+            while place <= len(data):
+                lines, size = [], 0
+                while place <= len(data) and len(lines) < LINES_PER_BATCH and size < BATCH_BYTES:
+                    end = data.find(b"\n", place)
+                    end = len(data) if end < 0 else end
+                    lines.append(data[place:end])
+                    size += end - place
+                    place = end + 1
+                same = pa.array(np.zeros(len(lines), np.int64))
+                numbers = pa.array(np.arange(seq, seq + len(lines), dtype=np.int32))
+                text = pa.array(lines, pa.binary()).cast(pa.string())
+                columns = [owner.column("file_id").take(same), owner.column("path").take(same), numbers, text]
+                yield pa.RecordBatch.from_arrays(columns, ["file_id", "path", "seq", "raw_line"])
+                seq += len(lines)
+
+
+def _clippy_lines(reports: DataFrame) -> DataFrame:
+    """The lines of reports on Rust files, each with the JSON document it holds, if any."""
+    files = reports.filter(extension(F.col("path")) == "rs")
+    lines = files.select("file_id", "path", "raw").mapInArrow(
+        _report_lines, "file_id string, path string, seq int, raw_line string"
+    )
+    return lines.select("file_id", "path", "seq", "raw_line", computed_once(F.expr(json_document_sql("raw_line"))).alias("m"))
+
+
+def rejected_lines(reports: DataFrame) -> DataFrame:
+    """Lines of clippy reports that begin as a message but cannot be read: ``file_id``, ``line`` from 1, ``bytes``, ``reason``.
+
+    Other lines that are no JSON are the build's own output. A line may be unreadable because it exceeds the
+    engine's limit of one value; its neighbours are read all the same.
+    """
+    large = F.col("bytes") > VALUE_BYTES
+    lines = _clippy_lines(reports).filter("m is null and raw_line like '{%'")
+    measured = lines.select("file_id", (F.col("seq") + 1).alias("line"), F.octet_length("raw_line").cast("bigint").alias("bytes"))
+    return measured.withColumn("reason", F.when(large, "larger than one value may be").otherwise("not one JSON value"))
+
+
 def _clippy_messages(reports: DataFrame) -> DataFrame:
-    """Compiler messages of Rust files: one JSON document per line, unreadable lines are skipped.
+    """Compiler messages of Rust files: one JSON document per line; see ``rejected_lines`` for unreadable ones.
 
     A build reports on all files of a crate; a message belongs to the report's file when one
     of its spans lies in a file of that name. The line is that of the first span, in any file.
     """
-    lines = reports.filter(extension(F.col("path")) == "rs").select(
-        "file_id", "path", F.posexplode(F.split("raw", "\n")).alias("seq", "raw_line")
-    )
-    message = computed_once(F.expr(json_document_sql("raw_line")))
-    parsed = lines.select("file_id", "path", "seq", message.alias("m"))
+    parsed = _clippy_lines(reports).select("file_id", "path", "seq", "m")
     same_name = F.expr(
         "exists(try_variant_get(m, '$.message.spans', 'array<variant>'), "
         f"s -> substring_index({_text('s', '$.file_name')}, '/', -1) = substring_index(path, '/', -1))"

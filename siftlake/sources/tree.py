@@ -1,4 +1,4 @@
-"""Source trees on a shared file system as files.
+"""Source trees as files, on a shared file system or in any other store.
 
 Spark's own file sources leave out names starting with ``_`` or ``.`` and follow links, so
 trees are listed by a data source of their own: the driver only opens the top of the tree,
@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,13 +28,88 @@ _BATCH_BYTES = 32 << 20
 FILE, OWN_FILES, TREE = "file", "own files", "tree"
 
 
-def local_path(root: str) -> str:
-    """The path of a root that plain file calls reach; other stores raise, as their trees would seem empty."""
-    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):/", root)
+class LocalStore:
+    """A file system mounted on the driver and all executors. Names need not be UTF-8, and links are seen as such."""
+
+    def __init__(self, location: str) -> None:
+        self.root = location
+
+    def exists(self, path: str) -> bool:
+        return os.path.exists(path)
+
+    def is_directory(self, path: str) -> bool:
+        return os.path.isdir(path)
+
+    def children(self, directory: str) -> Iterator[tuple[str, bool, int | None]]:
+        """(path, whether a directory, size) of what lies right inside a directory; links are left out."""
+        try:
+            with os.scandir(directory) as entries:
+                for entry in entries:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield entry.path, True, None
+                    elif entry.is_file(follow_symlinks=False):
+                        yield entry.path, False, entry.stat(follow_symlinks=False).st_size
+        except OSError:
+            return  # an unreadable directory holds nothing
+
+    def size(self, path: str) -> int | None:
+        return os.stat(path).st_size if os.path.isfile(path) else None
+
+    def read(self, path: str) -> bytes:
+        with open(path, "rb") as file:
+            return file.read()
+
+    def write(self, path: str, data: bytes) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as file:
+            file.write(data)
+
+
+class RemoteStore:
+    """Any other store that Arrow reaches by a URI, such as HDFS or an object store. Paths keep the start of their URI."""
+
+    def __init__(self, location: str, files: fs.FileSystem | None = None) -> None:
+        self.files, inside = (files, location) if files else fs.FileSystem.from_uri(location)
+        self.start = location.rstrip("/").removesuffix(inside.rstrip("/"))
+        self.root = self.start + inside.rstrip("/")
+
+    def _inside(self, path: str) -> str:
+        return path.removeprefix(self.start)
+
+    def exists(self, path: str) -> bool:
+        return self.files.get_file_info(self._inside(path)).type != fs.FileType.NotFound
+
+    def is_directory(self, path: str) -> bool:
+        return self.files.get_file_info(self._inside(path)).type == fs.FileType.Directory
+
+    def children(self, directory: str) -> Iterator[tuple[str, bool, int | None]]:
+        try:
+            for info in self.files.get_file_info(fs.FileSelector(self._inside(directory))):
+                yield self.start + info.path, info.type == fs.FileType.Directory, info.size
+        except OSError:
+            return
+
+    def size(self, path: str) -> int | None:
+        return self.files.get_file_info(self._inside(path)).size
+
+    def read(self, path: str) -> bytes:
+        with self.files.open_input_stream(self._inside(path)) as file:
+            return file.read()
+
+    def write(self, path: str, data: bytes) -> None:
+        inside = self._inside(path)
+        self.files.create_dir(inside.rpartition("/")[0], recursive=True)
+        with self.files.open_output_stream(inside) as file:
+            file.write(data)
+
+
+def store_of(location: str) -> LocalStore | RemoteStore:
+    """The store of a path or URI. ``file:`` URIs and plain paths are local; an unreachable store raises."""
+    scheme = re.match("([A-Za-z][A-Za-z0-9+.-]*):/", location)
     if scheme and scheme[1].lower() != "file":
-        raise ValueError(f"{root}: source trees are read from a shared file system, not from {scheme[1]}:")
+        return RemoteStore(location)
     # file:/a, file:///a and file://host/a name the same path on a shared file system.
-    return re.sub("^//[^/]*", "", root[len(scheme[1]) + 1 :]) if scheme else root.removeprefix("file:")
+    return LocalStore(re.sub("^//[^/]*", "", location[len(scheme[1]) + 1 :]) if scheme else location.removeprefix("file:"))
 
 
 class Walk(InputPartition):
@@ -50,55 +126,51 @@ class SourceTreeReader(DataSourceReader):
         self.ignore = set(json.loads(options["ignore"]))
         self.tasks = int(options["tasks"])
 
-    def _children(self, directory: str, want_files: bool) -> list[str]:
-        """The files, or else the directories, right inside a directory by name; links are neither."""
-        try:
-            with os.scandir(directory) as entries:
-                return sorted(
-                    entry.path
-                    for entry in entries
-                    if entry.name not in self.ignore
-                    and (entry.is_file(follow_symlinks=False) if want_files else entry.is_dir(follow_symlinks=False))
-                )
-        except OSError:
-            return []  # an unreadable directory holds nothing
+    def _children(self, store: LocalStore | RemoteStore, directory: str) -> list[tuple[str, bool, int | None]]:
+        """What lies right inside a directory, by name."""
+        named = store.children(directory)
+        return sorted(child for child in named if child[0].rstrip("/").rpartition("/")[2] not in self.ignore)
 
     def partitions(self) -> list[Walk]:
         # A file target stands for itself, a directory for its tree, a missing target for nothing.
-        kinds = [(at, path, TREE if os.path.isdir(path) else FILE) for at, path in enumerate(self.targets)]
-        found = [entry for entry in kinds if os.path.exists(entry[1])]
+        stores = [store_of(target) for target in self.targets]
+        found = [
+            (at, store.root, TREE if store.is_directory(store.root) else FILE)
+            for at, store in enumerate(stores)
+            if store.exists(store.root)
+        ]
         # Open the topmost directories until there are some for every task, or none is left. The
-        # driver only ever holds directories: listing the files inside them is left to the tasks.
+        # driver only ever keeps directories: the files inside them are left to the tasks.
         while len(found) < 2 * self.tasks:
             trees = [at for at, (_, _, kind) in enumerate(found) if kind == TREE]
             if not trees:
                 break
             at = min(trees, key=lambda tree: found[tree][1].count("/"))
             target, path, _ = found[at]
-            below = [(target, name, TREE) for name in self._children(path, want_files=False)]
+            below = [(target, name, TREE) for name, is_tree, _ in self._children(stores[target], path) if is_tree]
             found[at : at + 1] = [(target, path, OWN_FILES), *below]
         share = -(-len(found) // self.tasks) or 1
         return [Walk(at // share, found[at : at + share]) for at in range(0, len(found), share)]
 
     def read(self, partition: Walk) -> Iterator[tuple]:
         number = 0
+        stores: dict[int, LocalStore | RemoteStore] = {}
         for target, start, kind in partition.entries:
-            for path in [start] if kind == FILE else self._walk(start, deep=kind == TREE):
-                try:
-                    size = os.stat(path).st_size
-                except OSError:
-                    size = None
+            if target not in stores:
+                stores[target] = store_of(self.targets[target])
+            store = stores[target]
+            for path, size in [(start, store.size(start))] if kind == FILE else self._walk(store, start, deep=kind == TREE):
                 name = os.fsencode(path).decode("utf-8", "replace")
                 yield f"{target}:{name}", name, (partition.value << 40) + number, size
                 number += 1
 
-    def _walk(self, directory: str, deep: bool) -> Iterator[str]:
+    def _walk(self, store: LocalStore | RemoteStore, directory: str, deep: bool) -> Iterator[tuple[str, int | None]]:
         pending = [directory]
         while pending:
-            current = pending.pop()
-            yield from self._children(current, want_files=True)
+            children = self._children(store, pending.pop())
+            yield from ((path, size) for path, is_tree, size in children if not is_tree)
             if deep:
-                pending += reversed(self._children(current, want_files=False))
+                pending += [path for path, is_tree, _ in reversed(children) if is_tree]
 
 
 class SourceTree(DataSource):
@@ -118,11 +190,14 @@ def list_tree(
 ) -> DataFrame:
     """Every regular file below the targets, one row per target that reaches it.
 
-    Targets lie on a file system that the driver and all executors share; one in another store raises.
+    Targets are paths on a file system that the driver and all executors share, or URIs of any store that Arrow
+    reaches; one it cannot reach raises.
     """
+    for target in targets:
+        store_of(str(target))  # a store that cannot be reached raises here, not in some task
     spark.dataSource.register(SourceTree)
     reader = spark.read.format("source_tree")
-    reader = reader.option("targets", json.dumps([local_path(str(t)) for t in targets]))
+    reader = reader.option("targets", json.dumps([str(t) for t in targets]))
     reader = reader.option("ignore", json.dumps(list(ignore)))
     return reader.option("tasks", tasks or 4 * spark.sparkContext.defaultParallelism).load()
 
@@ -136,11 +211,13 @@ def read_texts(listing: DataFrame) -> DataFrame:
         for batch in batches:
             named = batch.select(names)
             schema = named.schema.append(pa.field("text", pa.string()))
-            rows, pending = [], 0
+            rows, pending, stores = [], 0, {}
             for row in named.to_pylist():
+                start = re.match("[A-Za-z][A-Za-z0-9+.-]*://[^/]*|", row["path"])[0]
                 try:
-                    with open(row["path"], encoding="utf-8", newline="") as file:
-                        row["text"] = file.read()
+                    if start not in stores:
+                        stores[start] = store_of(row["path"])
+                    row["text"] = stores[start].read(row["path"]).decode("utf-8")
                 except (OSError, UnicodeDecodeError):
                     row["text"] = None
                 rows.append(row)
@@ -166,3 +243,17 @@ def source_tree(
     listing = list_tree(spark, targets, ignore, tasks).withColumn("language", language_of(F.col("path")))
     texts = read_texts(listing.filter(F.col("language").isNotNull()))
     return texts.select("file_id", "path", "language", "text", "ord")
+
+
+def write_tree(texts: DataFrame, root: str) -> int:
+    """Write each row's ``text`` as the file ``path`` below ``root``, where the tasks run; returns how many."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = store_of(root)
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                store.write(f"{store.root}/{path}", text.encode())
+            yield pa.RecordBatch.from_pydict({"written": [batch.num_rows]})
+
+    written = texts.select("path", "text").where("text is not null").mapInArrow(write, "written bigint")
+    return written.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]

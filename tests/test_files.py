@@ -1,5 +1,7 @@
+import json
 import os
 
+import pyarrow.fs as fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from siftlake.operators.finder import finder_failures, finder_findings, register
 from siftlake.plans.suite import source_tree_scan
 from siftlake.sources.changes import parse_changed_paths
 from siftlake.sources.tables import files_from_table, supported_files
-from siftlake.sources.tree import list_tree, source_tree
+from siftlake.sources.tree import LocalStore, RemoteStore, SourceTreeReader, list_tree, source_tree
 
 GLOBS = [
     ("*.py", "test.py", True), ("*.py", "src/test.py", False), ("test.?s", "test.js", True), ("test.?s", "test.ts", True),
@@ -145,13 +147,34 @@ def test_custom_finder(spark, make_files):
     ]
 
 
-def test_trees_outside_the_shared_file_system_raise(spark, tmp_path, monkeypatch):
+def test_trees_in_stores_that_cannot_be_reached_raise(spark, tmp_path, monkeypatch):
     (tmp_path / "a.py").write_text("x")
     for root in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
         assert [r.path for r in list_tree(spark, [root]).collect()] == [f"{tmp_path}/a.py"]
     for root in ("hdfs://host/tree", "s3a://bucket/tree", "viewfs:/tree"):
-        with pytest.raises(ValueError, match="shared file system"):
+        with pytest.raises((ValueError, OSError)):
             list_tree(spark, [root])
-    monkeypatch.setattr("siftlake.plans.suite.shared_dir", lambda spark, name: f"hdfs://host/shared/{name}")
-    with pytest.raises(ValueError, match="shared file system"):
+    monkeypatch.setattr("siftlake.plans.suite.shared_dir", lambda spark, name: f"s3a://host/shared/{name}")
+    with pytest.raises((ValueError, OSError)):
         source_tree_scan(spark, "/root/testdata/sf0.001")
+
+
+def test_trees_of_other_stores_are_listed_alike(tree, monkeypatch):
+    """The reader over a store of Arrow's finds what it finds through the mounted file system, but for links."""
+    os.remove(tree / "link.py")
+    os.remove(tree / "linked")
+    options = {"targets": json.dumps([f"far://{tree}", f"far://{tree}/src", f"far://{tree}/readme.md", f"far://{tree}/gone"]), "ignore": "[]", "tasks": "3"}
+
+    def listed():
+        reader = SourceTreeReader(options)
+        return sorted((r[0].replace("far://", ""), r[3]) for part in reader.partitions() for r in reader.read(part))
+
+    stores = {"far": lambda location: RemoteStore(location.removeprefix("far://"), fs.LocalFileSystem()), "near": lambda location: LocalStore(location.removeprefix("far://"))}
+    found = {}
+    for name, store in stores.items():
+        monkeypatch.setattr("siftlake.sources.tree.store_of", store)
+        found[name] = listed()
+    assert found["far"] == found["near"] and len(found["far"]) == 8 + 4 + 1
+    store = RemoteStore(f"{tree}", fs.LocalFileSystem())
+    store.write(f"{tree}/new/deep/x.py", b"text")
+    assert store.read(f"{tree}/new/deep/x.py") == b"text" and store.size(f"{tree}/new/deep/x.py") == 4

@@ -1,15 +1,17 @@
 """Linter reports, rule packs, model reviews and streams."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from siftlake.model import JudgeConfig
+from siftlake.operators import judge
 from siftlake.operators.judge import judge_findings, prompts, request_bodies
-from siftlake.operators.scan import scan
+from siftlake.operators.scan import findings_of_hits, scan
 from siftlake.sources import packs
 from siftlake.sources.builtin import builtin_rules
-from siftlake.sources.lint import parse_lint, rejected_reports
+from siftlake.sources.lint import parse_lint, rejected_lines, rejected_reports
 from siftlake.streaming import on_save
 
 RUFF = {"code": "E501", "message": "m", "location": {"row": 3}}
@@ -203,6 +205,57 @@ def save(spark, path, rows):
     table.withColumn("version_ts", F.timestamp_seconds("version_ts")).write.mode("append").parquet(path)
 
 
+def test_one_line_too_large_for_a_value(spark):
+    """A line of 140 MB is listed as rejected, and its neighbours are read."""
+    message = '{"reason":"compiler-message","message":{"message":"m","level":"warning","code":null,"spans":[{"file_name":"src/a.rs","line_start":4}]}}'
+    huge = "concat('{\"reason\":\"compiler-message\",\"pad\":\"', repeat('x', 140000000), '\"}')"
+    raw = f"concat('{message}', '\n   Compiling x\n', {huge}, '\n{{broken\n', '{message}')"
+    table = spark.range(1).selectExpr("'1' as file_id", "'src/a.rs' as path", "'clippy' as tool", f"{raw} as raw")
+    assert [(r.seq, r.code, r.line) for r in parse_lint(table).orderBy("seq").collect()] == [(0, "CLIPPY", 4), (4, "CLIPPY", 4)]
+    rejected = [(r.line, r.bytes > 140_000_000, r.reason) for r in rejected_lines(table).orderBy("line").collect()]
+    assert rejected == [(3, True, "larger than one value may be"), (4, False, "not one JSON value")]
+
+
+def test_large_responses_give_a_finding_or_a_reason(spark):
+    pad = "repeat('x', 140000000)"
+    bodies = [
+        ("a", "openai", 200, f"concat('{{\"pad\":\"', {pad}, '\",\"choices\":[{{\"message\":{{\"content\":\"fine\"}}}}]}}')"),
+        ("b", "anthropic", 200, f"concat('{{\"content\":[{{\"text\":\"', {pad}, '\"}}]}}')"),
+        ("c", "anthropic", 200, "'{\"content\":[{\"text\":\"short\"}]}'"), ("d", "openai", 200, "'{\"choices\":[{\"message\":{\"content\":7}}]}'"),
+        ("e", "openai", 500, "'x'"), ("f", "openai", 201, "'{} {}'"), ("g", "openai", 200, f"concat('{{\"pad\":\"', {pad}, '\"}}')"),
+    ]
+    table = None
+    for file_id, provider, status, body in bodies:
+        row = spark.range(1).selectExpr(f"'{file_id}' as file_id", f"'{provider}' as provider", f"{status} as status", f"{body} as body")
+        table = row if table is None else table.unionByName(row)
+    found = {r.file_id: r.explanation for r in judge.response_texts(table).select("file_id", F.left("explanation", F.lit(5)).alias("explanation")).collect()}
+    reasons = {r.file_id: r.reason for r in judge.rejected_responses(table).collect()}
+    assert found.keys() | reasons.keys() == set("abcdefg") and not found.keys() & reasons.keys()
+    assert found["a"] == "fine" and found["c"] == "short"
+    assert reasons["d"] == "no answer text" and reasons["e"] == "status 500" and reasons["f"] == "not one JSON value" and "larger" in reasons["g"]
+
+
+def test_latest_findings_expire_and_stay_bounded(spark, tmp_path, monkeypatch):
+    """Many runs: paths that are not saved any more are dropped, state and folders stay bounded, and all equals the batch."""
+    monkeypatch.setattr(on_save, "SLOTS", 3)
+    source, latest = str(tmp_path / "source"), str(tmp_path / "latest")
+    rules, states = builtin_rules(), []
+    for run in range(9):
+        versions = [(str(run * 10 + n), f"{'always' if n == 0 else f'run{run}'}_{n}.py", "eval(1)" if (run + n) % 2 else "ok", 1000 * run + n) for n in range(6)]
+        save(spark, source, [*versions, (str(run * 10 + 9), "always_0.py", "old eval(2)", 1000 * run - 1)])
+        stream = spark.readStream.schema(VERSIONS).parquet(source)
+        query = on_save.start_latest(stream, rules, latest, latest + "-progress", "2500 seconds")
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        found = sorted(map(tuple, on_save.read_latest(spark, latest, rules, "2500 seconds").select("path", "file_id", "line").collect()))
+        table = on_save.latest_hits(spark.read.parquet(source), rules, "2500 seconds")
+        assert found == sorted(map(tuple, findings_of_hits(table, rules).select("path", "file_id", "line").collect()))
+        current = {r.path for r in table.collect()}
+        assert current == {"always_0.py", *(f"run{r}_{n}.py" for r in range(max(0, run - 2), run + 1) for n in range(1, 6) if 1000 * r + n >= 1000 * run + 5 - 2500)}
+    folders = [f for kind in ("base", "recent") for f in os.listdir(f"{latest}/{kind}") if "=" in f]
+    assert len(folders) <= 2 + 3 + 1 and max(states) <= 6 * 7
+
+
 def test_streams_equal_batch(spark, tmp_path):
     source, out, latest = (str(tmp_path / name) for name in ("source", "out", "latest"))
     rules = builtin_rules() + packs.rules_of_packs(spark.createDataFrame([], "dir_ord int, path string, name string, rules array<struct<code:string,name:string,pattern:string,message:string,severity:string,suggestion:string,languages:array<string>,include:array<string>,exclude:array<string>>>"))

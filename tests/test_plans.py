@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.operators.changes import existing_changes
+from siftlake.model import Rule
+from siftlake.operators.changes import existing_changes, select_changed
 from siftlake.operators.judge import response_texts
 from siftlake.operators.scan import scan, scan_hits, totals_of_hits
 from siftlake.operators.scoring import score_totals
@@ -42,6 +43,14 @@ def test_scan_is_one_narrow_pass(stored):
     assert "*(1) Generate posexplode" in plan and "*(2)" not in plan
 
 
+def test_a_thousand_rules_are_one_narrow_pass(stored):
+    rules = [Rule(f"R{n}", rf"word{n}\w", "info", "m") for n in range(1000)]
+    for found in (scan(files_from_table(stored, "id", "text"), rules), scan_hits(files_from_table(stored, "id", "text"), rules)):
+        plan = plan_of(found)
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Union" not in plan
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_scores_of_a_scan_need_no_shuffle(stored):
     files = files_from_table(stored, "id", "text", "path")
     scores = score_totals(totals_of_hits(scan_hits(files, builtin_rules()), builtin_rules()))
@@ -98,12 +107,17 @@ def test_json_is_parsed_once_per_row(spark, tmp_path):
         assert plan_of(table).count("parseJson") == 1, name
 
 
-def test_small_change_lists_are_broadcast(spark, stored):
+def test_building_a_check_of_changes_starts_no_job(spark, stored):
     files = files_from_table(stored, "id", "text", "path")
     changes = spark.createDataFrame([("a.py", "staged")], "path string, source string")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
     joined = existing_changes(files, changes)
+    selected = select_changed(files, changes, files)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert len(joined.collect()) == selected.count() == 50
+    # The list turned out to be short.
     assert "BroadcastHashJoin" in plan_of(joined)
-    assert joined.count() == 50
 
 
 def test_only_small_tables_are_spread(spark, stored, monkeypatch):

@@ -1,4 +1,5 @@
 import json
+import re
 from collections import Counter
 
 import pytest
@@ -97,7 +98,7 @@ def test_sarif(one_file, make_findings):
         finding(severity="info", seq=2, line=None, message="a\nb"), finding(severity="error", seq=3),
     )
     assert reports.sarif_rules(found).count() == 3
-    log = json.loads(reports.sarif_logs(found).collect()[0].sarif)
+    log = json.loads(reports.sarif_logs(found, shards=1).collect()[0].sarif)
     run = log["runs"][0]
     assert log["version"] == "2.1.0" and len(run["tool"]["driver"]["rules"]) == 3
     assert [r["level"] for r in run["results"]] == ["error", "warning", "note", "error"]
@@ -136,8 +137,60 @@ def test_large_file_has_several_documents(one_file, make_findings):
     rows = reports.json_report(score(one_file, found), found, per_document=20).collect()
     codes = [f["code"] for row in rows for f in json.loads(row.json)["findings"]]
     assert sorted(codes) == sorted(f"C{n}" for n in range(95)) and len(rows) == 5
-    logs = reports.sarif_logs(found, per_document=20).collect()
-    assert sum(len(json.loads(log.sarif)["runs"][0]["results"]) for log in logs) == 95
+
+
+def test_sarif_shards(spark, make_findings):
+    found = make_findings(*[finding(file_id=str(n % 40), path=f"f{n % 40}.py", seq=n * 500) for n in range(95)])
+    logs = reports.sarif_logs(found, shards=8).collect()
+    sizes = [len(json.loads(log.sarif)["runs"][0]["results"]) for log in logs]
+    assert sum(sizes) == 95 and len({log.part for log in logs}) == len(logs) > 4
+    assert sorted(map(tuple, reports.sarif_logs(found.repartition(5), shards=8).collect())) == sorted(map(tuple, logs))
+    for rows in (found, found.filter("seq < 600")):
+        assert len(re.findall("Exchange hashpartitioning", reports.sarif_logs(rows)._jdf.queryExecution().executedPlan().toString())) == 1
+
+
+def test_json_report_of_hits_equals_that_of_findings(spark, make_files):
+    files = make_files([("a.py", "eval(x)\nmd5(y)"), ("b.rs", "fine"), ("c.py", "document.write(z)")])
+    raw = json.dumps({"diagnostics": [{"code": f"E{n}", "message": "m", "location": {"row": n + 1}} for n in range(50)]})
+    lint = spark.createDataFrame([("0", "x.py", "ruff", raw), ("1", "b.rs", "ruff", raw[:20])], "file_id string, path string, tool string, raw string")
+    body = json.dumps({"choices": [{"message": {"content": "good"}}]})
+    answers = spark.createDataFrame([("0", "openai", 200, body)], "file_id string, provider string, status int, body string")
+    alone, full = check(files, builtin_rules()), check(files, builtin_rules(), lint, answers)
+    for result in (alone, full):
+        expected = reports.json_report(result.scores, result.findings)
+        assert sorted(map(repr, result.json_report().collect())) == sorted(map(repr, expected.collect()))
+        assert sorted(map(repr, result.text_report().collect())) == sorted(map(repr, reports.text_report(result.scores, result.findings).collect()))
+    assert "Exchange" not in alone.json_report()._jdf.queryExecution().executedPlan().toString()
+    parts = full.json_report(per_document=20).where("file_id = '0'").collect()
+    codes = [f["code"] for row in parts for f in json.loads(row.json)["findings"]]
+    assert sorted(codes) == sorted([*[f"E{n}" for n in range(50)], "SEC004", "SEC006", "SEM001"]) and len(parts) == 3
+
+
+def test_numbered_lines(spark):
+    rows = [(n % 3, n % 50, n % 7, n, f"line {n}") for n in range(1000)]
+    report = spark.createDataFrame(rows, "section int, ord bigint, item bigint, number int, text string").repartition(5)
+    found = sorted((r.line, r.text) for r in reports.numbered_lines(report).collect())
+    assert found == [(at, row[4]) for at, row in enumerate(sorted(rows), 1)]
+    assert reports.numbered_lines(report.limit(0)).collect() == []
+
+
+def test_findings_of_files_are_replaced(spark, make_findings, tmp_path):
+    target = str(tmp_path / "table")
+    first = make_findings(*[finding(file_id=str(n % 20), path="p", seq=n) for n in range(60)])
+    scanned = spark.createDataFrame([(str(n),) for n in range(20)], "file_id string")
+
+    def rows():
+        return sorted((r.file_id, r.seq) for r in reports.read_findings(spark, target).collect())
+
+    reports.replace_findings(first, scanned, target, 8)
+    assert rows() == sorted((str(n % 20), n) for n in range(60))
+    again = make_findings(finding(file_id="3", path="p", seq=900), finding(file_id="99", path="p", seq=1))
+    some = scanned.where("file_id in ('3', '4', '5')")
+    for _ in range(2):
+        reports.replace_findings(again, some, target, 8)
+        assert rows() == sorted([(str(n % 20), n) for n in range(60) if n % 20 not in (3, 4, 5)] + [("3", 900)])
+    reports.replace_findings(first.limit(0), scanned, target, 8)
+    assert rows() == []
 
 
 def test_text_report_and_bands(make_files, make_findings, tmp_path):
@@ -202,7 +255,7 @@ def test_sinks(spark, one_file, make_findings, tmp_path):
     reports.write_findings(found, str(tmp_path / "findings"))
     reports.write_scores(scores, str(tmp_path / "scores"))
     reports.write_json(reports.json_report(scores, found), str(tmp_path / "json"))
-    reports.write_sarif(reports.sarif_logs(found), str(tmp_path / "sarif"))
+    reports.write_sarif(reports.sarif_logs(found, shards=1), str(tmp_path / "sarif"))
     assert spark.read.parquet(str(tmp_path / "findings")).count() == 2
     assert spark.read.parquet(str(tmp_path / "scores")).count() == 1
     assert spark.read.json(str(tmp_path / "json")).select(F.size("findings")).collect()[0][0] == 2
