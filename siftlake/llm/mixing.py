@@ -139,14 +139,16 @@ def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
 
     A partial repetition is a row with the document's first words, joined by one space. Every row
     follows its own row of ``mix_plan``, whether its id is repeated or NULL: rows travel through the plan with
-    their texts, which are shuffled once.
+    their texts, which are shuffled once. Rows without words are taken no times; an empty table gives no rows, and
+    columns may have any names.
     """
     plan = _planned(docs, "doc_id", "text", "source", max_epochs, seed, default_weight, docs.columns).where("taken > 0")
     whole = F.when(F.col("repeats") > 0, F.array_repeat(F.lit(-1).cast("long"), F.col("repeats").cast("int")))
     part = F.when(F.col("part") > 0, F.array(F.col("part")))
     none = F.array().cast("array<long>")
     copies = F.concat(F.coalesce(whole, none), F.coalesce(part, none))
-    rows = plan.select("row", F.explode(copies).alias("__words")).select("row.*", "__words")
-    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda word: word != "")
-    cut = F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")
-    return rows.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(cut)).select(*docs.columns)
+    rows = plan.select("row", F.explode(copies).alias("taken"))
+    words = F.filter(F.split(F.col("row.text").cast("string"), "[\\x20\\x09-\\x0D]+"), lambda word: word != "")
+    cut = F.array_join(F.slice(words, 1, F.col("taken").cast("int")), " ")
+    text = F.when(F.col("taken") < 0, F.col("row.text")).otherwise(cut)
+    return rows.select(*(text.alias("text") if name == "text" else F.col(f"row.`{name}`") for name in docs.columns))

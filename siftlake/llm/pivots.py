@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.components import components
+from siftlake.llm.scratch import Scratch
 
 # Nearest pivots that describe a vector. Two vectors are compared if they share SHARED of them.
 NEAREST = 6
@@ -123,7 +124,7 @@ def _roots(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _compare(cosine: float):
-    """Links among the entries of each list: per entry its number of links and one connected smaller entry."""
+    """Links among the entries of each list: per entry how many vectors it links with, and one connected smaller entry."""
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         widths = table.column("width").to_numpy()
@@ -131,7 +132,7 @@ def _compare(cosine: float):
         found = [_linked(part, int(part.column("width")[0].as_py()), cosine) for part in parts]
         ids, counts, roots = (np.concatenate(column) for column in zip(*found))
         kept = (counts > 0) | (roots != ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(counts[kept]), pa.array(roots[kept])], ["vec_id", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(counts[kept]), pa.array(roots[kept])], ["key", "links", "root"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Entries arrive sorted by block; a block may begin in one batch and end in the next.
@@ -157,7 +158,7 @@ def _compare(cosine: float):
 
 def _linked(table: pa.Table, width: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = table.combine_chunks()
-    blocks, ids = table.column("block").to_numpy(), table.column("vec_id").to_numpy()
+    blocks, ids = table.column("block").to_numpy(), table.column("key").to_numpy()
     side, halves = table.column("part").to_numpy(), table.column("other").to_numpy()
     vectors = _matrix(table.column("vector").chunk(0), width)
     tops = table.column("tops").chunk(0).flatten().to_numpy().reshape(-1, NEAREST)
@@ -195,9 +196,13 @@ def _linked(table: pa.Table, width: int, cosine: float) -> tuple[np.ndarray, np.
         rows = np.arange(len(one))
         owner = (tops[one][rows, first].astype(np.int64) << 32) | (tops[one][rows, second].astype(np.int64) & 0xFFFFFFFF)
         counted[at : at + (1 << 16)] = (owner == pair[one]) | ~many
-    links = np.bincount(left[counted], minlength=len(ids)) + np.bincount(right[counted], minlength=len(ids))
+    one, two = left[counted], right[counted]
+    copies = table.column("copies").to_numpy()
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, one, copies[two])
+    np.add.at(links, two, copies[one])
     roots = ids[_roots(len(ids), left, right)]
-    return ids, links.astype(np.int64), roots
+    return ids, links, roots
 
 
 def near_embeddings(
@@ -214,12 +219,14 @@ def near_embeddings(
     only the pivots come from a bounded sample, by a hash of the ids (SAMPLED * MAX_PIVOTS vectors at
     most for every dimension pass through the driver).
 
-    Long lists are cut into parts by a hash, and every two parts are compared in a task of their own. A block returns one row
+    Equal vectors are one entry with a number of copies, so only different ones are compared. Long lists are cut into
+    parts by a hash, and every two parts are compared in a task of their own. A block returns one row
     per linked entry, with its number of links and a connected entry, never the pairs.
 
     Vectors that are NULL, zero or have NULL or non-finite components link with nothing, nor do
     those without label or id, or of another dimension. Rows that repeat an id link if
-    their vectors do, and then count as one node.
+    their vectors do, and then count as one node. An empty table gives no rows, and other columns are ignored.
+    Entries are told apart by 64-bit hashes of label and vector.
     """
     spark = vectors.sparkSession
     base = vectors.select(
@@ -236,24 +243,39 @@ def near_embeddings(
         rows = rows.limit(SAMPLED * pivot_count(count)).select("vector").collect()
         pivots[width] = spread_out(np.array([row["vector"] for row in rows], float), pivot_count(count))
     pivots = spark.sparkContext.broadcast(pivots)
-    fields = usable.schema
+    named = usable.withColumn("key", F.xxhash64("label", "width", "vector"))
+    classes = named.groupBy("key", "label", "width", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    fields = classes.schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", pair long, tops array<int>"
-    entries = usable.mapInArrow(_lists(pivots), schema)
+    entries = classes.mapInArrow(_lists(pivots), schema)
     key = ["label", "width", "pair"]
     long_lists = entries.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > PART_ROWS)
     entries = entries.join(long_lists, key, "left")
     parts = F.coalesce(F.ceil(F.col("n") / PART_ROWS), F.lit(1)).cast("int")
     entries = entries.withColumn("parts", parts)
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("vec_id", "pair"), F.col("parts")).cast("int"))
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("key", "pair"), F.col("parts")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.xxhash64(*key, F.least("part", "other"), F.greatest("part", "other"))
-    entries = entries.select("vec_id", "vector", "width", "pair", "tops", "part", "other", block.alias("block"))
+    entries = entries.select("key", "vector", "width", "copies", "pair", "tops", "part", "other", block.alias("block"))
     sorted_entries = entries.repartition("block").sortWithinPartitions("block")
-    linked = sorted_entries.mapInArrow(_compare(cosine), "vec_id long, links long, root long")
-    counts = linked.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    joined = components(linked.where("vec_id <> root").select("vec_id", "root").distinct(), "vec_id", "root")
-    full = base.select("vec_id").join(counts, "vec_id", "left")
-    full = full.join(joined, F.col("vec_id") == F.col("node"), "left")
+    linked = Scratch(spark).write(sorted_entries.mapInArrow(_compare(cosine), "key long, links long, root long"), "embeddings-linked")
+
+    members = named.groupBy("vec_id", "key").agg(F.count("*").alias("rows"))
+    several = members.groupBy("vec_id").agg(F.min("key").alias("root"), F.max("key").alias("most")).where("root < most")
+    same_id = members.join(several, "vec_id").where("key <> root").select("key", "root")
+    joined = components(linked.where("key <> root").select("key", "root").unionByName(same_id).distinct(), "key", "root")
+    counts = linked.groupBy("key").agg(F.sum("links").alias("links"))
+    known = classes.select("key", "copies", "least").join(counts, "key", "left")
+    known = known.join(joined.select(F.col("node").alias("key"), F.col("component").alias("root")), "key", "left")
+    known = known.select(
+        "key", "least", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    )
+    smallest = known.groupBy("root").agg(F.min("least").alias("component"))
+    placed = known.join(smallest, "root").select("key", "links", "component")
+    found = members.join(placed, "key").groupBy("vec_id").agg(
+        F.sum(F.col("rows") * F.col("links")).alias("n_links"), F.min("component").alias("component")
+    )
+    full = base.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return full.select(
         "vec_id",

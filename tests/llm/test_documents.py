@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from siftlake.llm import fingerprints, jaccard, licenses, mixing, sharding, substrings
 from siftlake.llm.components import components
@@ -369,6 +371,45 @@ def test_fingerprints(spark, docs, rows, empty):
     assert len(fingerprints.edited_fingerprints(frame(spark, odd)).collect()) == 4
 
 
+def brute_anchors(text, run=5, short=16):
+    """Closed syncmers word by word, with Spark's seeded hash from its library."""
+
+    def signed(value):
+        return value - (1 << 64) if value >= 1 << 63 else value
+
+    hashes = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall("[^\x20\x09-\x0D]{1,16}", text)]
+    if len(hashes) < short:
+        found = [(at, own) for at, own in enumerate(hashes)]
+    else:
+        found = []
+        for at in range(len(hashes) - run + 1):
+            window = hashes[at : at + run]
+            if min(window) in (window[0], window[-1]):
+                seed = 42
+                for own in window:
+                    seed = xxhash.xxh64_intdigest(struct.pack("<q", own), seed)
+                found.append((at, seed))
+    places = [0, *(at for at, _ in found)]
+    return [((own & 0xFFFFFFFF) << 8) | min(255, at - places[n] if n else at) for n, (at, own) in enumerate(found)]
+
+
+def test_fingerprints_equal_brute_force(spark, docs, rows):
+    def likeness(one, other):
+        one, other = set(one), set(other)
+        return len(one & other) / len(one | other) if one | other else 1.0
+
+    ordered = [(number, text or "") for number, text in sorted(rows)]
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    for at, (number, text) in enumerate(ordered):
+        after = ordered[(at + 1) % len(ordered)][1]
+        cut = len(text) // 4
+        own, edited, following = (brute_anchors(t) for t in (text, text[: len(text) - cut] + after[:cut], after))
+        row = found[number]
+        assert row.fingerprint == "".join(f"{a:010x}" for a in own)
+        assert row.edited_fingerprint == "".join(f"{a:010x}" for a in edited)
+        assert row.near_edited == pytest.approx(likeness(own, edited)) and row.near_next == pytest.approx(likeness(own, following))
+
+
 def test_syncmers_depend_on_their_run_alone(spark):
     draw = random.Random(1)
     passage = [f"p{draw.randint(0, 999)}" for _ in range(80)]
@@ -416,6 +457,39 @@ def test_licenses(spark, empty):
     assert licenses.license_report(empty).collect() == []
 
 
+def test_license_labels_and_scores_equal_brute_force(spark):
+    """Every start of every template is tried, and the score summed up word by word."""
+    draw = random.Random(12)
+    templates = licenses.PHRASES + licenses.NOTICES
+    texts = list(LICENSE_TEXTS)
+    for _ in range(60):
+        words = []
+        for template in draw.sample(templates, 3):
+            own = [w if draw.random() < 0.93 else "other" for w in template.words]
+            words += own[draw.choice([0, 0, 1, 2]) :] + draw.choices(["the", "license", "version", "2", "x"], k=draw.randint(0, 4))
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts)) + [(3, "all rights reserved"), (None, "under the mit license")]
+    upper = {code: code + 32 for code in range(65, 91)}
+    split = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(upper)) for _, text in rows]
+    holders = {word: sum(word in words for words in split) for template in templates for word in template.words}
+    weight = {word: np.log((len(rows) + 1) / (n + 1)) + 1e-3 for word, n in holders.items()}
+    expected = defaultdict(int)
+    for (number, _), words in zip(rows, split):
+        labels, best = set(), 0.0
+        for template in templates:
+            total = sum(weight[w] for w in template.words)
+            for start in range(-len(template.words), len(words)):
+                same = [0 <= start + at < len(words) and words[start + at] == w for at, w in enumerate(template.words)]
+                if all(same[at] for begin, length in template.keys for at in range(begin, begin + length)):
+                    labels.add(template.label)
+                    best = max(best, sum(weight[w] for w, hit in zip(template.words, same) if hit) / total)
+        expected[number, len(words), ",".join(sorted(labels)), round(min(1.0, best), 9)] += 1
+    found = defaultdict(int)
+    for r in licenses.license_report(frame(spark, rows)).collect():
+        found[r.doc_id, r.n_words, r.labels, round(r.score, 9)] += 1
+    assert found == expected and len({key[2] for key in expected}) > 8
+
+
 def test_a_phrase_repeated_a_hundred_thousand_times(spark):
     table = frame(spark, [(1, "under the mit license " * 100_000), (2, "all rights reserved")])
     found = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.license_report(table).collect()}

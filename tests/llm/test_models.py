@@ -6,6 +6,7 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,21 @@ def test_embeddings(spark, monkeypatch):
     assert pivots.near_embeddings(table.limit(0)).collect() == []
 
 
+def test_embeddings_of_equal_vectors_and_repeated_ids(spark):
+    numbers = np.random.default_rng(12)
+    one, other = numbers.normal(size=16), numbers.normal(size=16)
+    rows = [(n, one.tolist(), 0) for n in range(100, 3100)] + [(n, (one + 0.01 * n).tolist(), 0) for n in range(3)]
+    rows += [(n, one.tolist(), 1) for n in range(5000, 5003)] + [(7000, other.tolist(), 0), (7000, other.tolist(), 0), (7001, numbers.normal(size=16).tolist(), 0)]
+    # One id with two vectors joins what links with either.
+    rows += [(8000, (-one).tolist(), 2), (8000, (-other).tolist(), 2), (8001, (-one).tolist(), 2), (8002, (-other).tolist(), 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_embeddings(table).collect()}
+    assert all(found[n] == (3002, 0) for n in range(100, 3100)) and found[0] == found[2] == (3002, 0)
+    assert all(found[n] == (2, 5000) for n in range(5000, 5003))
+    assert found[7000][1] == 7000 and found[7001] == (0, 7001)
+    assert {found[n][1] for n in (8000, 8001, 8002)} == {8000} and found[8001][0] == found[8002][0] == 1
+
+
 def test_pivot_counts():
     assert pivots.pivot_count(0) == pivots.pivot_count(10_000) == 128
     assert pivots.pivot_count(1_000_000) == 512 and pivots.pivot_count(10**12) == 4096
@@ -258,3 +274,45 @@ def test_sample_is_drawn_from_the_documents_at_hand(spark):
     assert len({r.text for r in rows}) == 120
     everything, _ = labelled_sample(docs, labels, "toxic", F.lit(True), 1000)
     assert everything.count() == 200
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    draw = random.Random(21)
+    words = ["alpha", "Beta", "gamma", "naïve", "delta", "日本", "x", "stupid", "great"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 8))) for _ in range(300)] + ["", None, "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(n, int("stupid" in (t or "")), int("great" in (t or ""))) for n, t in enumerate(texts)], "doc_id long, toxic int, quality int")
+    return docs, labels, dict(enumerate(texts))
+
+
+def sigmoid(margin):
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+def test_toxicity_scores_equal_plain_sums_over_ngrams(small):
+    docs, labels, texts = small
+    weights, intercept = toxicity.train(docs, labels, "toxic", F.coalesce(toxicity.fold("doc_id", 5), F.lit(0)) != 0)
+    assert np.count_nonzero(weights) > 10
+    for row in toxicity.toxicity(docs, labels).collect():
+        text, found = f" {(texts[row.doc_id] or '').lower()} ", set()
+        for order in (3, 4, 5):
+            for at in range(len(text) - order + 1):
+                total = order * 0x9E3779B9 & 0xFFFFFFFF
+                for factor, letter in zip(toxicity._FACTORS.tolist(), text[at : at + order]):
+                    total = (total ^ ord(letter)) * factor & 0xFFFFFFFF
+                    total ^= total >> 15
+                found.add(total >> 12)
+        assert row.score == pytest.approx(sigmoid(intercept + sum(float(weights[f]) for f in found)), abs=1e-6)
+
+
+def test_quality_scores_equal_sums_over_all_pairs(small):
+    docs, labels, texts = small
+    intercept, table = quality.train(docs, labels, "quality", F.coalesce(quality.fold("doc_id", 4), F.lit(0)) != 2)
+    for row in quality.quality(docs, labels).collect():
+        columns, values = quality.features_of(pa.array([texts[row.doc_id]], pa.string()))[0]
+        margin = intercept
+        for at, (one, value) in enumerate(zip(columns, values)):
+            margin += float(table[one, 0]) * value
+            margin += sum(float(table[one, 1:] @ table[other, 1:]) * value * more for other, more in zip(columns[:at], values[:at]))
+        assert row.score == pytest.approx(sigmoid(margin), abs=1e-4)
