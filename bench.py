@@ -15,6 +15,7 @@ HEADLINE = [
     "scan_pages_pack",
     "scan_conversations_pack",
     "scan_seeded",
+    "scan_many_rules",
     "score_seeded",
     "low_scores",
     "full_scores",

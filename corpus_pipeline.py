@@ -25,10 +25,15 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic.
+
+    NULL and empty texts are scored by what a text without known n-grams scores; rows that repeat an id are each scored
+    by their own text.
+    """
     configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels, name="__toxicity").where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    score = "toxicity" + "_" * max(len(name) for name in docs.columns)
+    return toxicity(docs, labels, name=score).where(F.col(score) < 0.5).drop(score)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,19 +48,25 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat one in a document with a smaller id."""
+    """All documents, without the passages that repeat one in a document with a smaller id.
+
+    Rows without an id, NULL and empty texts stay as they are; rows that repeat an id do not count as repeats of each other.
+    """
     configure(spark)
     return _counted(without_repeats(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many repetitions as the mix of sources takes."""
+    """Documents in as many repetitions as the mix of sources takes.
+
+    Rows without words are taken no times; rows that repeat an id or have none each follow their own plan.
+    """
     configure(spark)
     return _counted(mix(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and whether decoding them gives the text again."""
+    """Token ids of every row, and whether decoding them gives the text again; NULL and empty texts have none."""
     configure(spark)
     texts = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     tokens = encode(texts, ["doc_id", "source", "digest"])

@@ -6,6 +6,7 @@ the driver, and no document grows without bound: large groups are split into par
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -160,13 +161,15 @@ def _shard(shards: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % shards
 
 
-def sarif_logs(findings: DataFrame, log: Column | None = None, shards: int = SARIF_SHARDS) -> DataFrame:
+def sarif_logs(
+    findings: DataFrame, log: Column | None = None, shards: int = SARIF_SHARDS, information_uri: str | None = None
+) -> DataFrame:
     """SARIF documents, one per value of ``log`` (all findings if not given) and shard that has results.
 
     A log's results are dealt to ``shards`` documents by a stable hash of their file, and of every ten thousand results of it,
     so a rerun gives the same documents, and the plan is the same at any size: one shuffle, before which each
     task gathers its results of a document. Choose as many shards as keep a document at the size that its readers take; each
-    is valid by itself and lists the rules of its own results.
+    is valid by itself and lists the rules of its own results. ``information_uri`` names a page about the tool.
     """
     region = F.coalesce(_sarif_region(), F.lit("null"))
     result = F.concat(
@@ -189,7 +192,8 @@ def sarif_logs(findings: DataFrame, log: Column | None = None, shards: int = SAR
     documents = rows.groupBy("log", "part").agg(
         F.sort_array(F.collect_list("result")).alias("results"), F.sort_array(F.collect_set("rule")).alias("rules")
     )
-    driver = F.lit(f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL_NAME}","version":"{TOOL_VERSION}","rules":[')
+    about = f'"informationUri":{json.dumps(information_uri)},' if information_uri is not None else ""
+    driver = F.lit(f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL_NAME}","version":"{TOOL_VERSION}",{about}"rules":[')
     sarif = F.concat(
         *[driver, F.array_join("rules", ",")],
         *[F.lit(']}},"results":['), F.array_join("results.json", ","), F.lit("]}]}")],

@@ -84,20 +84,22 @@ def check(
         target = shared_dir(spark, "hits")
         hits.write.parquet(target)
         hits = spark.read.parquet(target)
+    # Names alone: from the written hits if there are any, else from the files, so that no text is scanned for them.
+    known = (hits if materialize else files).select("file_id", "path", "ord")
     found = findings_of_hits(hits, rules)
     stages, others, rejected = ["Preprocess"], [], {}
     if lint_reports is not None:
         stages.append("Lint")
         lint = parse_lint(lint_reports)
-        others.append(of_known_files(lint, hits, ["ord"]))
-        rejected["unmatched_findings"] = lint.join(hits.select("file_id"), "file_id", "left_anti")
+        others.append(of_known_files(lint, known, ["ord"]))
+        rejected["unmatched_findings"] = lint.join(known.select("file_id"), "file_id", "left_anti")
         rejected["rejected_reports"] = rejected_reports(lint_reports)
         rejected["rejected_lines"] = rejected_lines(lint_reports.filter("tool = 'clippy'"))
     if security_scan:
         stages.append("Security")
     if judge_responses is not None:
         stages.append("Semantic")
-        others.append(judge_findings(hits, judge_responses, ["ord"]))
+        others.append(judge_findings(known, judge_responses, ["ord"]))
         rejected["rejected_responses"] = rejected_responses(judge_responses)
     more = reduce(DataFrame.unionByName, others) if others else None
     findings = found if more is None else found.unionByName(more.drop("ord"))

@@ -378,7 +378,10 @@ def pack_dirs(spark: SparkSession, sf: str) -> DataFrame:
     """Raw packs written to ordered folders, among other files, and loaded from there: rules, or why there are none."""
     root = tree.store_of(shared_dir(spark, "packs")).root
     raw = fx.raw_packs(spark, sf).withColumn("folder", F.concat(F.lit("dir-"), F.col("dir_ord")))
-    listed = F.array(F.concat("folder", F.lit("/"), "path"), F.concat("folder", F.lit("/below/"), "path"), F.concat("folder", F.lit("/"), "path", F.lit(".bak")))
+    # Some packs also lie below their folder or under another ending, where they are not looked for.
+    place = F.concat("folder", F.lit("/"), "path")
+    decoys = F.array(place, F.concat("folder", F.lit("/below/"), "path"), F.concat(place, F.lit(".bak")))
+    listed = F.when(F.col("path").endswith("0.json"), decoys).otherwise(F.array(place))
     example = packs.example_pack(spark).select(F.concat(F.lit("dir-1/"), "path").alias("path"), F.col("raw").alias("text"))
     tree.write_tree(raw.select(F.explode(listed).alias("path"), F.col("raw").alias("text")).unionByName(example), root)
     # The second folder is loaded first, and one does not exist.

@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as fs
@@ -26,6 +27,12 @@ _BATCH_BYTES = 32 << 20
 
 
 FILE, OWN_FILES, TREE = "file", "own files", "tree"
+Wanted = Callable[[str], bool]
+
+
+def _share(share: int, shares: int) -> Wanted:
+    """Whether a name belongs to a share; the shares of a directory are about equal and stable."""
+    return lambda name: shares == 1 or zlib.crc32(os.fsencode(name)) % shares == share
 
 
 class LocalStore:
@@ -40,14 +47,14 @@ class LocalStore:
     def is_directory(self, path: str) -> bool:
         return os.path.isdir(path)
 
-    def children(self, directory: str) -> Iterator[tuple[str, bool, int | None]]:
-        """(path, whether a directory, size) of what lies right inside a directory; links are left out."""
+    def children(self, directory: str, wanted: Wanted) -> Iterator[tuple[str, bool, int | None]]:
+        """(path, whether a directory, size) of the directories and the wanted files right inside; links are left out."""
         try:
             with os.scandir(directory) as entries:
                 for entry in entries:
                     if entry.is_dir(follow_symlinks=False):
                         yield entry.path, True, None
-                    elif entry.is_file(follow_symlinks=False):
+                    elif wanted(entry.name) and entry.is_file(follow_symlinks=False):
                         yield entry.path, False, entry.stat(follow_symlinks=False).st_size
         except OSError:
             return  # an unreadable directory holds nothing
@@ -82,10 +89,11 @@ class RemoteStore:
     def is_directory(self, path: str) -> bool:
         return self.files.get_file_info(self._inside(path)).type == fs.FileType.Directory
 
-    def children(self, directory: str) -> Iterator[tuple[str, bool, int | None]]:
+    def children(self, directory: str, wanted: Wanted) -> Iterator[tuple[str, bool, int | None]]:
         try:
             for info in self.files.get_file_info(fs.FileSelector(self._inside(directory))):
-                yield self.start + info.path, info.type == fs.FileType.Directory, info.size
+                if info.type == fs.FileType.Directory or wanted(info.base_name):
+                    yield self.start + info.path, info.type == fs.FileType.Directory, info.size
         except OSError:
             return
 
@@ -113,9 +121,9 @@ def store_of(location: str) -> LocalStore | RemoteStore:
 
 
 class Walk(InputPartition):
-    """One task's share of the listing: files, the files right inside a directory, or whole trees."""
+    """One task's part of the listing: files, a share of those right inside a directory, or whole trees."""
 
-    def __init__(self, number: int, entries: list[tuple[int, str, str]]):
+    def __init__(self, number: int, entries: list[tuple[int, str, str, int, int]]):
         super().__init__(number)
         self.entries = entries
 
@@ -126,9 +134,9 @@ class SourceTreeReader(DataSourceReader):
         self.ignore = set(json.loads(options["ignore"]))
         self.tasks = int(options["tasks"])
 
-    def _children(self, store: LocalStore | RemoteStore, directory: str) -> list[tuple[str, bool, int | None]]:
-        """What lies right inside a directory, by name."""
-        named = store.children(directory)
+    def _children(self, store: LocalStore | RemoteStore, directory: str, wanted: Wanted) -> list[tuple[str, bool, int | None]]:
+        """The directories and wanted files right inside a directory, by name."""
+        named = store.children(directory, wanted)
         return sorted(child for child in named if child[0].rstrip("/").rpartition("/")[2] not in self.ignore)
 
     def partitions(self) -> list[Walk]:
@@ -147,27 +155,34 @@ class SourceTreeReader(DataSourceReader):
                 break
             at = min(trees, key=lambda tree: found[tree][1].count("/"))
             target, path, _ = found[at]
-            below = [(target, name, TREE) for name, is_tree, _ in self._children(stores[target], path) if is_tree]
+            below = [(target, name, TREE) for name, _, _ in self._children(stores[target], path, lambda name: False)]
             found[at : at + 1] = [(target, path, OWN_FILES), *below]
-        share = -(-len(found) // self.tasks) or 1
-        return [Walk(at // share, found[at : at + share]) for at in range(0, len(found), share)]
+        # With fewer directories than tasks, one may hold very many files: each is listed in shares of its names.
+        shares = max(1, 2 * self.tasks // max(1, len(found)))
+        entries = [(*entry, share, shares) for entry in found for share in range(shares if entry[2] == OWN_FILES else 1)]
+        size = -(-len(entries) // self.tasks) or 1
+        return [Walk(at // size, entries[at : at + size]) for at in range(0, len(entries), size)]
 
     def read(self, partition: Walk) -> Iterator[tuple]:
         number = 0
         stores: dict[int, LocalStore | RemoteStore] = {}
-        for target, start, kind in partition.entries:
+        for target, start, kind, share, shares in partition.entries:
             if target not in stores:
                 stores[target] = store_of(self.targets[target])
             store = stores[target]
-            for path, size in [(start, store.size(start))] if kind == FILE else self._walk(store, start, deep=kind == TREE):
+            wanted = _share(share, shares if kind == OWN_FILES else 1)
+            walk = self._walk(store, start, wanted, deep=kind == TREE)
+            for path, size in [(start, store.size(start))] if kind == FILE else walk:
                 name = os.fsencode(path).decode("utf-8", "replace")
                 yield f"{target}:{name}", name, (partition.value << 40) + number, size
                 number += 1
 
-    def _walk(self, store: LocalStore | RemoteStore, directory: str, deep: bool) -> Iterator[tuple[str, int | None]]:
+    def _walk(
+        self, store: LocalStore | RemoteStore, directory: str, wanted: Wanted, deep: bool
+    ) -> Iterator[tuple[str, int | None]]:
         pending = [directory]
         while pending:
-            children = self._children(store, pending.pop())
+            children = self._children(store, pending.pop(), wanted)
             yield from ((path, size) for path, is_tree, size in children if not is_tree)
             if deep:
                 pending += [path for path, is_tree, _ in reversed(children) if is_tree]

@@ -99,6 +99,15 @@ def test_source_tree(spark, tree, tasks):
     assert len({row.file_id for row in rows}) == len({row.ord for row in rows}) == len(rows)
 
 
+def test_a_flat_directory_is_listed_in_shares(tmp_path):
+    for n in range(500):
+        (tmp_path / f"f{n}.py").write_text("x")
+    options = {"targets": json.dumps([str(tmp_path)]), "ignore": "[]", "tasks": "4"}
+    reader = SourceTreeReader(options)
+    sizes = [len(list(reader.read(part))) for part in reader.partitions()]
+    assert sum(sizes) == 500 and len(sizes) == 4 and min(sizes) > 80
+
+
 def test_listing_can_ignore_nothing(spark, tree):
     assert list_tree(spark, [str(tree)], ignore=()).count() == 8
 

@@ -104,6 +104,8 @@ def test_sarif(one_file, make_findings):
     assert [r["level"] for r in run["results"]] == ["error", "warning", "note", "error"]
     regions = [r["locations"][0]["physicalLocation"]["region"] for r in run["results"]]
     assert regions == [{"startLine": 10}, {"startLine": 3, "startColumn": 4}, None, {"startLine": 10}]
+    about = json.loads(reports.sarif_logs(found, shards=1, information_uri="https://docs.test/a\"b").collect()[0].sarif)
+    assert about["runs"][0]["tool"]["driver"].pop("informationUri") == "https://docs.test/a\"b" and about == log
     assert run["results"][1]["ruleId"] == 'C"2' and run["results"][2]["message"]["text"] == "a\nb"
 
 
