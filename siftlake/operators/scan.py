@@ -24,9 +24,9 @@ from siftlake.functions.text import first_match_line_sql, fold_case, sql_string
 from siftlake.model import PENALTIES, STAGE_SECURITY, TOTAL_COLUMNS, Rule
 from siftlake.operators.rule_index import Needles, candidate_rules, first_match_lines, matched_sql
 
-# Rules written out as expressions: more would exceed what Spark compiles into one stage. Larger sets
-# are matched through an index of their literals, with the same findings and again in one pass.
-LITERAL_RULES = 250
+# Rules written out as expressions: so many cost about as much as the transfer to the index of literals that
+# larger sets are matched through, with the same findings and again in one pass.
+LITERAL_RULES = 40
 
 _SLOW = "__slow_lines"
 _CANDIDATES = "__candidate_rules"
