@@ -434,7 +434,8 @@ def custom_finder(spark: SparkSession, sf: str) -> DataFrame:
 
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
     table = fx.table(spark, sf, "documents")
-    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # The table may be one file or a folder of files; a pattern is listed alike for both, a plain path must be a folder.
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf}/documents.parque[t]")
     tasks = spread_tasks(table)
     return stream.repartition(tasks, "doc_id") if tasks else stream
 
