@@ -300,7 +300,7 @@ def sarif_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def sarif_logs(spark: SparkSession, sf: str) -> DataFrame:
     by_rules = F.floor(F.length("code") + F.col("rule_ord") / 4)
-    return reports.sarif_logs(_seeded_check(spark, sf).findings, by_rules)
+    return reports.whole_sarif_logs(_seeded_check(spark, sf, materialize=True).findings, by_rules)
 
 
 def findings_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from siftlake.operators import gate, reports
 from siftlake.operators.grouping import in_parts
 from siftlake.operators.scoring import overall_score, score
 from siftlake.plans.check import check
+from siftlake.plans.suite import QUERIES
 from siftlake.sources.builtin import builtin_rules, rule_catalogue
 
 
@@ -266,3 +268,26 @@ def test_sinks(spark, one_file, make_findings, tmp_path):
 
 def test_rule_catalogue(spark):
     assert {row.code for row in rule_catalogue(spark).collect()} == {rule.code for rule in builtin_rules()}
+
+
+def test_whole_sarif_logs(spark, make_findings):
+    """A log is one document with all its results in order, however its rows are spread."""
+    found = make_findings(
+        *[finding(file_id=str(n % 40), path=f"f{n % 40}.py", seq=n, code=f"C{n % 3}", message=f"m{n % 5}") for n in range(400)]
+    )
+    log = F.col("seq") % 2
+    rows = sorted(map(tuple, reports.whole_sarif_logs(found.repartition(7), log).collect()))
+    assert rows == sorted(map(tuple, reports.sarif_logs(found, log, shards=1).collect())) and len(rows) == 2
+    assert len(json.loads(rows[0][2])["runs"][0]["results"]) == 200
+
+
+def test_sarif_query_has_one_document_per_log(spark):
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("needs the given tables")
+    rows = QUERIES["sarif_logs"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 1 and len({row.log for row in rows}) == len(rows)
+    for row in rows:
+        results = json.loads(row.sarif)["runs"][0]["results"]
+        files = [re.search(r"_(\d+)", r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"].split("/")[-1])[1] for r in results]
+        assert files == sorted(files)
+    assert sum(len(json.loads(row.sarif)["runs"][0]["results"]) for row in rows) == QUERIES["sarif_results"](spark, "/root/testdata/sf0.001").count()
