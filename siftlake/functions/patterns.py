@@ -58,6 +58,9 @@ JVM_PROPERTIES = {
 }
 _ENGINE_LIMITS = ["repetition size", "pattern too large"]
 
+# The most characters a match of a short pattern has.
+SHORT_MATCH = 128
+
 _PLAIN_ESCAPES = "aftnr"
 _CLASS_ESCAPES = "wWsSdD"
 
@@ -80,6 +83,8 @@ class CompiledPattern:
     """Matching time cannot grow faster than the text."""
     arrow: str | None
     """The same pattern for Arrow's linear-time engine, if it can be expressed there."""
+    short: tuple[str, int] | None = None
+    """The same pattern for Python's engine and the most characters a match has, if it means the same there."""
 
 
 def compile_rule(pattern: str, linear_form: str | None = None) -> CompiledPattern:
@@ -100,10 +105,11 @@ def compile_rule(pattern: str, linear_form: str | None = None) -> CompiledPatter
     linear = tree is not None and _linear_ends(tree) is not None
     if folding:
         java = _lower_literals(java.removeprefix("(?i)"))
+    short = (probe, tree.getwidth()[1]) if tree is not None and not folding and _is_short(tree) else None
     if linear_form is not None:
         java, linear = _lower_literals(linear_form) if folding else linear_form, True
     return CompiledPattern(
-        JAVA_FLAGS + java, folding, needles, nullable, linear, arrow if _arrow_is_exact(arrow) else None
+        JAVA_FLAGS + java, folding, needles, nullable, linear, arrow if _arrow_is_exact(arrow) else None, short
     )
 
 
@@ -277,6 +283,22 @@ def _nodes(tree):
                     yield from _nodes(sub)
 
 
+def _is_short(tree) -> bool:
+    """Whether matches are short and consist of plain characters and ranges, which all engines read alike.
+
+    Nothing in such a pattern looks beyond the match, so it can be tried on a stretch of the text.
+    """
+    if tree.state.flags != sre.SRE_FLAG_UNICODE or tree.getwidth()[1] > SHORT_MATCH:
+        return False
+    plain = {sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.BRANCH, sre.MAX_REPEAT, sre.MIN_REPEAT}
+    return all(
+        op in plain
+        or (op is sre.IN and all(kind in (sre.NEGATE, sre.LITERAL, sre.RANGE) for kind, _ in arg))
+        or (op is sre.SUBPATTERN and not arg[1] and not arg[2])
+        for op, arg in _nodes(tree)
+    )
+
+
 def _can_fold(body: str, tree) -> bool:
     """Whether lower-casing pattern and text gives the same matches as ignoring case."""
     if tree is None or not body.isascii() or re.search(r"\(\?[a-zA-Z-]+[:)]", body):

@@ -2,11 +2,13 @@
 
 Every rule has literals that each of its matches contains. One set of alternatives per rule, the one
 with the longest shortest literal, is put into an automaton that reads a text once, whatever the
-number of rules. Only the rules whose literals were all found are tried as patterns.
+number of rules. Patterns with short matches are tried around each place of their literals, so their cost does
+not depend on the length of the text; of the others, those whose literals were all found are tried on the whole text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -52,6 +54,7 @@ class Needles:
     groups: list[tuple[tuple[str, ...], ...]]
     folded: list[bool]
     slow: list[str | None]
+    short: list[tuple[str, int] | None]
 
     @staticmethod
     def of(rules: Sequence[CompiledPattern]) -> Needles:
@@ -59,11 +62,12 @@ class Needles:
             [rule.needles for rule in rules],
             [rule.folded for rule in rules],
             [rule.arrow if not rule.linear else None for rule in rules],
+            [rule.short for rule in rules],
         )
 
 
 class RuleIndex:
-    """Finds the rules whose literals a text contains."""
+    """Finds the rules whose literals a text contains, and the first matches of those with short matches."""
 
     def __init__(self, needles: Needles) -> None:
         self.needles = needles
@@ -81,18 +85,42 @@ class RuleIndex:
             if literals:
                 automaton = ahocorasick.Automaton()
                 for literal, rules in literals.items():
-                    automaton.add_word(literal, tuple(rules))
+                    short = [(at, re.compile(needles.short[at][0]).search, needles.short[at][1]) for at in rules if needles.short[at]]
+                    automaton.add_word(literal, (len(literal), short, [at for at in rules if not needles.short[at]]))
                 automaton.make_automaton()
                 self.automata[folded] = automaton
 
-    def rules_in(self, text: str) -> list[int]:
-        """The rules of which ``text`` has a literal of every group, in order."""
+    def rules_in(self, text: str) -> list[tuple[int, int]]:
+        """The rules that may match ``text``, in order, with the line of the first match, or 0 where it was not tried.
+
+        A rule with short matches is tried around the places of its literals, one after the other. A match that begins
+        before the stretch around a place holds an earlier place, where it would have been found.
+        """
         subjects = {False: text, True: fold(text) if any(self.needles.folded) else ""}
         maybe = set(self.others)
+        lines: dict[int, int] = {}
+        breaks, counted = 0, 0
         for folded, automaton in self.automata.items():
-            for rules in {rules for _, rules in automaton.iter(subjects[folded])}:
-                maybe.update(rules)
-        return [at for at in sorted(maybe) if self._has_all(at, subjects)]
+            for last, (length, short, others) in automaton.iter(subjects[folded]):
+                if others:
+                    maybe.update(others)
+                for at, search, width in short:
+                    if at in lines:
+                        continue
+                    first = max(0, last + 1 - width)
+                    match = search(text, first, last + 1 - length + width)
+                    if match is None:
+                        continue
+                    # One that begins before it may end beyond that stretch.
+                    start = search(text, first, match.start() + width).start()
+                    if start >= counted:
+                        breaks += text.count("\n", counted, start)
+                    else:
+                        breaks -= text.count("\n", start, counted)
+                    counted = start
+                    lines[at] = breaks + 1
+        lines.update((at, 0) for at in maybe if self._has_all(at, subjects))
+        return sorted(lines.items())
 
     def _has_all(self, at: int, subjects: dict[bool, str]) -> bool:
         subject = subjects[self.needles.folded[at]]
@@ -102,7 +130,8 @@ class RuleIndex:
 def candidate_rules(needles: Broadcast) -> Callable:
     """Arrow UDF: per text the rules that may match it, with the line where the pattern was tried here already.
 
-    Patterns that could backtrack are tried by the linear-time engine, on their candidates only.
+    Those with short matches are tried by the index. Patterns that could backtrack are tried by the linear-time
+    engine, on their candidates only.
     """
     built: list[RuleIndex] = []
 
@@ -111,11 +140,12 @@ def candidate_rules(needles: Broadcast) -> Callable:
         if not built:
             built.append(RuleIndex(needles.value))
         index = built[0]
-        rows: list[list[int]] = [index.rules_in(text) if text is not None else [] for text in texts.to_pylist()]
+        rows: list[list[tuple[int, int]]] = [index.rules_in(text) if text is not None else [] for text in texts.to_pylist()]
         owner = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
-        rules = np.array([at for row in rows for at in row], np.int32)
-        line, keep = np.zeros(len(rules), np.int64), np.ones(len(rules), bool)
-        for at in np.unique(rules).tolist():
+        rules = np.array([at for row in rows for at, _ in row], np.int32)
+        line = np.array([line for row in rows for _, line in row], np.int64)
+        keep = np.ones(len(rules), bool)
+        for at in np.unique(rules[line == 0]).tolist():
             pattern = index.needles.slow[at]
             if pattern is not None:
                 places = np.flatnonzero(rules == at)

@@ -1,11 +1,13 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.functions.patterns import JAVA_FLAGS
+from siftlake.functions.patterns import JAVA_FLAGS, compile_rule
 from siftlake.functions.text import first_match_line_sql, sql_string
 from siftlake.model import Rule
+from siftlake.operators.rule_index import Needles, RuleIndex
 from siftlake.operators.scan import findings_of_hits, scan, scan_hits, totals_of_hits
 from siftlake.operators.scoring import score, totals_of_findings
 from siftlake.sources.builtin import builtin_rules, rules_table
@@ -241,3 +243,33 @@ def test_long_lines_take_linear_time(make_files):
 def test_rules_table(spark):
     table = rules_table(spark, builtin_rules())
     assert table.count() == 13 and table.select("code").distinct().count() == 9
+
+
+def test_short_patterns_are_tried_around_their_literals(make_files, monkeypatch):
+    """First lines of patterns with short matches, in the index and as expressions, and none of them left to try again."""
+    patterns = [
+        r"[^a-z]needle[^a-z]", r"[a-z]{0,9}needle", r"(?:a\n|b)?(needle|pin)s?.", r"n{0,3}.{0,20}eedle[^x]{2}", r".\n[^b]{1,4}needles", r"pins[0-9\n]{1,3}?😀",
+    ]
+    pieces = ["needle", "needles", "pin", "pins", "a", "b", "n", "x", "\n", "\n", " ", "7", "😀", "É"]
+    source = random.Random(3)
+    texts = ["".join(source.choice(pieces) for _ in range(source.randint(1, 40))) for _ in range(1500)] + ["", None, "needle", "\nneedle\n", "a\nneedle"]
+    compiled = [compile_rule(pattern) for pattern in patterns]
+    assert all(one.short for one in compiled)
+    index = RuleIndex(Needles.of(compiled))
+    expected = {}
+    for n, text in enumerate(texts):
+        first = [(at, re.search(pattern, text)) for at, pattern in enumerate(patterns)] if text is not None else []
+        lines = [(at, match.start()) for at, match in first if match]
+        expected[n] = [(at, text.count("\n", 0, start) + 1) for at, start in lines]
+        assert text is None or index.rules_in(text) == expected[n]
+    rules = [Rule(f"R{at}", pattern, "info", "m") for at, pattern in enumerate(patterns)]
+    files = make_files([("a.py", text) for text in texts])
+    listed = sorted((str(n), f"R{at}", line) for n, lines in expected.items() for at, line in lines)
+    assert sorted(codes(files, rules)) == listed and len(listed) > 1000
+    monkeypatch.setattr("siftlake.operators.scan.LITERAL_RULES", 1)
+    assert sorted(codes(files, rules)) == listed
+
+
+@pytest.mark.parametrize("pattern", [r"\bneedle", r"^needle", r"needle$", r"needle\w", "needle+", "(?i)needle", "(?s)needle.", "needle.{200}", r"(?i:n)eedle"])
+def test_patterns_that_look_further_are_not_short(pattern):
+    assert compile_rule(pattern).short is None
