@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,35 +185,66 @@ def _document_diagnostics(reports: DataFrame, tools: list[str]) -> DataFrame:
     return items.select("file_id", "path", "tool", "seq", severity.alias("severity"), "d.code", "d.message", "d.line")
 
 
-def _report_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of reports in bounded batches, found one after the other: a report is never held as a list of lines."""
+def _report_lines(batches: Iterator[pa.RecordBatch], messages: bool) -> Iterator[pa.RecordBatch]:
+    """The lines of reports in bounded batches, or only those that may be compiler messages.
+
+    Reports are split many at a time. A long one is read line after line and never held as a list of lines.
+    """
     for batch in batches:
-        for at in range(batch.num_rows):
-            if not batch.column("raw")[at].is_valid:
-                continue
-            data, owner = batch.column("raw")[at].as_buffer().to_pybytes(), batch.slice(at, 1)
-            seq, place = 0, 0
-            while place <= len(data):
-                lines, size = [], 0
-                while place <= len(data) and len(lines) < LINES_PER_BATCH and size < BATCH_BYTES:
-                    end = data.find(b"\n", place)
-                    end = len(data) if end < 0 else end
-                    lines.append(data[place:end])
-                    size += end - place
-                    place = end + 1
-                same = pa.array(np.zeros(len(lines), np.int64))
-                numbers = pa.array(np.arange(seq, seq + len(lines), dtype=np.int32))
-                text = pa.array(lines, pa.binary()).cast(pa.string())
-                columns = [owner.column("file_id").take(same), owner.column("path").take(same), numbers, text]
-                yield pa.RecordBatch.from_arrays(columns, ["file_id", "path", "seq", "raw_line"])
-                seq += len(lines)
-
-
-def _clippy_lines(reports: DataFrame) -> DataFrame:
-    """The lines of reports on Rust files, each with the JSON document it holds, if any."""
+        sizes = pc.fill_null(pc.binary_length(batch.column("raw")), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        short = np.flatnonzero((sizes >= 0) & (sizes <= BATCH_BYTES))
+        if len(short):
+            parts = np.cumsum(sizes[short]) // BATCH_BYTES
+            for rows in np.split(short, np.flatnonzero(np.diff(parts)) + 1):
+                yield from _split_lines(batch.take(pa.array(rows)), messages)
+        for at in np.flatnonzero(sizes > BATCH_BYTES).tolist():
+            yield from _streamed_lines(batch.slice(at, 1), messages)
+
+
+def _split_lines(reports: pa.RecordBatch, messages: bool) -> Iterator[pa.RecordBatch]:
+    listed = pc.split_pattern(reports.column("raw"), "\n")
+    owner, text = pc.list_parent_indices(listed).to_numpy(), pc.list_flatten(listed)
+    # A report has a line at least, so the first line of each is where its number first occurs.
+    seq = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    yield from _line_batches(reports, owner, seq, text, messages)
+
+
+def _streamed_lines(report: pa.RecordBatch, messages: bool) -> Iterator[pa.RecordBatch]:
+    data = report.column("raw")[0].as_buffer().to_pybytes()
+    seq, place = 0, 0
+    while place <= len(data):
+        lines, size = [], 0
+        while place <= len(data) and len(lines) < LINES_PER_BATCH and size < BATCH_BYTES:
+            end = data.find(b"\n", place)
+            end = len(data) if end < 0 else end
+            lines.append(data[place:end])
+            size += end - place
+            place = end + 1
+        text = pa.array(lines, pa.binary()).cast(pa.string())
+        yield from _line_batches(report, np.zeros(len(lines), np.int64), np.arange(seq, seq + len(lines)), text, messages)
+        seq += len(lines)
+
+
+def _line_batches(
+    reports: pa.RecordBatch, owner: np.ndarray, seq: np.ndarray, text: pa.Array, messages: bool
+) -> Iterator[pa.RecordBatch]:
+    kept = np.arange(len(owner))
+    if messages:
+        # A line names its reason in plain letters, unless some of them are escaped.
+        named = pc.or_(pc.match_substring(text, "compiler-message"), pc.match_substring(text, "\\"))
+        kept = np.flatnonzero(named.to_numpy(zero_copy_only=False))
+    for at in range(0, len(kept), LINES_PER_BATCH):
+        rows = kept[at : at + LINES_PER_BATCH]
+        owners = pa.array(owner[rows])
+        columns = [reports.column("file_id").take(owners), reports.column("path").take(owners), pa.array(seq[rows].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*columns, text.take(pa.array(rows))], ["file_id", "path", "seq", "raw_line"])
+
+
+def _clippy_lines(reports: DataFrame, messages: bool = False) -> DataFrame:
+    """The lines of reports on Rust files, each with the JSON document it holds, if any; all, or those that may be ``messages``."""
     files = reports.filter(extension(F.col("path")) == "rs")
     lines = files.select("file_id", "path", "raw").mapInArrow(
-        _report_lines, "file_id string, path string, seq int, raw_line string"
+        lambda batches: _report_lines(batches, messages), "file_id string, path string, seq int, raw_line string"
     )
     return lines.select("file_id", "path", "seq", "raw_line", computed_once(F.expr(json_document_sql("raw_line"))).alias("m"))
 
@@ -235,7 +267,7 @@ def _clippy_messages(reports: DataFrame) -> DataFrame:
     A build reports on all files of a crate; a message belongs to the report's file when one
     of its spans lies in a file of that name. The line is that of the first span, in any file.
     """
-    parsed = _clippy_lines(reports).select("file_id", "path", "seq", "m")
+    parsed = _clippy_lines(reports, messages=True).select("file_id", "path", "seq", "m")
     same_name = F.expr(
         "exists(try_variant_get(m, '$.message.spans', 'array<variant>'), "
         f"s -> substring_index({_text('s', '$.file_name')}, '/', -1) = substring_index(path, '/', -1))"

@@ -3,13 +3,14 @@
 import json
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftlake.model import JudgeConfig
 from siftlake.operators import judge
 from siftlake.operators.judge import judge_findings, prompts, request_bodies
 from siftlake.operators.scan import findings_of_hits, scan
-from siftlake.sources import packs
+from siftlake.sources import lint, packs
 from siftlake.sources.builtin import builtin_rules
 from siftlake.sources.lint import parse_lint, rejected_lines, rejected_reports
 from siftlake.streaming import on_save
@@ -111,6 +112,34 @@ def test_clippy_lines(spark):
     ]
 
 
+def lines_of(raws, messages):
+    batch = pa.RecordBatch.from_pydict({"file_id": [str(n) for n in range(len(raws))], "path": ["a.rs"] * len(raws), "raw": raws}, REPORT)
+    return list(lint._report_lines(iter([batch]), messages))
+
+
+REPORT = pa.schema([("file_id", pa.string()), ("path", pa.string()), ("raw", pa.string())])
+
+
+def test_lines_of_many_reports_travel_together(monkeypatch):
+    """Short reports share batches; the lines are the same when every report is read line after line."""
+    raws = [[None, "", "junk\n" + clippy([]), "\n\n", '{"reason":"compiler\\u002dmessage"}\r\nx\n'][n % 5] for n in range(1000)]
+    listed = [(str(n), seq, line) for n, raw in enumerate(raws) if raw is not None for seq, line in enumerate(raw.split("\n"))]
+    may_be = [line for line in listed if "compiler" in line[2]]
+    for size, most in ((lint.BATCH_BYTES, 2), (1000, 500), (1, 2000)):
+        monkeypatch.setattr(lint, "BATCH_BYTES", size)
+        for messages, expected in ((False, listed), (True, may_be)):
+            batches = lines_of(raws, messages)
+            found = [row for b in batches for row in zip(*(b.column(name).to_pylist() for name in ("file_id", "seq", "raw_line")))]
+            assert sorted(found) == sorted(expected) and len(batches) <= most
+
+
+def test_escaped_reasons_are_read(spark):
+    line = clippy([{"file_name": "src/lib.rs", "line_start": 7}])
+    raw = "\n".join([line.replace("compiler-message", "compiler\\u002dmessage"), line.replace("compiler-message", "compiler-artifact")])
+    found = parse_lint(reports(spark, [("1", "crate/lib.rs", "clippy", raw)])).collect()
+    assert [(f.seq, f.line) for f in found] == [(0, 7)]
+
+
 def rule(**more):
     return {"code": "D1", "name": "n", "pattern": "test", "message": "found"} | more
 
