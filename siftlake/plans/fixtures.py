@@ -34,7 +34,7 @@ DIRECTORIES = ["src", "src/test", "node_modules/x", ".git", "pkg/__pycache__", "
 STEMS = ["main", "test_util", "latest", "mod"]
 EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".txt", ".PY", ""]
 # A few bytes of an event become a report of hundreds, so a file split of them is a lot of work for one task.
-EVENT_BYTES_PER_CORE = 256 << 20
+REPORT_GROWTH = 16
 FIRST_FILE = f"{DIRECTORIES[0]}/{STEMS[0]}_0{EXTENSIONS[0]}"
 
 # Rules that hit the given texts, with filters of every kind.
@@ -210,7 +210,7 @@ REPORT_PATHS = {
 
 
 def lint_reports(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
-    events = spread_small(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", EVENT_BYTES_PER_CORE)
+    events = spread_small(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id", REPORT_GROWTH)
     return events.selectExpr(
         "cast(event_id as string) as file_id",
         f"{REPORT_PATHS[tool]} as path",

@@ -46,19 +46,19 @@ def supported_files(files: DataFrame, languages: list[str] | None = None) -> Dat
     return kept.filter(F.col("language").isin(*languages)) if languages else kept
 
 
-def spread_tasks(table: DataFrame, bytes_per_core: int = SMALL_BYTES_PER_CORE) -> int:
+def spread_tasks(table: DataFrame, growth: int = 1) -> int:
     """How many tasks to spread a small table over; 0 for a large one."""
     cores = table.sparkSession.sparkContext.defaultParallelism
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return cores * 2 if size < cores * bytes_per_core else 0
+    return cores * 2 if size < cores * SMALL_BYTES_PER_CORE * growth else 0
 
 
-def spread_small(table: DataFrame, key: str, bytes_per_core: int = SMALL_BYTES_PER_CORE) -> DataFrame:
+def spread_small(table: DataFrame, key: str, growth: int = 1) -> DataFrame:
     """Spread a small table over all cores by a unique key; leave a large one as it is read.
 
     A parquet row group is read by one task. A small table often is a single row group, which
-    would leave all other cores idle; a large one has enough of them, and is never shuffled. Rows from which much
-    larger ones are made are worth spreading up to more ``bytes_per_core``.
+    would leave all other cores idle; a large one has enough of them, and is never shuffled. A table
+    from whose rows larger ones are made counts as small up to ``growth`` times that size.
     """
-    tasks = spread_tasks(table, bytes_per_core)
+    tasks = spread_tasks(table, growth)
     return table.repartition(tasks, key) if tasks else table
